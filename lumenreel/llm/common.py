@@ -156,3 +156,16 @@ def shingles(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
 def as_documents(df: DataFrame) -> DataFrame:
     """Only the two columns that text operators read; extra columns, whatever their names, are not touched."""
     return df.select(F.col("doc_id"), F.col("text"))
+
+
+def bounded_sample(df: DataFrame, most: int) -> DataFrame:
+    """About `most` rows chosen by the hash of doc_id (all of them if there are fewer), for fitting a model."""
+    rows = df.count()
+    if rows > most:
+        df = df.where(F.pmod(F.xxhash64("doc_id"), F.lit(rows)) < most)
+    return df.limit(2 * most)
+
+
+def span_string(spans: list[tuple]) -> str:
+    """kind:start:end of each span, joined by commas, in the order given."""
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)

@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenreel.llm import bpe, packing, token_files
+from lumenreel.llm import bpe, packing, pii, secrets, token_files
 from lumenreel.llm.common import read, scratch_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(read(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), path)
@@ -22,12 +26,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
 def queries() -> dict:
-    return {"op5_token_files": op5_token_files, "op6_packing": op6_packing, "op9_bpe": op9_bpe}
+    return {"op2_private_data": op2_private_data, "op7_secrets": op7_secrets, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
