@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one slice that a Python task holds as Python strings at a time.
@@ -71,6 +71,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A-Z become a-z; every other byte stays.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -89,8 +91,6 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-#: A-Z become a-z; every other byte stays.
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -101,9 +101,12 @@ class Words:
     A word is a longest run of characters other than blank and U+0009-U+000D, with A-Z in lower case.
     """
 
-    def __init__(self, texts: list[str | None]):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        data = np.frombuffer(b" ".join(raw).translate(LOWER) + b" ", np.uint8)
+    def __init__(self, texts: list[str | None], table: bytes = LOWER, drop: bytes = b""):
+        """table maps bytes (not white space) and drop lists bytes to leave out, before words are cut."""
+        raw = [(t or "").encode() for t in texts]
+        if drop:
+            raw = [r.translate(table, drop) for r in raw]
+        data = np.frombuffer((b" ".join(raw) if drop else b" ".join(raw).translate(table)) + b" ", np.uint8)
         self.data = data
         space = _IS_SPACE[data]
         self.starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
@@ -169,3 +172,17 @@ def bounded_sample(df: DataFrame, most: int) -> DataFrame:
 def span_string(spans: list[tuple]) -> str:
     """kind:start:end of each span, joined by commas, in the order given."""
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def training_labels(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
+    """doc_id, text and label (0 or 1) of about `most` labelled documents that aren't held out.
+
+    Rows whose crc32(doc_id as text) mod 5 is 0 are held out. A doc_id with several labels has the largest one.
+    """
+    usable = labels.where(F.col(column).isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    chosen = bounded_sample(usable, most)
+    return as_documents(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 * most rows are broadcast
+
+
+def held_out(column: str) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0

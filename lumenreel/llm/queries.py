@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenreel.llm import bpe, packing, pii, secrets, token_files
+from lumenreel.llm import bpe, packing, pii, quality, secrets, token_files, toxicity
 from lumenreel.llm.common import read, scratch_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -30,12 +30,22 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
 def queries() -> dict:
-    return {"op2_private_data": op2_private_data, "op7_secrets": op7_secrets, "op5_token_files": op5_token_files, "op6_packing": op6_packing, "op9_bpe": op9_bpe}
+    return {f.__name__: f for f in (op2_private_data, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
