@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenreel.llm import bpe, packing, pii, quality, secrets, token_files, toxicity
+from lumenreel.llm import bpe, nearest, packing, pii, quality, secrets, token_files, toxicity, vector_links
 from lumenreel.llm.common import read, scratch_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +16,15 @@ def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(read(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return nearest.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+def op4_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.vector_links(read(spark, sf_dir, "embeddings"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), path)
@@ -45,7 +54,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_private_data, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op2_private_data, op3_nearest, op4_vector_links, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
