@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenreel.llm import bpe, nearest, packing, pii, quality, secrets, token_files, toxicity, vector_links
+from lumenreel.llm import bpe, nearest, packing, pii, quality, secrets, shingle_join, token_files, toxicity, vector_links
 from lumenreel.llm.common import read, scratch_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(read(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_private_data, op3_nearest, op4_vector_links, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_shingle_join, op2_private_data, op3_nearest, op4_vector_links, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
