@@ -94,36 +94,39 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rule_versio
 
 
 def masked_documents(docs: DataFrame, ledger: DataFrame | None = None, mask: str = "[secret]") -> DataFrame:
-    """The documents with every found span replaced by the mask; only texts with findings are rewritten.
+    """The documents with every found span replaced by the mask; overlapping spans are one. All columns stay.
 
-    n_chars, if it is a column, follows the text. All other columns stay.
+    n_chars, if it is a column, follows the text of a document that is changed.
     """
     columns = docs.columns
-    texts = docs.withColumn("_text", F.coalesce("text", F.lit("")))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = []
-            for text in batch.column("text").to_pylist():
-                if text:
-                    end = 0
-                    parts = []
-                    for _, a, b in sorted(all_spans(text, base_spans(text)), key=lambda s: (s[1], -s[2])):
-                        if a >= end:
-                            parts += [text[end:a], mask]
-                            end = b
-                        elif b > end:
-                            end = b
-                    text = "".join(parts) + text[end:] if end else text
-                out.append(text)
-            data = {c: batch.column(c) for c in columns} | {"text": pa.array(out, pa.string())}
-            if "n_chars" in columns:
-                data["n_chars"] = pa.array([None if t is None else len(t) for t in out], batch.column("n_chars").type)
-            yield pa.RecordBatch.from_pydict({c: data[c] for c in columns})
+            rows, spans = batch.column("row"), batch.column("spans").to_pylist()
+            data = {c: rows.field(k) for k, c in enumerate(columns)}
+            hit = [k for k, s in enumerate(spans) if s]
+            if hit:
+                texts = data["text"].to_pylist()
+                for k in hit:
+                    texts[k] = masked(texts[k], spans[k], mask)
+                data["text"] = pa.array(texts, pa.string())
+                if "n_chars" in columns:
+                    counts = data["n_chars"].to_pylist()
+                    for k in hit:
+                        counts[k] = len(texts[k])
+                    data["n_chars"] = pa.array(counts, data["n_chars"].type)
+            yield pa.RecordBatch.from_pydict(data)
 
     _, _, known = update_ledger(docs, ledger)
-    dirty = known.where(F.col("spans") != "").select(F.col("blob").alias("_blob"))
-    marked = texts.withColumn("_blob", F.sha2("_text", 256)).drop("_text")
-    return marked.join(dirty.withColumn("_dirty", F.lit(True)), "_blob", "left").select(*columns).mapInArrow(rewrite, docs.schema)
+    dirty = known.where(F.col("spans") != "").select("blob", "spans")
+    packed = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    return packed.join(dirty, "blob", "left").select("row", "spans").mapInArrow(rewrite, docs.schema)
+
+
+def masked(text: str, spans: str, mask: str) -> str:
+    out, end = [], 0
+    for a, b in sorted((int(a), int(b)) for _, a, b in (s.split(":") for s in spans.split(","))):
+        if a >= end:
+            out += [text[end:a], mask]
+        end = max(end, b)
+    return "".join(out) + text[end:]

@@ -370,5 +370,5 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of its component; one row of each doc_id."""
-    kept = near_duplicates(docs, size).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept")).select(*docs.columns).dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs, size).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
