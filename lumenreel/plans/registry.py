@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenreel.plans import ranking, records
+from lumenreel.plans import ranking, records, sequences
 
-_MODULES = (ranking, records)
+_MODULES = (ranking, records, sequences)
 
 
 def queries() -> dict:
