@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenreel.plans import ranking, records, sequences
+from lumenreel.plans import checks, ranking, records, sequences
 
-_MODULES = (ranking, records, sequences)
+_MODULES = (ranking, records, sequences, checks)
 
 
 def queries() -> dict:
