@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenreel.plans import checks, ranking, records, sequences
+from lumenreel.plans import checks, files, ranking, records, sequences
 
-_MODULES = (ranking, records, sequences, checks)
+_MODULES = (ranking, records, sequences, checks, files)
 
 
 def queries() -> dict:
