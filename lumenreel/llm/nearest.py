@@ -30,6 +30,8 @@ COVER = 0.985
 INDEX_BLOCK = 4_096
 QUERY_BLOCK = 2_048
 SUBSTRING = 8
+#: Queries that probe a block's tables together.
+ASKED = 1_024
 RESULT = "query_id long, vec_id long, score double"
 _ONES = np.array([bin(i).count("1") for i in range(1 << SUBSTRING)], np.uint8)
 
@@ -79,47 +81,50 @@ class BlockIndex:
     """Tables of one block: for each substring the rows sorted by its value, and where each value's bucket starts."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
+        self.codes, self.words = codes, _words(codes)
         self.order = np.argsort(codes, axis=0, kind="stable").T
         self.starts = np.stack([np.searchsorted(codes[o, j], np.arange((1 << SUBSTRING) + 1)) for j, o in enumerate(self.order)])
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is within the radius: probed buckets, then the whole code."""
+    def within(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) of codes within the radius: probed buckets first, then the whole codes.
+
+        Each bucket is visited once for all queries whose substring is near its value.
+        """
         n, tables = self.codes.shape
         most = radius // tables
-        if most >= SUBSTRING // 2:  # nearly all buckets would be probed: the codes themselves are compared
-            return np.flatnonzero(_ONES[self.codes ^ code].sum(1) <= radius)
-        found = np.zeros(n, bool)
-        for j in range(tables):
-            for value in _near_values(most) ^ code[j]:
-                a, b = self.starts[j, value], self.starts[j, value + 1]
-                found[self.order[j, a:b]] = True
-        rows = np.flatnonzero(found)
-        return rows[_ONES[self.codes[rows] ^ code].sum(1) <= radius]
-
-
-_values: dict[int, np.ndarray] = {}
-
-
-def _near_values(most: int) -> np.ndarray:
-    if most not in _values:
-        _values[most] = np.flatnonzero(_ONES <= most)
-    return _values[most]
-
-
-def _best(query_ids, scores_of, k: int) -> tuple[list, list, list]:
-    """The k best of each query by score, then smaller vec_id."""
-    out: tuple[list, list, list] = ([], [], [])
-    for q, (ids, scores) in zip(query_ids, scores_of, strict=True):
-        if len(ids) > k:
-            least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = scores >= least
-            ids, scores = ids[keep], scores[keep]
-        top = np.lexsort((ids, -scores))[:k]
-        out[0].append(np.full(len(top), q))
-        out[1].append(ids[top])
-        out[2].append(scores[top])
-    return out
+        queries, rows = [], []
+        for a in range(0, len(asked), ASKED):
+            own = asked[a : a + ASKED]
+            found = np.zeros((len(own), n), bool)
+            if most >= SUBSTRING // 2:  # such probes would visit nearly all buckets
+                found[:] = True
+            else:
+                for j in range(tables):
+                    near = _ONES[own[:, j][:, None] ^ np.arange(1 << SUBSTRING)] <= most
+                    for value in np.flatnonzero((self.starts[j, 1:] > self.starts[j, :-1]) & near.any(0)):
+                        found[np.ix_(np.flatnonzero(near[:, value]), self.order[j, self.starts[j, value] : self.starts[j, value + 1]])] = True
+            words = _words(own)
+            for c in range(0, len(own), 128):
+                apart = sum(np.bitwise_count(words[c : c + 128, None, k] ^ self.words[None, :, k]).astype(np.uint16) for k in range(words.shape[1]))
+                q, r = np.nonzero(found[c : c + 128] & (apart <= radius))
+                queries.append(q + a + c)
+                rows.append(r)
+        none = np.zeros(0, np.int64)
+        return np.concatenate(queries or [none]), np.concatenate(rows or [none])
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words."""
+    short = -codes.shape[1] % 8
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, short)))).view(np.uint64)
+
+
+def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query by score, then smaller vec_id."""
+    order = np.lexsort((ids, -scores, queries))
+    own = queries[order]
+    first = np.searchsorted(own, own)
+    return order[np.arange(len(own)) - first < k]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int = SAMPLE_ROWS, cover: float = COVER) -> DataFrame:
@@ -159,14 +164,12 @@ def _pairs(rows: DataFrame, asked: DataFrame, codes: Codes, radius: int, k: int,
         index_ids, x, table, last = None, None, None, None
 
         def answer(ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-            q_codes = codes.of(q)
-            found = []
-            for code, one in zip(q_codes, q, strict=True):
-                near = table.within(code, radius)
-                found.append((index_ids[near], x[near] @ one))
-            found = [(i[i != own], s[i != own]) for own, (i, s) in zip(ids.tolist(), found, strict=True)]
-            a, b, c = _best(ids.tolist(), found, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).astype(np.int64)), pa.array(np.concatenate(b).astype(np.int64)), pa.array(np.concatenate(c).astype(float))], ["query_id", "vec_id", "score"])
+            at, row = table.within(codes.of(q), radius)
+            other = index_ids[row] != ids[at]
+            at, row = at[other], row[other]
+            score = np.concatenate([np.einsum("ij,ij->i", q[at[c : c + 65_536]], x[row[c : c + 65_536]]) for c in range(0, len(at), 65_536)] or [np.zeros(0)])
+            top = _best(at, index_ids[row], score, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at[top]]), pa.array(index_ids[row[top]]), pa.array(score[top])], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             cuts = np.flatnonzero(np.diff(batch.column("b").to_numpy()) | np.diff(batch.column("q").to_numpy()) | np.diff(batch.column("asks").to_numpy())) + 1
