@@ -13,11 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one slice that a Python task holds as Python strings at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 _U = np.uint64
 
 
+#: Bytes of an Arrow batch, or one row if that is larger: bounds what Python workers hold, however long texts are.
+BATCH_BYTES = str(4 << 20)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
