@@ -164,7 +164,7 @@ def write_submissions(rows: DataFrame, path: str) -> None:
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     """query_name, rank (line number; blank lines count but give no row), video and frames."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     name = F.regexp_extract("file", r"query_name=([^/]+)/", 1)
     lines = whole.select(name.alias("query_name"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).where(F.trim("line") != "")
     cells = F.split("line", ",")
