@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenreel.plans import checks, files, ranking, records, sequences
+from lumenreel.plans import checks, files, more, ranking, records, sequences
 
-_MODULES = (ranking, records, sequences, checks, files)
+_MODULES = (ranking, records, sequences, checks, files, more)
 
 
 def queries() -> dict:
