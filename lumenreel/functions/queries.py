@@ -7,25 +7,39 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions.text import squash
 
-#: Words that ask for spoken, and for displayed, evidence in folded queries (fixed values).
-SPEECH = r"\b(?:say|says|said|speak|speaks|speech|interview|narrator|announce|noi|phat bieu|phong van)\b"
-DISPLAY = r"\b(?:text|title|caption|sign|logo|banner|written|subtitle|dong chu|tieu de|bien hieu)\b"
+#: Terms of folded queries that ask for words as evidence, for displayed text, and for speech; signs of a lexical query
+#: (fixed values).
+EVIDENCE_TERMS = (
+    "hoi", "cau hoi", "ten", "la gi", "cau tho", "tieu de", "cong thuc", "loi noi", "phat bieu", "duoc san xuat", r"nam\s+\d{4}", "chuong trinh", "cau lac bo", "dai hoc", "tinh", "xa", "dia phuong",
+    "nghien cuu", "mau tin", "gioi thieu", "nhiem vu", "thong tin", "noi dung", "chu", "hien thi", "man hinh", "logo", "so", "gia", "ma so", "ky tu", "written", "title", "sign", "number", "score",
+)
+DISPLAY_TERMS = (
+    "chu", "van ban", "noi dung viet", "hien thi", "tren man hinh", "tren bang", "bang bieu", "bieu do", "ky hieu", "logo", "bien", "so", "ma so", "so hieu", "gia", "written", "on screen", "on-screen",
+    "displayed", "table", "chart", "diagram", "symbol", "sign", "label",
+)
+SPEECH_TERMS = ("noi", "loi noi", "phat bieu", "hoi", "thuyet minh", "speech", "dialogue", "narrat")
+LEXICAL_SIGNS = ("noi", "hoi", "ten", "cau tho", "tieu de", "cong thuc")
 YEAR = r"\b(?:19|20)\d{2}\b"
 
 
-def text_evidence(query: Column) -> Column:
-    """How much a query asks for words: speech and display words, a quotation, a year."""
-    q = F.lower(F.coalesce(query, F.lit("")))
-    return (F.regexp_count(q, F.lit(SPEECH)) + F.regexp_count(q, F.lit(DISPLAY)) + q.rlike("[\"“”]").cast("int") + q.rlike(YEAR).cast("int")).cast("int")
+def _any_of(terms: tuple[str, ...]) -> str:
+    return r"\b(?:" + "|".join(terms) + r")\b"
 
 
-def strategy(query: Column, kind: Column) -> Column:
-    """Struct of visual and text weights, and of the sources asr, caption and ocr."""
-    n, q = text_evidence(query), F.lower(F.coalesce(query, F.lit("")))
+def text_evidence(query: Column, folded: Column) -> Column:
+    """How much a query asks for words: evidence terms, a quotation, a year, and several words with a lexical sign."""
+    several = folded.rlike(r"\b[a-z]{2,}(?:\s+[a-z]{2,})+\b") & folded.rlike("|".join(LEXICAL_SIGNS))
+    flags = [F.coalesce(query, F.lit("")).rlike("[\"'“”]"), folded.rlike(YEAR), several]
+    return (F.regexp_count(folded, F.lit(_any_of(EVIDENCE_TERMS))) + sum((f.cast("int") for f in flags[1:]), flags[0].cast("int"))).cast("int")
+
+
+def strategy(query: Column, folded: Column, kind: Column) -> Column:
+    """Struct of the evidence count, of visual and text weights, and of the sources asr, caption and ocr."""
+    n = text_evidence(query, folded)
     w = lambda v, t: F.struct(F.lit(v).alias("visual"), F.lit(t).alias("text"))
     s = lambda a, c, o: F.struct(F.lit(a).alias("asr"), F.lit(c).alias("caption"), F.lit(o).alias("ocr"))
     weights = F.when((kind == "TRAKE") & (n < 2), w(0.78, 0.22)).when(n >= 2, w(0.28, 0.72)).when(n == 1, w(0.45, 0.55)).otherwise(w(0.67, 0.33))
-    sources = F.when(q.rlike(SPEECH), s(0.7, 0.2, 0.1)).when(q.rlike(DISPLAY), s(0.1, 0.2, 0.7)).otherwise(s(0.2, 0.8, 0.0))
+    sources = F.when(folded.rlike(_any_of(SPEECH_TERMS)), s(0.7, 0.2, 0.1)).when(folded.rlike(_any_of(DISPLAY_TERMS)), s(0.1, 0.2, 0.7)).otherwise(s(0.2, 0.8, 0.0))
     return F.struct(n.alias("evidence"), weights.alias("weights"), sources.alias("sources"))
 
 
@@ -36,13 +50,14 @@ def normalize_weights(*weights: Column) -> list[Column]:
     return [F.when(total > 0, c / total) for c in clean]
 
 
-def gate_ocr(sources: Column, query: Column) -> Column:
-    """Without a word for displayed text the ocr weight is 0 and the others are scaled up (or .2 and .8)."""
-    q = F.lower(F.coalesce(query, F.lit("")))
+def gate_ocr(sources: Column, folded: Column) -> Column:
+    """Without a term for displayed text the ocr weight is 0: for speech the others are scaled up, else they are .2 and .8."""
     a, c = (F.greatest(sources[x], F.lit(0.0)) for x in ("asr", "caption"))
     build = lambda x, y, z: F.struct(x.alias("asr"), y.alias("caption"), z.alias("ocr"))
-    scaled = F.when(a + c > 0, build(a / (a + c), c / (a + c), F.lit(0.0))).otherwise(build(F.lit(0.2), F.lit(0.8), F.lit(0.0)))
-    return F.when(q.rlike(DISPLAY), build(sources["asr"], sources["caption"], sources["ocr"])).when(q.rlike(SPEECH), scaled).otherwise(build(F.lit(0.2), F.lit(0.8), F.lit(0.0)))
+    plain = build(F.lit(0.2), F.lit(0.8), F.lit(0.0))
+    scaled = F.when(a + c > 0, build(F.round(a / (a + c), 6), F.round(c / (a + c), 6), F.lit(0.0))).otherwise(plain)
+    same = build(sources["asr"], sources["caption"], sources["ocr"])
+    return F.when(folded.rlike(_any_of(DISPLAY_TERMS)), same).when(folded.rlike(_any_of(SPEECH_TERMS)), scaled).otherwise(plain)
 
 
 def event_importance(events: DataFrame) -> DataFrame:
@@ -103,10 +118,14 @@ def parse_events(text: Column, most: int = 8) -> Column:
     )
 
 
+#: Where over-long events are cut (fixed values).
+BOUNDARY = r"(?i)(?<=[.!?])\s+|\b(?:then|after\s+that|afterwards|next|finally|sau\s+đ[oó]|ti[eế]p\s+theo|cu[oố]i\s+c[uù]ng|r[oồ]i)\b"
+
+
 def refine_events(events: DataFrame, longest: int = 120, most: int = 8) -> DataFrame:
     """events: query_id, event_index, text, weight. Longer ones are cut at sentences and connectors, their weight shared;
     at most `most` events of a query stay."""
-    cut = F.when(F.length("text") > longest, _pieces(F.col("text"), r"(?<=[.!?])\s+|\s*;\s*|\s+(?:and then|while|rồi)\s+")).otherwise(F.array("text"))
+    cut = F.when(F.length("text") > longest, _pieces(F.col("text"), BOUNDARY)).otherwise(F.array("text"))
     d = events.withColumn("parts", cut)
     d = d.select("query_id", "event_index", (F.col("weight") / F.size("parts")).alias("weight"), F.posexplode("parts").alias("piece", "text"))
     w = Window.partitionBy("query_id").orderBy("event_index", "piece")

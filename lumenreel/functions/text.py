@@ -12,10 +12,9 @@ from pyspark.sql import types as T
 #: Letters, digits and underscore of any script (fixed value).
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Words that mark a Vietnamese text written without accents (fixed values).
-SIGNAL_TOKENS = (
-    "anh ao ban bien cac cai canh chi chiec cho co con cua dan dang den di do doan dong duoc duong giua hai hinh khi "
-    "khong la mau mot nam nguoi nhung noi nu o phia sau tai tay thay the tren trong truoc tu va vao ve video voi xe"
-).split()
+SIGNAL_TOKENS = "ao ban cau cua dang den do duoc gi la nguoi nhung noi o trong voi".split()
+#: The same for query planning, where they must also be a quarter of all words (fixed values).
+PLANNER_TOKENS = "ao con cuc dan den do gioi hanh hiem ho mau mien moi nam nguoi phi phong quang quy sinh tau them thieu tin tru tu vai vu".split()
 
 
 def tokenize(text: Column) -> Column:
@@ -43,6 +42,13 @@ def looks_vietnamese(text: Column, signals: tuple[str, ...] = tuple(SIGNAL_TOKEN
     return F.coalesce(text, F.lit("")).rlike("[À-ỹ]") | (hits >= 2)
 
 
+def planner_vietnamese(text: Column, folded: Column) -> Column:
+    """Accented letters, or at least two signal words that are a quarter of the folded text's words."""
+    words = F.regexp_extract_all(folded, F.lit("([a-z]+)"), F.lit(1))
+    hits = F.size(F.filter(words, lambda w: w.isin(*PLANNER_TOKENS)))
+    return F.coalesce(text, F.lit("")).rlike("[À-ỹ]") | ((hits >= 2) & (hits / F.greatest(F.size(words), F.lit(1)) >= 0.25))
+
+
 def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions import queries as fq
+from lumenreel.functions.text import fold_text
 from lumenreel.operators import ranking as r
 from lumenreel.plans import views as v
 from lumenreel.plans.common import register
@@ -212,13 +213,14 @@ def p11_infer_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries with a quotation mark and, mostly, a year."""
     d = v.table(spark, sf_dir, "documents")
     text = F.concat(F.lit('"'), F.substring("source", 4, 9), F.lit(" in "), (F.col("doc_id") % 300 + 1900))
-    p = fq.strategy(text, F.when(F.col("lang") == "en", "TRAKE").otherwise("KIS"))
-    return d.select("doc_id", p.alias("p")).select("doc_id", "p.evidence", F.col("p.weights.visual").alias("visual"))
+    q = d.select("doc_id", "lang", text.alias("q")).withColumn("folded", fold_text("q"))
+    p = fq.strategy(F.col("q"), F.col("folded"), F.when(F.col("lang") == "en", "TRAKE").otherwise("KIS"))
+    return q.select("doc_id", p.alias("p")).select("doc_id", "p.evidence", F.col("p.weights.visual").alias("visual"))
 
 
 @query("SELECT doc_id, CASE lang WHEN 'fr' THEN 0.5 WHEN 'de' THEN 0.0 ELSE 0.0 END::DOUBLE AS ocr, round(CASE lang WHEN 'fr' THEN 0.2 WHEN 'de' THEN 0.2 / 0.5 ELSE 0.2 END::DOUBLE, 6) AS asr FROM documents")
 def p12_gate_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.when(F.col("lang") == "fr", "the title on a sign").when(F.col("lang") == "de", "what they said").otherwise("a red car")
+    q = F.when(F.col("lang") == "fr", "the title on a sign").when(F.col("lang") == "de", "their speech").otherwise("a red car")
     w = F.struct(F.lit(0.2).alias("asr"), F.lit(0.3).alias("caption"), F.lit(0.5).alias("ocr"))
     g = fq.gate_ocr(w, q)
     return v.table(spark, sf_dir, "documents").select("doc_id", g["ocr"].alias("ocr"), F.round(g["asr"], 6).alias("asr"))
