@@ -8,7 +8,8 @@ smaller of two counts bounds the overlap of two sets from above. Equal sets are
 2. What that may have missed is found exactly. Two sets at or above the threshold share a token among the first
    n - ceil(t n) + 1 of each in any common order; here frequent shingles come last, found by a count over all
    documents. A token's documents from more than one cluster are packed into an R-tree of their points, whose nodes
-   hold the largest counts and smallest sizes below them; pairs of different clusters that survive are verified.
+   hold the largest counts and smallest sizes below them; pairs of different clusters that survive, and whose
+   prefixes share as many tokens as the threshold implies, are verified.
 
 Verification compares the whole sets of 64-bit shingle hashes, made anew from the whole texts. No pair of a cluster
 is enumerated in step 2, as it changes no component.
@@ -33,13 +34,15 @@ SIZE = 5
 #: The threshold as a fraction: NUMERATOR * union <= DENOMINATOR * intersection.
 NUMERATOR, DENOMINATOR = 4, 5
 GROUPS = 64
+#: Sets of at least LARGE shingles have points of FINE groups, as random counts of large sets tell less apart.
+FINE, LARGE = 256, 800
 KEYS = 4
 #: A shingle is frequent if more than this share of documents has it; so there are at most 1/share times the mean
 #: set size of them, which bounds what is broadcast.
 FREQUENT = 0.001
 FREQUENT_LEAST = 16
 #: Tokens that a task counts at a time.
-COUNTED = 4_000_000
+COUNTED = 1_500_000
 NODE = 32
 CHUNK = 32
 BUCKETS = 1 << 20
@@ -81,7 +84,7 @@ def frequent_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     return np.sort(found.column("token").to_numpy().view(_U)) if found.num_rows else np.zeros(0, _U)
 
 
-SETS = "doc_id long, n long, high long, low long, counts binary, prefix array<long>, n_index int, keys array<long>"
+SETS = "doc_id long, n long, high long, low long, counts binary, prefix array<long>, keys array<long>"
 
 
 def describe(docs: DataFrame, frequent: np.ndarray, size: int = SIZE) -> DataFrame:
@@ -91,7 +94,7 @@ def describe(docs: DataFrame, frequent: np.ndarray, size: int = SIZE) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = known.value
         for part in slices(batches):
-            rows: dict[str, list] = {c: [] for c in ("n", "high", "low", "counts", "prefix", "n_index", "keys")}
+            rows: dict[str, list] = {c: [] for c in ("n", "high", "low", "counts", "prefix", "keys")}
             for own in shingles(part.column("text").to_pylist(), size):
                 n = len(own)
                 if n and len(often):
@@ -101,36 +104,56 @@ def describe(docs: DataFrame, frequent: np.ndarray, size: int = SIZE) -> DataFra
                 else:
                     ordered = own
                 probe = n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
-                both = NUMERATOR + DENOMINATOR
                 rows["n"].append(n)
                 rows["high"].append(int(np.add.reduce(mix(own), dtype=_U).view(np.int64)) if n else 0)
                 rows["low"].append(int(np.bitwise_xor.reduce(mix(own ^ _U(0x5BD1E995))).view(np.int64)) if n else 0)
-                rows["counts"].append(np.bincount((own >> _U(17)) % _U(GROUPS), minlength=GROUPS).clip(max=65535).astype("<u2").tobytes())
+                groups = FINE if n >= LARGE else GROUPS
+                rows["counts"].append(np.bincount((own >> _U(17)) % _U(groups), minlength=groups).clip(max=255).astype(np.uint8).tobytes())
                 rows["prefix"].append(ordered[:probe].view(np.int64))
-                rows["n_index"].append(n - -(-2 * NUMERATOR * n // both) + 1 if n else 0)
                 rows["keys"].append(np.array([mix(own ^ _U(k * 0x9E3779B97F4A7C15 & (2**64 - 1))).min() for k in range(KEYS)], _U).view(np.int64) if n else np.zeros(0, np.int64))
             lists = lambda c: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in rows[c]]))).astype(np.int32), np.concatenate(rows[c]))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), pa.array(rows["n"], pa.int64()), pa.array(rows["high"], pa.int64()), pa.array(rows["low"], pa.int64()),
-                    pa.array(rows["counts"], pa.binary()), lists("prefix"), pa.array(rows["n_index"], pa.int32()), lists("keys"),
+                    pa.array(rows["counts"], pa.binary()), lists("prefix"), lists("keys"),
                 ],
-                ["doc_id", "n", "high", "low", "counts", "prefix", "n_index", "keys"],
+                ["doc_id", "n", "high", "low", "counts", "prefix", "keys"],
             )
 
     return as_documents(docs).mapInArrow(run, SETS)
 
 
-def allowed(points_a: np.ndarray, n_a: np.ndarray, points_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Whether the bound on the overlap reaches the threshold: (p + q) * overlap >= p * (n_a + n_b) for t = p / q."""
-    bound = np.minimum(points_a, points_b).sum(1, dtype=np.int64)
-    # counts are cut at 65535, so the bound of a longer document isn't one
-    bound = np.where(np.maximum(n_a, n_b) > 65535, np.minimum(n_a, n_b), bound)
-    return (NUMERATOR + DENOMINATOR) * np.minimum(bound, np.minimum(n_a, n_b)) >= NUMERATOR * (n_a + n_b)
-
-
-def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, GROUPS)
+class Points:
+    """The points of some sets: of GROUPS groups for all, of FINE groups for large ones. Fine groups fold into the others."""
+
+    def __init__(self, blobs: list[bytes], n: np.ndarray):
+        self.n = n
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        fine = np.flatnonzero(sizes == FINE)
+        self.coarse = np.zeros((len(blobs), GROUPS), np.uint16)
+        own = np.flatnonzero(sizes == GROUPS)
+        self.coarse[own] = np.frombuffer(b"".join(blobs[i] for i in own), np.uint8).reshape(-1, GROUPS)
+        self.fine = np.frombuffer(b"".join(blobs[i] for i in fine), np.uint8).reshape(-1, FINE)
+        self.coarse[fine] = self.fine.reshape(-1, FINE // GROUPS, GROUPS).sum(1)
+        self.fine_at = np.full(len(blobs), -1)
+        self.fine_at[fine] = np.arange(len(fine))
+        #: Counts are cut at 255; such a point bounds nothing.
+        self.cut = np.fromiter((255 in x for x in blobs), bool, len(blobs))
+
+    def allow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the bound on the overlap of sets i and j reaches the threshold t = p / q: (p + q) * overlap >= p * (n_i + n_j)."""
+        n_i, n_j = self.n[i], self.n[j]
+        least = np.minimum(n_i, n_j)
+        ok = NUMERATOR * np.maximum(n_i, n_j) <= DENOMINATOR * least
+        free = self.cut[i] | self.cut[j]
+        for points, at in ((self.coarse, None), (self.fine, self.fine_at)):
+            k = np.flatnonzero(ok & ~free) if at is None else np.flatnonzero(ok & ~free & (at[i] >= 0) & (at[j] >= 0))
+            for s in range(0, len(k), 32_768):
+                c = k[s : s + 32_768]
+                a, b = (i[c], j[c]) if at is None else (at[i[c]], at[j[c]])
+                bound = np.minimum(points[a], points[b]).sum(1, dtype=np.int64)
+                ok[c] = (NUMERATOR + DENOMINATOR) * np.minimum(bound, least[c]) >= NUMERATOR * (n_i[c] + n_j[c])
+        return ok
 
 
 def _bounded(pairs: DataFrame) -> DataFrame:
@@ -138,23 +161,23 @@ def _bounded(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                own = [batch.column(c) for c in ("counts_a", "n_a", "counts_b", "n_b")]
-                ok = allowed(_points(own[0]), own[1].to_numpy(), _points(own[2]), own[3].to_numpy())
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+            rows = batch.num_rows
+            if rows:
+                n = np.concatenate([batch.column(c).to_numpy() for c in ("n_a", "n_b")])
+                points = Points(batch.column("counts_a").to_pylist() + batch.column("counts_b").to_pylist(), n)
+                yield batch.select(["a", "b"]).filter(pa.array(points.allow(np.arange(rows), np.arange(rows, 2 * rows))))
 
     return pairs.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(run, "a long, b long")
 
 
 def star_pairs(sets: DataFrame) -> DataFrame:
-    """Each class with the smallest class of each of its keys."""
-    keyed = sets.select("doc_id", "n", "counts", F.posexplode("keys").alias("k", "key"))
-    first = keyed.groupBy("k", "key").agg(F.min(F.struct("doc_id", "n", "counts")).alias("f"))
-    met = keyed.join(first, ["k", "key"]).where("doc_id <> f.doc_id")
-    near = (NUMERATOR * F.greatest("n", "f.n")) <= (DENOMINATOR * F.least("n", "f.n"))
-    return met.where(near).select(
-        F.col("f.doc_id").alias("a"), F.col("f.n").alias("n_a"), F.col("f.counts").alias("counts_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("counts_b")
-    )
+    """Each class with the smallest class of each of its keys, as pairs with sizes and points."""
+    keyed = sets.select("doc_id", F.posexplode("keys").alias("k", "key"))
+    first = keyed.groupBy("k", "key").agg(F.min("doc_id").alias("a"))
+    met = keyed.join(first, ["k", "key"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
+    near = (NUMERATOR * F.greatest("n_a", "n_b")) <= (DENOMINATOR * F.least("n_a", "n_b"))
+    return met.join(side("b"), "b").join(side("a"), "a").where(near)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -199,52 +222,61 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long")
 
 
-def tree_pairs(points: np.ndarray, n: np.ndarray, cluster: np.ndarray, indexed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of points in order of n that the R-tree leaves over; i, the smaller, has the token in its index prefix.
+def tree_pairs(points: Points, start: int, end: int, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i before j, of the points start..end in order of n that the R-tree leaves over.
 
     Leaves hold NODE points that follow each other by size, nodes NODE nodes; all queries descend together.
     """
-    levels = [(points, n)]
+    n = points.n[start:end]
+    # a cut point bounds nothing, so in a box it counts as the largest possible
+    base = np.where(points.cut[start:end, None], np.uint16(65535), points.coarse[start:end])
+    levels = [(base, n)]
     while len(levels[-1][0]) > NODE:
         box, least = levels[-1]
         cuts = np.arange(0, len(box), NODE)
         levels.append((np.maximum.reduceat(box, cuts, axis=0), np.minimum.reduceat(least, cuts)))
-    found_i, found_j = [], []
-    for start in range(0, len(points), 512):
-        asked = np.arange(start, min(start + 512, len(points)))
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first in range(0, len(n), 512):
+        asked = np.arange(first, min(first + 512, len(n)))
         top = len(levels[-1][0])
         q, node = np.repeat(asked, top), np.tile(np.arange(top), len(asked))
-        for depth in range(len(levels) - 1, -1, -1):
+        for depth in range(len(levels) - 1, 0, -1):
             box, least = levels[depth]
             span = NODE**depth
-            keep = node * span < q  # some point below comes before the query
-            keep &= DENOMINATOR * np.minimum(least[node] * 0 + n[np.minimum((node + 1) * span, len(n)) - 1], n[q]) >= NUMERATOR * n[q]
+            largest = n[np.minimum((node + 1) * span, len(n)) - 1]
+            keep = (node * span < q) & (DENOMINATOR * np.minimum(largest, n[q]) >= NUMERATOR * n[q])  # some point before q is large enough
             q, node = q[keep], node[keep]
-            alive = []
-            for s in range(0, len(q), 65_536):
-                a, b = q[s : s + 65_536], node[s : s + 65_536]
-                bound = np.minimum(points[a], box[b]).sum(1, dtype=np.int64)
-                bound = np.where(n[a] > 65535, n[a], bound)
-                alive.append((NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n[a] + least[b]))
-            keep = np.concatenate(alive) if alive else np.zeros(0, bool)
-            q, node = q[keep], node[keep]
-            if depth:
-                below = len(levels[depth - 1][0])
-                child = (node[:, None] * NODE + np.arange(NODE)).ravel()
-                q = np.repeat(q, NODE)
-                inside = child < below
-                q, node = q[inside], child[inside]
-        keep = (node < q) & indexed[node] & (cluster[node] != cluster[q])
-        found_i.append(node[keep])
-        found_j.append(q[keep])
+            alive = np.zeros(len(q), bool)
+            for s in range(0, len(q), 32_768):
+                a, b = q[s : s + 32_768], node[s : s + 32_768]
+                bound = np.minimum(np.minimum(base[a], box[b]).sum(1, dtype=np.int64), n[a])
+                alive[s : s + 32_768] = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n[a] + least[b])
+            q, node = q[alive], node[alive]
+            child = (node[:, None] * NODE + np.arange(NODE)).ravel()
+            q = np.repeat(q, NODE)
+            inside = child < len(levels[depth - 1][0])
+            q, node = q[inside], child[inside]
+        keep = (node < q) & (cluster[start + node] != cluster[start + q])
+        i, j = node[keep] + start, q[keep] + start
+        ok = points.allow(i, j)
+        found_i.append(i[ok])
+        found_j.append(j[ok])
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
+def needed(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """How many tokens two prefixes must share at least.
+
+    Of the overlap o that the threshold asks for, all but what lies behind the prefix that ends first is in both
+    prefixes; behind a prefix of a set of n lie ceil(t n) - 1 tokens.
+    """
+    overlap = -(-NUMERATOR * (n_a + n_b) // (NUMERATOR + DENOMINATOR))
+    return np.maximum(1, overlap + 1 - -(-NUMERATOR * np.maximum(n_a, n_b) // DENOMINATOR))
+
+
 def missed_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different clusters that share a prefix token and whose points allow the threshold."""
-    posted = sets.select("doc_id", "cluster", "n", "n_index", F.posexplode("prefix").alias("at", "token")).select(
-        "token", "doc_id", "cluster", F.col("n").cast("int").alias("n"), (F.col("at") < F.col("n_index")).alias("indexed")
-    )
+    """Pairs (a, b) of classes of different clusters whose prefixes share enough tokens and whose points allow the threshold."""
+    posted = sets.select(F.explode("prefix").alias("token"), "doc_id", "cluster", F.col("n").cast("int").alias("n"))
 
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by token those whose token has several clusters; a token's rows so far are kept in part."""
@@ -288,7 +320,7 @@ def missed_pairs(sets: DataFrame) -> DataFrame:
             if flags.any():
                 yield batch.filter(pa.array(flags))
 
-    schema = "token long, doc_id long, cluster long, n int, indexed boolean"
+    schema = "token long, doc_id long, cluster long, n int"
     shared = posted.repartition("token").sortWithinPartitions("token").mapInArrow(live, schema)
     points = sets.select("doc_id", "counts")
     shared = stored(shared, "shared-tokens")
@@ -305,8 +337,8 @@ def missed_pairs(sets: DataFrame) -> DataFrame:
         def out(table: pa.Table) -> pa.RecordBatch:
             table = table.combine_chunks()
             token, ids, cluster = (table.column(c).to_numpy() for c in ("token", "doc_id", "cluster"))
-            n, indexed = table.column("n").to_numpy().astype(np.int64), table.column("indexed").to_numpy()
-            points = _points(table.column("counts"))
+            n = table.column("n").to_numpy().astype(np.int64)
+            points = Points(table.column("counts").to_pylist(), n)
             tile, low, high = (table.column(c).to_numpy() for c in ("tile", "low", "high"))
             other = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
             starts = np.concatenate(([0], np.flatnonzero(other) + 1))
@@ -315,22 +347,24 @@ def missed_pairs(sets: DataFrame) -> DataFrame:
             small = sizes[run] <= 2 * NODE
             i_all, j_all = [], []
             for d in range(1, int(min(sizes.max(), 2 * NODE))):  # short runs are one leaf
-                i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:]) & indexed[:-d] & (cluster[:-d] != cluster[d:]))
-                if len(i):
-                    i = i[allowed(points[i], n[i], points[i + d], n[i + d])]
+                i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:]) & (cluster[:-d] != cluster[d:]))
+                i = i[points.allow(i, i + d)]
                 i_all.append(i)
                 j_all.append(i + d)
             for k in np.flatnonzero(sizes > 2 * NODE):
                 a, b = starts[k], starts[k] + sizes[k]
-                i, j = tree_pairs(points[a:b], n[a:b], cluster[a:b], indexed[a:b])
-                i_all.append(i + a)
-                j_all.append(j + a)
+                i, j = tree_pairs(points, a, b, cluster)
+                i_all.append(i)
+                j_all.append(j)
             i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i_all, j_all))
             here = (low[i] == high[i]) | (tile[i] != tile[j])
             i, j = i[here], j[here]
             x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            pair = np.unique(np.stack([x, y]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+            order = np.lexsort((y, x))
+            x, y, need = x[order], y[order], needed(n[i], n[j])[order]
+            new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, np.int64)
+            shared = np.diff(np.append(new, len(x)))
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (x[new], y[new], shared, need[new])], ["a", "b", "shared", "need"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -345,7 +379,9 @@ def missed_pairs(sets: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield out(held)
 
-    return sorted_runs.select(*runs, "tile", "doc_id", "cluster", "n", "indexed", "counts").mapInArrow(search, "a long, b long").where("a <> b").distinct()
+    found = sorted_runs.select(*runs, "tile", "doc_id", "cluster", "n", "counts").mapInArrow(search, "a long, b long, shared long, need long")
+    pairs = found.where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    return pairs.where("shared >= need").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -354,7 +390,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     name = ["n", "high", "low"]
     classes = described.where("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"))
     own = described.select("doc_id", *name)
-    reps = stored(described.where("n > 0").join(classes.select(*name, F.col("rep").alias("doc_id")), [*name, "doc_id"]).dropDuplicates(["doc_id"]), "set-classes")
+    reps = stored(described.where("n > 0").join(classes.select(*name, F.col("rep").alias("doc_id")), [*name, "doc_id"]).dropDuplicates([*name, "doc_id"]), "set-classes")
     stars = stored(_bounded(star_pairs(reps)).distinct(), "stars")
     links = stored(verify(stars, docs, size), "star-links")
     clusters = stored(components(links), "clusters")
