@@ -50,6 +50,10 @@ BUCKETS = 1 << 20
 HELD = 200_000
 #: Rows of a tile; a token with more is dealt over pairs of tiles.
 TILE = 8_192
+#: Tokens whose smallest document is the same go to so many tasks, and those add up what pairs share before they write.
+SALTS = 4
+#: Pairs that a task adds up at most.
+ADDED = 500_000
 _U = np.uint64
 
 
@@ -324,17 +328,19 @@ def missed_pairs(sets: DataFrame) -> DataFrame:
     shared = posted.repartition("token").sortWithinPartitions("token").mapInArrow(live, schema)
     points = sets.select("doc_id", "counts")
     shared = stored(shared, "shared-tokens")
-    sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > TILE).select("token", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
-    tiled = shared.join(sizes, "token", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    sizes = shared.groupBy("token").agg(F.min("doc_id").alias("lead"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    tiled = shared.join(sizes, "token").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("other", "tiles")
-    runs = ["token", "low", "high"]
-    sorted_runs = tiled.join(points, "doc_id").repartition(*runs).sortWithinPartitions(*runs, "n", "doc_id")
+    task = ["lead", "salt", "low", "high"]
+    sorted_runs = tiled.join(points, "doc_id").repartition(*task).sortWithinPartitions(*task, "token", "n", "doc_id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        added = np.zeros((5, 0), np.int64)  # place of the task key, a, b, shared, need
 
-        def out(table: pa.Table) -> pa.RecordBatch:
+        def out(table: pa.Table) -> np.ndarray:
             table = table.combine_chunks()
             token, ids, cluster = (table.column(c).to_numpy() for c in ("token", "doc_id", "cluster"))
             n = table.column("n").to_numpy().astype(np.int64)
@@ -360,11 +366,16 @@ def missed_pairs(sets: DataFrame) -> DataFrame:
             here = (low[i] == high[i]) | (tile[i] != tile[j])
             i, j = i[here], j[here]
             x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            order = np.lexsort((y, x))
-            x, y, need = x[order], y[order], needed(n[i], n[j])[order]
-            new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, np.int64)
-            shared = np.diff(np.append(new, len(x)))
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (x[new], y[new], shared, need[new])], ["a", "b", "shared", "need"])
+            key = table.column("lead").to_numpy()[i] * SALTS + table.column("salt").to_numpy()[i]
+            return np.stack([key, x, y, np.ones(len(x), np.int64), needed(n[i], n[j])])
+
+        def summed(pairs: np.ndarray) -> np.ndarray:
+            pairs = pairs[:, np.lexsort((pairs[2], pairs[1], pairs[0]))]
+            new = np.flatnonzero(np.concatenate(([True], (pairs[:3, 1:] != pairs[:3, :-1]).any(0)))) if pairs.shape[1] else np.zeros(0, np.int64)
+            return np.concatenate((pairs[:3, new], np.add.reduceat(pairs[3], new)[None] if len(new) else pairs[3:4, :0], pairs[4:, new]))
+
+        def written(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs[1:]], ["a", "b", "shared", "need"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -374,12 +385,17 @@ def missed_pairs(sets: DataFrame) -> DataFrame:
             keys = [held.column(c).to_numpy() for c in ("token", "low", "high")]
             cut = int(np.flatnonzero(~np.all([k == k[-1] for k in keys], axis=0)).max(initial=-1)) + 1
             if cut:
-                yield out(held.slice(0, cut))
+                added = summed(np.concatenate((added, out(held.slice(0, cut))), axis=1))
                 held = held.slice(cut)
+                now = held.column("lead")[0].as_py() * SALTS + held.column("salt")[0].as_py()
+                done = (added[0] != now) | (added.shape[1] > ADDED)
+                yield written(added[:, done])
+                added = added[:, ~done]
         if held is not None and held.num_rows:
-            yield out(held)
+            added = np.concatenate((added, out(held)), axis=1)
+        yield written(summed(added))
 
-    found = sorted_runs.select(*runs, "tile", "doc_id", "cluster", "n", "counts").mapInArrow(search, "a long, b long, shared long, need long")
+    found = sorted_runs.select(*task, "token", "tile", "doc_id", "cluster", "n", "counts").mapInArrow(search, "a long, b long, shared long, need long")
     pairs = found.where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
     return pairs.where("shared >= need").select("a", "b")
 
