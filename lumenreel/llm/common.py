@@ -13,16 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one slice that a Python task holds as Python strings at a time.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 _U = np.uint64
 
 
 #: Bytes of an Arrow batch, or one row if that is larger: bounds what Python workers hold, however long texts are.
 BATCH_BYTES = str(4 << 20)
 
+#: Python workers are used again and again: large arrays go back to the system when they are freed.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -42,7 +42,7 @@ KEYS = 4
 FREQUENT = 0.001
 FREQUENT_LEAST = 16
 #: Tokens that a task counts at a time.
-COUNTED = 1_500_000
+COUNTED = 800_000
 NODE = 32
 CHUNK = 32
 BUCKETS = 1 << 20
@@ -53,7 +53,7 @@ TILE = 8_192
 #: Tokens whose smallest document is the same go to so many tasks, and those add up what pairs share before they write.
 SALTS = 4
 #: Pairs that a task adds up at most.
-ADDED = 500_000
+ADDED = 100_000
 _U = np.uint64
 
 
@@ -152,8 +152,8 @@ class Points:
         free = self.cut[i] | self.cut[j]
         for points, at in ((self.coarse, None), (self.fine, self.fine_at)):
             k = np.flatnonzero(ok & ~free) if at is None else np.flatnonzero(ok & ~free & (at[i] >= 0) & (at[j] >= 0))
-            for s in range(0, len(k), 32_768):
-                c = k[s : s + 32_768]
+            for s in range(0, len(k), 8_192):
+                c = k[s : s + 8_192]
                 a, b = (i[c], j[c]) if at is None else (at[i[c]], at[j[c]])
                 bound = np.minimum(points[a], points[b]).sum(1, dtype=np.int64)
                 ok[c] = (NUMERATOR + DENOMINATOR) * np.minimum(bound, least[c]) >= NUMERATOR * (n_i[c] + n_j[c])
@@ -240,8 +240,8 @@ def tree_pairs(points: Points, start: int, end: int, cluster: np.ndarray) -> tup
         cuts = np.arange(0, len(box), NODE)
         levels.append((np.maximum.reduceat(box, cuts, axis=0), np.minimum.reduceat(least, cuts)))
     found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for first in range(0, len(n), 512):
-        asked = np.arange(first, min(first + 512, len(n)))
+    for first in range(0, len(n), 128):
+        asked = np.arange(first, min(first + 128, len(n)))
         top = len(levels[-1][0])
         q, node = np.repeat(asked, top), np.tile(np.arange(top), len(asked))
         for depth in range(len(levels) - 1, 0, -1):
@@ -251,10 +251,10 @@ def tree_pairs(points: Points, start: int, end: int, cluster: np.ndarray) -> tup
             keep = (node * span < q) & (DENOMINATOR * np.minimum(largest, n[q]) >= NUMERATOR * n[q])  # some point before q is large enough
             q, node = q[keep], node[keep]
             alive = np.zeros(len(q), bool)
-            for s in range(0, len(q), 32_768):
-                a, b = q[s : s + 32_768], node[s : s + 32_768]
+            for s in range(0, len(q), 8_192):
+                a, b = q[s : s + 8_192], node[s : s + 8_192]
                 bound = np.minimum(np.minimum(base[a], box[b]).sum(1, dtype=np.int64), n[a])
-                alive[s : s + 32_768] = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n[a] + least[b])
+                alive[s : s + 8_192] = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n[a] + least[b])
             q, node = q[alive], node[alive]
             child = (node[:, None] * NODE + np.arange(NODE)).ravel()
             q = np.repeat(q, NODE)
