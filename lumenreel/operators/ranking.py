@@ -6,7 +6,7 @@ a ranking of the rows that pass a filter are not the same thing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from lumenreel.functions.text import tokenize
 
 #: Query vectors that one task multiplies with its rows at a time.
 QUERY_BLOCK = 1_024
+#: Vectors of a block of cosine_blocks.
+VECTOR_BLOCK = 4_096
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column | str], k: int, rank: str = "rank") -> DataFrame:
@@ -70,6 +72,55 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFra
     return top(near, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
+def cosine_blocks(vectors: DataFrame, queries: DataFrame, keep: Callable, schema: str, same: list[str] | None = None) -> DataFrame:
+    """Every query meets every vector (with the same values in the columns `same`), block by block.
+
+    vectors: vec_id, embedding, label; queries: query_id, query, label. keep(asked, rows, scores) gets the columns of
+    a block of each, without the vectors, and the cosines (one row a query), and returns the columns of schema. Null
+    and zero vectors take no part, and only vectors of one length meet; no block has more than about QUERY_BLOCK
+    queries or VECTOR_BLOCK vectors, however many have one label.
+    """
+    key = [*(same or []), "_dim"]
+    sides = []
+    for df, name, vector, size, own in ((vectors, "vec_id", "embedding", VECTOR_BLOCK, "_rows"), (queries, "query_id", "query", QUERY_BLOCK, "_asked")):
+        one = df.select(name, vector, "label").where(F.exists(vector, lambda x: x != 0)).withColumn("_dim", F.size(vector))
+        blocks = one.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+        dealt = one.join(blocks, key).withColumn(f"{own}_block", F.pmod(F.xxhash64(name), F.col("_n")))
+        sides.append(dealt.groupBy(*key, f"{own}_block").agg(F.collect_list(F.struct(F.col(name).alias("id"), F.col(vector).alias("x"), "label")).alias(own)))
+    pairs = sides[0].join(sides[1], key)
+    parts = max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pairs.repartition(parts, *key, "_rows_block", "_asked_block").select("_rows", "_asked")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                unit, columns = [], []
+                for c in ("_asked", "_rows"):
+                    t = batch.column(c)[i].values
+                    x = t.field("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
+                    unit.append(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    columns.append({"id": t.field("id").to_numpy(), "label": t.field("label")})
+                for a in range(0, len(unit[0]), 256):  # bounds the matrix of scores
+                    asked = {k: v[a : a + 256] for k, v in columns[0].items()}
+                    out = keep(asked, columns[1], unit[0][a : a + 256] @ unit[1].T)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return dealt.mapInArrow(score, schema)
+
+
+def best_of_block(k: int) -> Callable:
+    """For cosine_blocks: query_id, vec_id and score of each query's k best, by score to nine places, then smaller id."""
+
+    def keep(asked: dict, rows: dict, scores: np.ndarray) -> list:
+        best = [np.lexsort((rows["id"], -np.round(one, 9)))[:k] for one in scores]
+        places = np.concatenate(best)
+        of = np.repeat(np.arange(len(scores)), [len(b) for b in best])
+        return [asked["id"][of], rows["id"][places], scores[of, places]]
+
+    return keep
+
+
 def postings(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row for each key and distinct token: token and its count tf."""
     return docs.select(*keys, F.explode(tokenize(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))

@@ -128,7 +128,7 @@ def t02_cosine_topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = v.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.5, numHashTables=6, seed=1).fit(e)
-    near = model.approxSimilarityJoin(e.where("vec_id < 20"), e, 1.35, "distance")
+    near = model.approxSimilarityJoin(e.where("vec_id % 100 = 0"), e, 1.35, "distance")
     scored = near.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), (1 - F.col("distance") * F.col("distance") / 2).alias("score"))
     return r.top(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], 10)
 

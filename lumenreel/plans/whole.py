@@ -1,0 +1,102 @@
+"""Queries over the whole of their input, without SQL: tests/test_whole.py compares them with brute force.
+
+Their namesakes without _whole work on a part that their SQL has too.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenreel.operators import ranking as r
+from lumenreel.plans import views as v
+from lumenreel.plans.common import register
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+query = register(QUERIES, SQL)
+
+# Vectors
+
+
+def vector_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries every row whose id is divisible by 100."""
+    e = v.table(spark, sf_dir, "embeddings")
+    return e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = r.top(found, ["query_id"], [F.desc(F.round("score", 9)), F.asc("vec_id")], k)
+    return best.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def t01_cosine_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, asked = vector_tables(spark, sf_dir)
+    return _best(r.cosine_blocks(e, asked, r.best_of_block(10), "query_id long, vec_id long, score double"), 10)
+
+
+@query()
+def j03_restricted_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only vectors of the query's own label may be hits."""
+    e, asked = vector_tables(spark, sf_dir)
+    return _best(r.cosine_blocks(e, asked, r.best_of_block(10), "query_id long, vec_id long, score double", ["label"]), 10)
+
+
+@query()
+def t03_scan_rank_target_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hit of each video, and the rank of the target video (the query's own label): 1 + strictly better ones."""
+    e, asked = vector_tables(spark, sf_dir)
+
+    def keep(asked: dict, rows: dict, scores: np.ndarray) -> list:
+        code = pc.dictionary_encode(rows["label"], null_encoding="encode").indices.to_numpy()
+        out = []
+        for i, (own, one) in enumerate(zip(asked["id"], scores, strict=True)):
+            order = np.lexsort((rows["id"], -np.round(one, 9), code))
+            order = order[rows["id"][order] != own]
+            first = order[np.flatnonzero(np.diff(code[order], prepend=-1))]
+            out.append((np.full(len(first), i), first))
+        of, place = (np.concatenate(c) for c in zip(*out, strict=True))
+        return [asked["id"][of], asked["label"].take(of), rows["label"].take(place), rows["id"][place], scores[of, place]]
+
+    s = r.cosine_blocks(e, asked, keep, "query_id long, target int, video_id int, vec_id long, score double")
+    best = s.groupBy("query_id", "target", "video_id").agg(F.max("score").alias("score"), F.min_by("vec_id", F.struct((-F.round("score", 9)).alias("s"), "vec_id")).alias("vec_id"))
+    w = Window.partitionBy("query_id")
+    goal = F.max(F.when(F.col("video_id") == F.col("target"), F.round("score", 9))).over(w)
+    ranked = best.withColumn("goal", goal).withColumn("target_rank", 1 + F.sum((F.round("score", 9) > F.col("goal")).cast("long")).over(w))
+    return ranked.where("goal is not null").select("query_id", "video_id", "vec_id", F.round("score", 6).alias("score"), "target_rank")
+
+
+@query()
+def t09_semantic_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models' lists of thirty, fused by reciprocal ranks."""
+    e, asked = vector_tables(spark, sf_dir)
+    best = r.best_of_block(30)
+
+    def keep(asked: dict, rows: dict, scores: np.ndarray) -> list:
+        lists = [best(asked, rows, s) for s in (scores, scores * (rows["id"] % 3))]
+        model = np.repeat(["a", "b"], [len(x[0]) for x in lists])
+        return [model, *(np.concatenate(c) for c in zip(*lists, strict=True))]
+
+    every = r.cosine_blocks(e, asked, keep, "model string, query_id long, frame_id long, score double")
+    lists = r.top(every.where("score > 0"), ["query_id", "model"], [F.desc(F.round("score", 9)), F.asc("frame_id")], 30)
+    weighted = lists.drop("rank").withColumn("weight", F.when(F.col("model") == "a", 0.6).otherwise(0.4))
+    return r.reciprocal_rank_fusion(weighted).withColumn("score", F.round("score", 6))
+
+
+@query()
+def e19_variant_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all variants of a case: the best cosine to another and the mean distance."""
+    e, _ = vector_tables(spark, sf_dir)
+
+    def keep(asked: dict, rows: dict, scores: np.ndarray) -> list:
+        other = rows["id"][None, :] != asked["id"][:, None]
+        some = other.any(1)
+        best, total = np.where(other, scores, -np.inf).max(1), np.where(other, scores, 0.0).sum(1)
+        return [asked["label"].take(np.flatnonzero(some)), asked["id"][some], best[some], total[some], other.sum(1)[some]]
+
+    every = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+    c = r.cosine_blocks(e, every, keep, "label int, vec_id long, best double, total double, n long", ["label"])
+    return c.groupBy("label", "vec_id").agg(F.round(F.max("best"), 6).alias("best"), F.round(1 - F.sum("total") / F.sum("n"), 6).alias("distance"))

@@ -1,0 +1,79 @@
+"""The queries over the whole of their input against brute force, on fixtures that the parts would get wrong."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from lumenreel.operators import ranking as r
+from lumenreel.plans import registry
+
+
+def run(spark, name, path):
+    return [tuple(x) for x in registry.queries()[name](spark, str(path)).collect()]
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """450 vectors, a third of one label, some equal; query ids up to 400."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)], 1 if i % 3 == 0 else int(rng.integers(2, 6))) for i in range(450)]
+    rows[407] = (407, rows[100][1], 1)
+    path = tmp_path_factory.mktemp("vectors")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{path}/embeddings.parquet")
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return path, x @ x.T, np.array([c for _, _, c in rows])
+
+
+ASKED = (0, 100, 200, 300, 400)
+
+
+@pytest.fixture(autouse=True)
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(r, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(r, "QUERY_BLOCK", 2)
+
+
+def ranked(scores, ids, k):
+    return sorted(ids, key=lambda i: (-round(scores[i], 9), i))[:k]
+
+
+def test_every_query_is_answered(spark, vectors):
+    path, s, label = vectors
+    for name, may in (("t01_cosine_topk_whole", lambda q: range(450)), ("j03_restricted_topk_whole", lambda q: np.flatnonzero(label == label[q]).tolist())):
+        got = {(q, n): (i, c) for q, i, n, c in run(spark, name, path)}
+        want = {(q, n): (i, s[q, i]) for q in ASKED for n, i in enumerate(ranked(s[q], may(q), 10), 1)}
+        assert {k: g[0] for k, g in got.items()} == {k: g[0] for k, g in want.items()}
+        assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    assert {q for q, *_ in run(spark, "t02_cosine_topk_approx", path)} == set(ASKED)
+
+
+def test_target_ranks(spark, vectors):
+    path, s, label = vectors
+    want = set()
+    for q in ASKED:
+        best = {c: ranked(s[q], [i for i in np.flatnonzero(label == c).tolist() if i != q], 1)[0] for c in set(label.tolist())}
+        rank = 1 + sum(round(s[q, i], 9) > round(s[q, best[label[q]]], 9) for i in best.values())
+        want |= {(q, c, i, rank) for c, i in best.items()}
+    assert {(q, c, i, n) for q, c, i, _, n in run(spark, "t03_scan_rank_target_whole", path)} == want
+
+
+def test_two_models(spark, vectors):
+    path, s, _ = vectors
+    want = {}
+    for q in ASKED:
+        for weight, scores in ((0.6, s[q]), (0.4, s[q] * (np.arange(450) % 3))):
+            for n, i in enumerate(ranked(scores, np.flatnonzero(scores > 0).tolist(), 30), 1):
+                want[q, i] = want.get((q, i), 0) + weight / (60 + n)
+    got = {(q, i): c for q, i, c in run(spark, "t09_semantic_scores_whole", path)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_all_variants_of_a_label(spark, vectors):
+    path, s, label = vectors
+    got = {(c, i): (b, d) for c, i, b, d in run(spark, "e19_variant_similarity_whole", path)}
+    assert len(got) == 450
+    for (c, i), (b, d) in got.items():
+        others = [j for j in np.flatnonzero(label == c) if j != i]
+        assert abs(b - s[i, others].max()) < 2e-6 and abs(d - (1 - s[i, others].mean())) < 2e-6
