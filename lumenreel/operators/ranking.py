@@ -140,11 +140,11 @@ def overlap_scores(docs: DataFrame, queries: DataFrame, doc_keys: list[str]) ->
     return scored.select("query_id", *doc_keys, (F.col("shared") / (F.col("q_norm") * F.col("d_norm"))).alias("score"))
 
 
-def best_fields(docs: DataFrame, queries: DataFrame, boosts: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def best_fields(docs: DataFrame, queries: DataFrame, boosts: DataFrame, k: int | None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over fields, the best boosted field wins: query_id, doc_id, score, rank.
 
     docs: doc_id, field, text; boosts: field, boost (those not above 0 are left out before the join). A field of a
-    document counts if it has the required number of the query's distinct tokens.
+    document counts if it has the required number of the query's distinct tokens. Without k all hits are ranked.
     """
     p = postings(docs, ["doc_id", "field"])
     length = p.groupBy("doc_id", "field").agg(F.sum("tf").alias("length"))
@@ -160,7 +160,10 @@ def best_fields(docs: DataFrame, queries: DataFrame, boosts: DataFrame, k: int,
     fields = hits.groupBy("query_id", "doc_id", "field", "boost").agg(F.sum(part).alias("sum"), F.count(F.lit(1)).alias("matched"))
     fields = fields.join(need, "query_id").where("matched >= need")
     scored = fields.groupBy("query_id", "doc_id").agg(F.max(F.col("boost") * F.col("sum")).alias("score"))
-    return top(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
+    order = [F.desc(F.round("score", 9)), F.asc("doc_id")]
+    if k is None:
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return top(scored, ["query_id"], order, k)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: int = 60) -> DataFrame:

@@ -10,9 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenreel.functions import text as ft
+from lumenreel.operators import evaluation as ev
 from lumenreel.operators import ranking as r
 from lumenreel.plans import views as v
 from lumenreel.plans.common import register
+from lumenreel.plans.ranking import BOOSTS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -100,3 +103,86 @@ def e19_variant_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
     c = r.cosine_blocks(e, every, keep, "label int, vec_id long, best double, total double, n long", ["label"])
     return c.groupBy("label", "vec_id").agg(F.round(F.max("best"), 6).alias("best"), F.round(1 - F.sum("total") / F.sum("n"), 6).alias("distance"))
+
+
+# Texts
+
+
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark passages."""
+    return v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source_type, video_id and text of each document."""
+    return v.annotations(spark, sf_dir).withColumnRenamed("keyframe_id", "doc_id")
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.overlap_scores(v.table(spark, sf_dir, "documents"), text_queries(spark, sf_dir), ["doc_id"])
+
+
+def best_fields(spark: SparkSession, sf_dir: str, k: int | None) -> DataFrame:
+    fields = documents(spark, sf_dir).select("doc_id", F.col("source_type").alias("field"), "text")
+    return r.best_fields(fields, text_queries(spark, sf_dir), spark.createDataFrame(list(BOOSTS.items()), "field string, boost double"), k)
+
+
+def _first(scores: DataFrame, k: int) -> DataFrame:
+    best = r.top(scores.where("score > 0"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
+    return best.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def t04_lexical_rank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(lexical(spark, sf_dir), 10).join(v.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("query_id", "doc_id", "rank", "score", "source")
+
+
+@query()
+def t05_text_topk_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap over all fields joined, plus the one field's overlap times its boost."""
+    scores = r.overlap_scores(documents(spark, sf_dir), text_queries(spark, sf_dir), ["doc_id", "source_type"])
+    boost = F.element_at(F.create_map(*(F.lit(x) for kv in BOOSTS.items() for x in kv)), F.col("source_type"))
+    return _first(scores.groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * (1 + boost)).alias("score")), 20)
+
+
+@query()
+def t06_text_topk_best_fields_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fields(spark, sf_dir, 20).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def t07_phrase_bonus_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole passages as phrases."""
+    return r.phrase_bonus(v.table(spark, sf_dir, "documents"), text_queries(spark, sf_dir))
+
+
+@query()
+def t08_text_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches by source with their boosts; captions, whose boost is 0, aren't searched."""
+    used = documents(spark, sf_dir).where(F.col("source_type").isin("asr", "ocr"))
+    scores = r.overlap_scores(used, text_queries(spark, sf_dir), ["doc_id", "source_type"])
+    best = scores.groupBy("query_id", "doc_id").agg(F.max(F.col("score") * F.when(F.col("source_type") == "asr", 2.5).otherwise(3.0)).alias("score"))
+    return _first(best, 15)
+
+
+@query()
+def t21_metadata_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all views of a frame's text, a quarter more where the view names the video."""
+    s = lexical(spark, sf_dir).join(text_queries(spark, sf_dir), "query_id").join(v.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    score = F.least(F.lit(1.0), F.col("score") + F.when(F.col("query_text").contains(F.col("source")), 0.25).otherwise(0.0))
+    return s.groupBy("doc_id").agg(F.round(F.max(score), 6).alias("metadata_score"))
+
+
+@query()
+def e06_recall_mrr_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical ranking against the documents that hold the passage as it stands."""
+    found = r.top(lexical(spark, sf_dir), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], 20).withColumnRenamed("doc_id", "id")
+    q, d = text_queries(spark, sf_dir), v.table(spark, sf_dir, "documents")
+    phrase = r.phrase_bonus(d, q).select("query_id", "doc_id")
+    expected = phrase.join(q, "query_id").join(d.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("query_text"))).select("query_id", F.col("doc_id").alias("id"))
+    return ev.recall_mrr(found, expected).select("query_id", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+@query()
+def p21_minimum_should_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_queries(spark, sf_dir).select("query_id", ft.minimum_should_match(F.col("query_text")).alias("need"))

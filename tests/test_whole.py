@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -77,3 +80,97 @@ def test_all_variants_of_a_label(spark, vectors):
     for (c, i), (b, d) in got.items():
         others = [j for j in np.flatnonzero(label == c) if j != i]
         assert abs(b - s[i, others].max()) < 2e-6 and abs(d - (1 - s[i, others].mean())) < 2e-6
+
+
+# Texts
+
+KIND = {"fr": "ocr", "de": "asr", "es": "caption"}
+BOOST = {"ocr": 3.0, "asr": 2.5, "caption": 1.5}
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    """Passages of 20 words; some documents share only words after the twelfth with one, some hold it whole."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(60)]
+    passages = {q: " ".join([f"start{q}x{i}" for i in range(12)] + rng.choice(words, 8, False).tolist()) for q in (1, 2, 3, 4)}
+    docs = []
+    for i in range(90):
+        body = rng.choice(words, 12).tolist()
+        if i % 5 == 0:
+            body += passages[1 + i % 4].split()[8:]
+        if i % 9 == 0:
+            body += [passages[1 + i % 4]]
+        docs.append((i, " ".join(body), ["fr", "de", "es"][int(rng.integers(3))], f"s{i % 4}", 1))
+    path = tmp_path_factory.mktemp("texts")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(passages.items()), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path, passages, {i: t for i, t, *_ in docs}, {i: KIND[c] for i, _, c, *_ in docs}
+
+
+def overlaps(passages, docs):
+    out = {}
+    for q, a in passages.items():
+        for i, b in docs.items():
+            x, y = Counter(a.split()), Counter(b.split())
+            shared = sum((x & y).values())
+            if shared:
+                out.setdefault(q, {})[i] = shared / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+    return out
+
+
+def bm25(passages, docs, kinds):
+    tf = {i: Counter(t.split()) for i, t in docs.items()}
+    size = {i: sum(c.values()) for i, c in tf.items()}
+    out = {}
+    for q, a in passages.items():
+        asked = set(a.split())
+        for i in docs:
+            field = [j for j in docs if kinds[j] == kinds[i]]
+            mean = sum(size[j] for j in field) / len(field)
+            hits = asked & set(tf[i])
+            if len(hits) >= len(asked) // 2:
+                df = {t: sum(t in tf[j] for j in field) for t in hits}
+                idf = {t: math.log(1 + (len(field) - df[t] + 0.5) / (df[t] + 0.5)) for t in hits}
+                out.setdefault(q, {})[i] = BOOST[kinds[i]] * sum(idf[t] * tf[i][t] * 2.2 / (tf[i][t] + 1.2 * (0.25 + 0.75 * size[i] / mean)) for t in hits)
+    return out
+
+
+def same(got, want):
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def firsts(scores, k):
+    return {(q, i): (s[i], n) for q, s in scores.items() for n, i in enumerate(ranked(s, [i for i in s if s[i] > 0], k), 1)}
+
+
+def test_whole_passages_are_searched(spark, texts):
+    path, passages, docs, kinds = texts
+    o = overlaps(passages, docs)
+    for name, scores, k in (
+        ("t04_lexical_rank_whole", o, 10),
+        ("t05_text_topk_overlap_whole", {q: {i: c * (1 + BOOST[kinds[i]]) for i, c in s.items()} for q, s in o.items()}, 20),
+        ("t06_text_topk_best_fields_whole", bm25(passages, docs, kinds), 20),
+        ("t08_text_scores_whole", {q: {i: c * BOOST[kinds[i]] for i, c in s.items() if kinds[i] != "caption"} for q, s in o.items()}, 15),
+    ):
+        got = {(x["query_id"], x["doc_id"]): x for x in registry.queries()[name](spark, str(path)).collect()}
+        want = firsts(scores, k)
+        same({a: x["score"] for a, x in got.items()}, {a: c for a, (c, _) in want.items()})
+        assert {a: x["rank"] for a, x in got.items()} == {a: n for a, (_, n) in want.items()}
+    assert {(q, i) for q, i, _ in run(spark, "t07_phrase_bonus_whole", path)} == {(q, i) for q, p in passages.items() for i, t in docs.items() if p in t}
+
+
+def test_values_of_whole_passages(spark, texts):
+    path, passages, docs, _ = texts
+    o = overlaps(passages, docs)
+    best = {i: max(min(1.0, s[i]) for s in o.values() if i in s) for i in docs if any(i in s for s in o.values())}
+    same(dict(run(spark, "t21_metadata_score_whole", path)), best)
+    assert dict(run(spark, "p21_minimum_should_match_whole", path)) == {q: 10 for q in passages}
+    holds = {q: {i for i, t in docs.items() if p in t} for q, p in passages.items()}
+    want = {}
+    for q, own in holds.items():
+        if own:
+            places = [n for n, i in enumerate(ranked(o[q], o[q], 20), 1) if i in own]
+            want[q] = (len(places) / len(own), 1 / places[0] if places else 0)
+    got = {q: x for q, *x in run(spark, "e06_recall_mrr_whole", path)}
+    assert got.keys() == want.keys() and all(np.allclose(got[q], want[q], atol=2e-6) for q in want)
