@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumenreel.functions import text as ft
 from lumenreel.operators import evaluation as ev
 from lumenreel.operators import ranking as r
+from lumenreel.operators import validation as vd
 from lumenreel.plans import views as v
 from lumenreel.plans.common import register
 from lumenreel.plans.ranking import BOOSTS
@@ -186,3 +187,78 @@ def e06_recall_mrr_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p21_minimum_should_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_queries(spark, sf_dir).select("query_id", ft.minimum_should_match(F.col("query_text")).alias("need"))
+
+
+# Fusion
+
+
+def two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All hits of two scorers with their ranks: token overlap, and the best field by BM25."""
+    ranked = lexical(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))))
+    return ranked.withColumnRenamed("doc_id", "frame_id"), best_fields(spark, sf_dir, None).withColumnRenamed("doc_id", "frame_id")
+
+
+@query()
+def j02_fuse_outer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = r.fuse_outer(*two_lists(spark, sf_dir))
+    return f.withColumns({c: F.round(c, 6) for c in ("semantic_score", "text_score")})
+
+
+@query()
+def t10_candidate_cap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.candidate_cap(*two_lists(spark, sf_dir), 5).select("query_id", "frame_id", "place")
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = r.fuse_outer(*two_lists(spark, sf_dir)).withColumn("quality", (F.col("frame_id") % 10) / 10.0)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("frame_id"))
+    return r.hybrid_fuse(fused, 0.6, 0.3, 0.1).withColumn("rank", F.row_number().over(order))
+
+
+@query()
+def t11_hybrid_fuse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir).select("query_id", "frame_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def t12_rerank_blend_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = hybrid(spark, sf_dir).select("query_id", "frame_id", "score", "rank", ((F.col("frame_id") % 7) / 7.0).alias("cross"), ((F.col("frame_id") % 5) / 5.0).alias("aligned"))
+    return r.rerank_blend(ranked, 20, 0.3, 0.8, 0.2).select("query_id", "frame_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def a07_rrf_fuse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = (d.select("query_id", "frame_id", "score") for d in two_lists(spark, sf_dir))
+    lists = s.withColumns({"model": F.lit("a"), "weight": F.lit(0.6)}).unionByName(t.withColumns({"model": F.lit("b"), "weight": F.lit(0.4)}))
+    return r.reciprocal_rank_fusion(lists).withColumn("score", F.round("score", 6))
+
+
+@query()
+def a08_max_weighted_fuse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = (d.select("query_id", "frame_id", "score") for d in two_lists(spark, sf_dir))
+    lists = s.withColumn("weight", F.lit(0.6)).unionByName(t.withColumn("weight", F.lit(0.4)))
+    return r.max_weighted_fusion(lists).withColumn("score", F.round("score", 6))
+
+
+@query()
+def v16_paired_parity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first ten of both lists agree."""
+    s, t = (d.where("rank <= 10").select("query_id", F.col("frame_id").alias("id"), "rank") for d in two_lists(spark, sf_dir))
+    return vd.paired_parity(s, t, ["query_id"])
+
+
+@query()
+def e14_candidate_recall_funnel_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t = two_lists(spark, sf_dir)
+    stage = lambda n, d: d.select(F.lit(n).alias("stage"), "query_id", F.col("frame_id").alias("frame"))
+    stages = stage("semantic", s).unionByName(stage("text", t)).unionByName(stage("union", s)).unionByName(stage("union", t)).unionByName(stage("top", s.where("rank <= 3")))
+    truth = r.phrase_bonus(v.table(spark, sf_dir, "documents"), text_queries(spark, sf_dir)).select("query_id", F.col("doc_id").alias("frame"))
+    return ev.recall_funnel(stages, truth)
+
+
+@query()
+def v13_reconcile_run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per stage: rows of all orders, completed shards against the forty expected, and for the last kind also segments."""
+    o = v.table(spark, sf_dir, "orders")
+    p = o.groupBy(F.col("o_orderpriority").alias("stage")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.col("o_custkey") % 40).alias("shards"), F.count_if(F.col("o_orderstatus") == "F").alias("segments"))
+    return p.select("stage", "rows", "shards", ((F.col("shards") == 40) & ((F.col("stage") != "5-LOW") | (F.col("segments") > 0))).alias("ok"))

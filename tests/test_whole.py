@@ -174,3 +174,28 @@ def test_values_of_whole_passages(spark, texts):
             want[q] = (len(places) / len(own), 1 / places[0] if places else 0)
     got = {q: x for q, *x in run(spark, "e06_recall_mrr_whole", path)}
     assert got.keys() == want.keys() and all(np.allclose(got[q], want[q], atol=2e-6) for q in want)
+
+
+def test_all_hits_are_fused(spark, texts):
+    path, passages, docs, kinds = texts
+    s, t = overlaps(passages, docs), bm25(passages, docs, kinds)
+    every = {q: sorted(set(s[q]) | set(t.get(q, {}))) for q in s}
+    assert any(i % 6 == 3 for own in every.values() for i in own) and any(len(own) > 60 for own in every.values())
+    place = [{(q, i): n for q, own in lists.items() for n, i in enumerate(ranked(own, own, len(own)), 1)} for lists in (s, t)]
+    got = {(x["query_id"], x["frame_id"]): x for x in registry.queries()["j02_fuse_outer_whole"](spark, str(path)).collect()}
+    assert {k: (x["semantic_rank"], x["text_rank"]) for k, x in got.items()} == {(q, i): (place[0].get((q, i)), place[1].get((q, i))) for q in every for i in every[q]}
+    weighted = {(q, i): (0.6 * s[q].get(i, 0), 0.4 * t.get(q, {}).get(i, 0)) for q in every for i in every[q]}
+    same({(q, i): c for q, i, c in run(spark, "a08_max_weighted_fuse_whole", path)}, {k: max(x) for k, x in weighted.items()})
+    # equal scores keep the smaller id first in both scorers, so ranks are those of the lists
+    same({(q, i): c for q, i, c in run(spark, "a07_rrf_fuse_whole", path)}, {k: sum(w / (60 + p[k]) for w, p in zip((0.6, 0.4), place, strict=True) if k in p) for k in weighted})
+    turns = {q: {i: -min([2 * place[0].get((q, i), 10**6), 2 * place[1].get((q, i), 10**6) + 1]) for i in own} for q, own in every.items()}
+    assert set(run(spark, "t10_candidate_cap_whole", path)) == {(q, i, n) for q in turns for n, i in enumerate(ranked(turns[q], turns[q], 100), 1)}
+    for name in ("t11_hybrid_fuse_whole", "t12_rerank_blend_whole"):
+        rows = run(spark, name, path)
+        assert {(q, i) for q, i, *_ in rows} == set(weighted) and all(sorted(n for q, _, _, n in rows if q == p) == list(range(1, len(every[p]) + 1)) for p in every)
+
+
+def test_all_orders_are_reconciled(spark, tmp_path):
+    rows = [(k, k % 40, "F" if k == 7 else "O", "5-LOW") for k in range(7, 600, 7)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert run(spark, "v13_reconcile_run_whole", tmp_path) == [("5-LOW", len(rows), 40, True)]
