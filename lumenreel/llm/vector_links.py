@@ -8,12 +8,14 @@ within the radius and whose block distance is within the share are candidates. E
 coordinates, and a pair found in several blocks counts in the first. Equal vectors are one class; tasks return counts
 and a spanning forest of their links, never the pairs of a group.
 
-Defined results: a row without label, or with an unusable vector, links with nothing. Repeated vec_ids are one row
+Defined results: a row without label, or with an unusable vector, links with nothing, and vectors of unlike lengths
+don't link; all lengths are joined in one job. Repeated vec_ids are one row
 if vector and label agree too; otherwise every row keeps its own links.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,10 @@ BLOCKS = 4
 #: Rows of a tile; a slab with more is dealt over pairs of tiles.
 TILE = 2_048
 SLABS = 8
+TASK = ["label", "dim", "block", "slab", "low", "high"]
 
 
+@functools.lru_cache(maxsize=4)
 def _rotation(dim: int, seed: int = 3) -> np.ndarray:
     q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
     return q
@@ -67,40 +71,37 @@ def class_links(classes: DataFrame, cosine: float, blocks: int) -> DataFrame:
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row once for each block, with the block's leading coordinate."""
         for batch in batches:
-            x = matrix(batch.column("embedding"))
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            turned = unit @ _rotation(x.shape[1])
-            for k, part in enumerate(np.array_split(np.arange(x.shape[1]), blocks)):
-                place = pa.array(turned[:, part[0]] if len(part) else np.zeros(len(x)))
-                yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rep"), batch.column("copies"), batch.column("embedding"), pa.array([k] * len(x), pa.int32()), place], ["label", "rep", "copies", "embedding", "block", "place"])
-
-    schema = "label int, rep long, copies long, embedding array<float>, block int, place double"
-    one_size = classes.withColumn("dim", F.size("embedding"))
-    led = one_size.select(F.col("label").cast("int").alias("label"), "rep", "copies", "embedding", "dim")
-    out = None
-    for dim in [r["dim"] for r in one_size.select("dim").distinct().orderBy("dim").limit(16).collect()]:  # vectors of unlike lengths don't link
-        placed = led.where(F.col("dim") == dim).drop("dim").mapInArrow(lead, schema)
-        # Slabs as wide as the radius at least; how many of their neighbours a row visits is then bounded.
-        wide = max(radius, 2.0 / SLABS / max(dim, 1) ** 0.5)
-        home = F.floor(F.col("place") / wide).cast("int")
-        reach = F.floor((F.col("place") + radius) / wide).cast("int")
-        dealt = placed.withColumn("slab", F.explode(F.sequence(home, reach))).withColumn("guest", F.col("slab") > home)
-        sizes = dealt.groupBy("label", "block", "slab").agg(F.count(F.lit(1)).alias("rows"))
-        tiles = F.ceil(F.col("rows") / TILE).cast("int")
-        tiled = dealt.join(sizes, ["label", "block", "slab"]).withColumn("tiles", tiles).drop("rows").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-        pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        pairs = pairs.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("other", "tiles")
-        task = ["label", "block", "slab", "low", "high"]
-        part = pairs.repartition(*task).sortWithinPartitions(*task).mapInArrow(_tile_links(cosine, blocks, share, radius), "label int, a long, b long, n long")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else classes.sparkSession.createDataFrame([], "label int, a long, b long, n long")
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                rows = batch.filter(pa.array(dims == dim))
+                x = matrix(rows.column("embedding"))
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                turned = unit @ _rotation(x.shape[1])
+                for k, part in enumerate(np.array_split(np.arange(x.shape[1]), blocks)):
+                    place = pa.array(turned[:, part[0]] if len(part) else np.zeros(len(x)))
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array([k] * len(x), pa.int32()), place], [*columns, "block", "place"])
+
+    columns = ["label", "rep", "copies", "embedding", "dim"]
+    schema = "label int, rep long, copies long, embedding array<float>, dim int, block int, place double"
+    # Vectors of unlike lengths don't link: the length is part of every key.
+    led = classes.select(F.col("label").cast("int").alias("label"), "rep", "copies", "embedding", F.size("embedding").alias("dim"))
+    placed = led.mapInArrow(lead, schema)
+    # Slabs as wide as the radius at least; how many of their neighbours a row visits is then bounded.
+    wide = F.greatest(F.lit(radius), 2.0 / SLABS / F.sqrt("dim"))
+    home = F.floor(F.col("place") / wide).cast("int")
+    reach = F.floor((F.col("place") + radius) / wide).cast("int")
+    dealt = placed.withColumn("slab", F.explode(F.sequence(home, reach))).withColumn("guest", F.col("slab") > home)
+    sizes = dealt.groupBy("label", "dim", "block", "slab").agg(F.count(F.lit(1)).alias("rows"))
+    tiles = F.ceil(F.col("rows") / TILE).cast("int")
+    tiled = dealt.join(sizes, ["label", "dim", "block", "slab"]).withColumn("tiles", tiles).drop("rows").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = pairs.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("other", "tiles")
+    return pairs.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(_tile_links(cosine, blocks, share, radius), "label int, a long, b long, n long")
 
 
 def _tile_links(cosine: float, blocks: int, share: float, radius: float):
-    task = ["label", "block", "slab", "low", "high"]
-
     def tile(rows: pa.Table) -> pa.RecordBatch:
-        label, block, _, low, high = (rows.column(c)[0].as_py() for c in task)
+        label, _, block, _, low, high = (rows.column(c)[0].as_py() for c in TASK)
         rep, copies = rows.column("rep").to_numpy(), rows.column("copies").to_numpy()
         guest, place = rows.column("guest").to_numpy(), rows.column("place").to_numpy()
         of = rows.column("tile").to_numpy()
@@ -154,7 +155,7 @@ def _tile_links(cosine: float, blocks: int, share: float, radius: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in task], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in TASK], axis=1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 key = tuple(keys[a].tolist())
