@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,32 +73,47 @@ def segment_events(keyframes: DataFrame, centroid: bool = False, gap: float = 6.
     """keyframes: video_id, keyframe_id, seconds, embedding. Runs of neighbouring keyframes that are one event.
 
     A keyframe extends the event while the time gap, the cosine to the one before (or to the event's mean so far) and
-    the span from the event's start allow it. The fold is per video. Returns video_id, event_no (from 0), first and
+    the span from the event's start allow it. Returns video_id, event_no (from 0), first and
     last keyframe, seconds, and n.
     """
-    schema = "video_id long, event_no int, first_keyframe long, last_keyframe long, start_seconds double, end_seconds double, n int"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["seconds", "keyframe_id"])
-        out: list[list] = []
-        mean = before = None
-        for key, at, vector in zip(rows["keyframe_id"], rows["seconds"], rows["embedding"], strict=True):
-            x = np.asarray(vector, float)
-            x = x / (np.linalg.norm(x) or 1.0)
-            near = False
-            if out:
-                against = mean / (np.linalg.norm(mean) or 1.0) if centroid else before
-                near = at - out[-1][3] <= gap and float(against @ x) >= alike and at - out[-1][2] <= span
-            if near:
-                out[-1][1], out[-1][3], out[-1][4] = key, at, out[-1][4] + 1
-                mean = mean + x
-            else:
-                out.append([key, key, at, at, 1])
-                mean = x
-            before = x
-        return pd.DataFrame([(rows["video_id"].iloc[0], i, *o) for i, o in enumerate(out)], columns=["video_id", "event_no", "first_keyframe", "last_keyframe", "start_seconds", "end_seconds", "n"])
-
-    return keyframes.select("video_id", "keyframe_id", "seconds", "embedding").groupBy("video_id").applyInPandas(fold, schema)
+    w = Window.partitionBy("video_id").orderBy(F.asc_nulls_last("seconds"), "keyframe_id")
+    apart = F.coalesce((F.col("seconds") - F.lag("seconds").over(w)) > gap, F.lit(True))
+    cut = keyframes.select("video_id", "keyframe_id", "seconds", "embedding", apart.cast("int").alias("apart"))
+    # No event crosses a gap over the limit, so runs between such gaps are folded apart.
+    runs = cut.select("video_id", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), "seconds", "keyframe_id", "embedding")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come run by run in order; only the running event is held."""
+        event: list | None = None
+        key = mean = before = None
+        for batch in batches:
+            done: list[list] = []
+            for row in batch.to_pylist():
+                x = np.asarray(row["embedding"], float)
+                x = x / (np.linalg.norm(x) or 1.0)
+                at, own = row["seconds"], (row["video_id"], row["run"])
+                near = False
+                if own == key:
+                    against = mean / (np.linalg.norm(mean) or 1.0) if centroid else before
+                    near = at - event[4] <= gap and float(against @ x) >= alike and at - event[3] <= span
+                if near:
+                    event[2], event[4], event[5] = row["keyframe_id"], at, event[5] + 1
+                    mean = mean + x
+                else:
+                    if event:
+                        done.append(event)
+                    event, key, mean = [own[0], row["keyframe_id"], row["keyframe_id"], at, at, 1], own, x
+                before = x
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, e, strict=True)) for e in done], schema)
+        if event:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, event, strict=True))], schema)
+
+    integer, real = pa.int64(), pa.float64()
+    schema = pa.schema([("video_id", integer), ("first_keyframe", integer), ("last_keyframe", integer), ("start_seconds", real), ("end_seconds", real), ("n", pa.int32())])
+    dealt = runs.repartition("video_id", "run").sortWithinPartitions("video_id", "run", F.asc_nulls_last("seconds"), "keyframe_id")
+    events = dealt.mapInArrow(fold, "video_id long, first_keyframe long, last_keyframe long, start_seconds double, end_seconds double, n int")
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy(F.asc_nulls_last("start_seconds"), "first_keyframe")) - 1
+    return events.select("video_id", number.cast("int").alias("event_no"), "first_keyframe", "last_keyframe", "start_seconds", "end_seconds", "n")
 
 
 def mean_pool(vectors: DataFrame, key: str) -> DataFrame:

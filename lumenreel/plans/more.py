@@ -67,7 +67,7 @@ def q12_video_first_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = c.groupBy("query_id", "video_id").agg(F.array_contains(F.collect_set("event_index"), 2).alias("has"), F.max("event_index").alias("most"))
     anchored = c.join(has.where("has"), ["query_id", "video_id"], "left_semi")
     rest = c.join(has.where("not has"), ["query_id", "video_id"], "left_semi")
-    find = lambda part, e: s.anchor_search(part, [1.0, 1.0, 1.0], e, 30, 24 * HOUR, per_event=6).drop("anchor_id")
+    find = lambda part, e: s.anchor_search(part, [1.0, 1.0, 1.0], e, 30, 24 * HOUR, per_event=24).drop("anchor_id")
     first = lambda d, e: d.join(has.where(~F.col("has") & (F.col("most") == e)), ["query_id", "video_id"], "left_semi")
     every = find(anchored, 2).unionByName(find(first(rest, 3), 3)).unionByName(find(first(rest, 1), 1))
     return s.dev_score(every, 3, [2], gap_ms=6 * HOUR).select("query_id", "video_id", F.transform("members", lambda m: m["keyframe_id"]).alias("frames"), F.round("score", 6).alias("score"))
@@ -193,6 +193,6 @@ def u03_extract_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def u04_search_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hooks.search_sequences(v.candidates(spark, sf_dir), "beam", weights=[0.2, 0.3, 0.5], frame_gap=30, ms_gap=12 * HOUR, min_match=2, per_event=4)
+    found = hooks.search_sequences(v.candidates(spark, sf_dir), "beam", weights=[0.2, 0.3, 0.5], frame_gap=30, ms_gap=12 * HOUR, min_match=2, per_event=12)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 8)), F.desc("matched"), "video_id", F.transform("members", lambda m: m["keyframe_id"]))
     return found.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("query_id", "rank", "video_id", "matched", F.round("score", 6).alias("score"))

@@ -29,8 +29,8 @@ def full_chains(spark: SparkSession, sf_dir: str, compact: float = 0.0) -> DataF
     return s.beam_search(v.candidates(spark, sf_dir), [0.2, 0.3, 0.5], 30, 12 * HOUR, min_match=3, per_event=4, compact=compact)
 
 
-def partial_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.beam_search(v.candidates(spark, sf_dir), [0.2, 0.3, 0.5], 30, 12 * HOUR, min_match=2, per_event=4)
+def partial_chains(spark: SparkSession, sf_dir: str, per_event: int = 12) -> DataFrame:
+    return s.beam_search(v.candidates(spark, sf_dir), [0.2, 0.3, 0.5], 30, 12 * HOUR, min_match=2, per_event=per_event)
 
 
 @query(f"WITH {_PRUNED} SELECT query_id, video_id, event_index, keyframe_id FROM p")
@@ -61,7 +61,7 @@ def q04_compactness(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q05_prefer_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that have a full chain keep only full ones."""
-    return s.prefer_full(partial_chains(spark, sf_dir), 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("sequences"))
+    return s.prefer_full(partial_chains(spark, sf_dir, 4), 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("sequences"))
 
 
 @query()
@@ -85,7 +85,7 @@ def q07_anchor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q08_anchor_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = s.anchor_search(v.candidates(spark, sf_dir), [0.2, 0.3, 0.5], 2, 30, 12 * HOUR, per_event=4, penalty=0.1, window_ms=3 * HOUR)
+    f = s.anchor_search(v.candidates(spark, sf_dir), [0.2, 0.3, 0.5], 2, 30, 12 * HOUR, per_event=12, penalty=0.1, window_ms=3 * HOUR)
     return f.select("query_id", "video_id", "anchor_id", ids().alias("frames"), F.round("score", 6).alias("score"))
 
 
@@ -111,7 +111,7 @@ def q11_beam_with_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     def limit(a, b):
         return F.when(b["event_index"] - a["event_index"] == 1, F.lit(12 * HOUR)).otherwise(F.lit(24 * HOUR))
 
-    f = s.beam_search(v.candidates(spark, sf_dir), [1.0, 1.0, 1.0], 30, 24 * HOUR, min_match=2, per_event=4, beam=200, edges=limit)
+    f = s.beam_search(v.candidates(spark, sf_dir), [1.0, 1.0, 1.0], 30, 24 * HOUR, min_match=2, per_event=24, beam=200, edges=limit)
     return s.dev_score(f, 3, [3], gap_ms=6 * HOUR).select("query_id", "video_id", ids().alias("frames"), F.round("score", 6).alias("score"))
 
 

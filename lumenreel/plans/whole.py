@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from lumenreel.functions import text as ft
 from lumenreel.operators import evaluation as ev
 from lumenreel.operators import ranking as r
+from lumenreel.operators import sequences as s
 from lumenreel.operators import validation as vd
 from lumenreel.plans import views as v
 from lumenreel.plans.common import register
 from lumenreel.plans.ranking import BOOSTS
+from lumenreel.plans.sequences import HOUR, ids, partial_chains
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -262,3 +264,58 @@ def v13_reconcile_run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = v.table(spark, sf_dir, "orders")
     p = o.groupBy(F.col("o_orderpriority").alias("stage")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.col("o_custkey") % 40).alias("shards"), F.count_if(F.col("o_orderstatus") == "F").alias("segments"))
     return p.select("stage", "rows", "shards", ((F.col("shards") == 40) & ((F.col("stage") != "5-LOW") | (F.col("segments") > 0))).alias("ok"))
+
+
+# Sequences, with the reference's twelve candidates of an event and a beam of 400
+
+
+def full_chains(spark: SparkSession, sf_dir: str, compact: float = 0.0) -> DataFrame:
+    return s.beam_search(v.candidates(spark, sf_dir), [0.2, 0.3, 0.5], 30, 12 * HOUR, min_match=3, per_event=12, beam=400, compact=compact)
+
+
+def _frames(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "video_id", ids().alias("frames"), F.round("score", 6).alias("score"))
+
+
+@query()
+def q02_prune_per_video_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.prune(v.candidates(spark, sf_dir), 12).select("query_id", "video_id", "event_index", "keyframe_id")
+
+
+@query()
+def q03_beam_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(full_chains(spark, sf_dir))
+
+
+@query()
+def q04_compactness_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(full_chains(spark, sf_dir, 0.4))
+
+
+@query()
+def q05_prefer_full_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.prefer_full(partial_chains(spark, sf_dir), 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("sequences"))
+
+
+@query()
+def q07_anchor_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = s.anchor_search(v.candidates(spark, sf_dir), [0.2, 0.3, 0.5], 2, 30, 12 * HOUR, per_event=12, penalty=0.1)
+    return f.select("query_id", "video_id", "anchor_id", ids().alias("frames"), F.round("score", 6).alias("score"))
+
+
+@query()
+def q10_video_first_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(s.dev_score(full_chains(spark, sf_dir), 3, [2, 3], gap_ms=6 * HOUR))
+
+
+@query()
+def q15_complete_results_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pm = full_chains(spark, sf_dir).groupBy("query_id", "video_id").agg(F.max("score").alias("score"))
+    fb = v.candidates(spark, sf_dir).groupBy("query_id", "video_id").agg((F.max("score") * 0.1).alias("score"))
+    return s.complete(pm, fb, 30).withColumn("score", F.round("score", 6))
+
+
+@query()
+def q17_sequence_to_result_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = s.to_result(full_chains(spark, sf_dir), "TRAKE")
+    return found.select("query_id", "video_id", "keyframe_id", "frames", F.round("mean_score", 6).alias("mean_score"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 
 from lumenreel.operators import ranking as r
+from lumenreel.operators import windows as w
 from lumenreel.plans import registry
 
 
@@ -199,3 +201,46 @@ def test_all_orders_are_reconciled(spark, tmp_path):
     rows = [(k, k % 40, "F" if k == 7 else "O", "5-LOW") for k in range(7, 600, 7)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     assert run(spark, "v13_reconcile_run_whole", tmp_path) == [("5-LOW", len(rows), 40, True)]
+
+
+# Sequences
+
+
+def test_twelve_candidates_of_an_event(spark, tmp_path):
+    """One hot user with fifteen events of each kind on a day: full chains by brute force, the beam's 400 best of them."""
+    rng = np.random.default_rng(10)
+    kinds = ["view", "click", "purchase"]
+    rows = [(i, 1, datetime(2024, 1, 1) + timedelta(minutes=30 * i + int(i % 3)), kinds[int(k)], float(x)) for i, (k, x) in enumerate(zip(rng.permutation(np.repeat([0, 1, 2], 15)), rng.permutation(45) + 1.0, strict=True))]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    pool = [sorted((r for r in rows if r[3] == k), key=lambda r: -r[4])[:12] for k in kinds]
+    assert {f for *_, f in run(spark, "q02_prune_per_video_whole", tmp_path)} == {r[0] for p in pool for r in p}
+    limit = timedelta(hours=12)
+    fits = lambda a, b: timedelta(0) < b[2] - a[2] <= limit
+    chains = [(a[0], b[0], c[0]) for a in pool[0] for b in pool[1] if fits(a, b) for c in pool[2] if fits(b, c)]
+    assert 64 < len(chains) <= 400
+    assert {tuple(f) for _, _, f, _ in run(spark, "q03_beam_search_whole", tmp_path)} == set(chains)
+    ends = run(spark, "q03_beam_search_partial", tmp_path)
+    assert {m for _, _, f, _, _ in ends for m in f} - {r[0] for p in pool for r in p[:4]}
+
+
+def test_events_of_a_long_video(spark):
+    """Runs between gaps are folded apart; numbers go on over the whole video."""
+    rng = np.random.default_rng(12)
+    at = np.cumsum(rng.choice([1.0, 5.0, 7.0, 30.0], 300, p=[0.4, 0.3, 0.2, 0.1]))
+    rows = [(1 + i % 2, i, float(t), (np.array([1.0, 0.2]) + 0.5 * rng.normal(size=2)).tolist()) for i, t in enumerate(at)]
+    frames = spark.createDataFrame(rows, "video_id long, keyframe_id long, seconds double, embedding array<double>").repartition(5)
+    for centroid in (False, True):
+        want = []
+        for video in (1, 2):
+            events = []
+            for _, i, t, x in (r for r in rows if r[0] == video):
+                x = np.array(x) / np.linalg.norm(x)
+                e = events[-1] if events else None
+                if e and t - e["end"] <= 6 and t - e["start"] <= 45 and (e["sum"] / np.linalg.norm(e["sum"]) if centroid else e["last"]) @ x >= 0.72:
+                    e.update(end=t, ids=[*e["ids"], i], sum=e["sum"] + x, last=x)
+                else:
+                    events.append({"start": t, "end": t, "ids": [i], "sum": x, "last": x})
+            want += [(video, n, e["ids"][0], e["ids"][-1], e["start"], e["end"], len(e["ids"])) for n, e in enumerate(events)]
+        found = w.segment_events(frames, centroid)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+        assert sorted(tuple(r) for r in found.collect()) == want
