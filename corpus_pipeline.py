@@ -25,7 +25,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (operator 1) the document with the smallest id stays."""
+    """Of each group of near-duplicates (operator 1) the document with the smallest id stays; those without id stay too."""
     return shingle_join.one_of_each(docs)
 
 
@@ -46,7 +46,7 @@ STAGES = [
     ("secret_scans", no_secrets),
     ("best_fit_packing", packed),
 ]
-#: The classifiers can't be said in SQL; tests/llm compare each stage with a brute-force version.
+#: The classifiers can't be said in SQL. tests/llm compare the join with brute force; the whole run has no independent version.
 ORACLE_SQL = None
 
 

@@ -421,6 +421,22 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; one row of each doc_id."""
-    kept = near_duplicates(docs, size).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs, all columns, that have the smallest doc_id of their component.
+
+    Rows without doc_id take no part and stay. Rows that repeat a doc_id with another text are documents of their own
+    here: one goes only if its set equals or links (by way of others, as in a component) with one that stays. Rows that
+    repeat both doc_id and text are one.
+    """
+    text = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
+    named = docs.where("doc_id is not null").withColumn("_text", text)
+    repeats = stored(named.groupBy("doc_id").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_first <> _last").select("doc_id", "_first"), "repeated-ids")
+    # The first text of a doc_id keeps it as its key, others get a hash of 64 bits.
+    other = F.coalesce(F.col("_text") != F.col("_first"), F.lit(False))
+    keyed = named.join(repeats, "doc_id", "left").withColumn("_key", F.when(other, F.xxhash64("doc_id", "_text.a", "_text.b")).otherwise(F.col("doc_id"))).drop("_text", "_first")
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "_key")
+    ids = keyed.where("_key <> doc_id").select("_key", "doc_id").distinct()
+    own = found.join(ids, "_key", "left").withColumn("doc_id", F.coalesce("doc_id", "_key"))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = own.groupBy((F.col("n_shingles") > 0).alias("some"), group.alias("group")).agg(F.min_by("_key", F.struct("doc_id", "_key")).alias("_key")).select("_key")
+    rows = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return rows.unionByName(docs.where("doc_id is null"))
