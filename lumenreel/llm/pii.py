@@ -24,6 +24,9 @@ from lumenreel.llm.common import as_documents, bounded_sample, slices, span_stri
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 4_000
+#: Of a sampled document: candidates, and characters of them with their surroundings.
+SAMPLE_CANDIDATES = 200
+SAMPLE_CHARS = 20_000
 #: Least marginal of a word that adds a span.
 SURE = 0.9
 ROUNDS = 6
@@ -261,15 +264,33 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], w: dic
     return out
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
-    """Fit the weights on at most about sample_docs documents, however many there are."""
+def surroundings(text: str, most: int = SAMPLE_CANDIDATES, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Candidates with 40 characters on each side, in order: all, or those of the least hashes of word and place.
+
+    At most `most` of them, and of at most `chars` characters together: what doesn't fit is left out, not cut.
+    """
+    found = [(zlib.crc32(f"{a}:{text[a:b]}".encode(errors="replace")), max(0, a - 40), b + 40) for a, b in candidates(text)]
+    taken, left = [], chars
+    for _, a, b in sorted(found):
+        size = min(b, len(text)) - a + 1
+        if len(taken) < most and size <= left:
+            taken.append((a, b))
+            left -= size
+    return [text[a:b] for a, b in sorted(taken)]
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES, sample_chars: int = SAMPLE_CHARS) -> dict[str, np.ndarray]:
+    """Fit the weights on at most about sample_docs documents, however many there are.
+
+    Of each at most sample_candidates candidates, of sample_chars characters with their surroundings, from all over the text.
+    """
     import pandas as pd
 
     def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             # only the surroundings of candidates reach the driver
-            kept = [[t[max(0, a - 40) : b + 40] for a, b in candidates(t)[:200]] for t in f["text"].fillna("")]
-            yield pd.DataFrame({"text": ["\n".join(k)[:20_000] for k in kept if k]})
+            kept = [surroundings(t, sample_candidates, sample_chars) for t in f["text"].fillna("")]
+            yield pd.DataFrame({"text": ["\n".join(k) for k in kept if k]})
 
     found = bounded_sample(as_documents(docs), sample_docs).mapInPandas(take, "text string").toPandas()
     texts = sorted(found["text"])
