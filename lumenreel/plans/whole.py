@@ -1,4 +1,6 @@
-"""Queries over the whole of their input, without SQL: tests/test_whole.py compares them with brute force.
+"""Queries over the whole of their input, without SQL: tests/test_whole.py compares most with brute force.
+
+Of t11 and t12 it compares only which rows there are; e14, v16, q04, q05, q07, q10, q15 and q17 it doesn't test.
 
 Their namesakes without _whole work on a part that their SQL has too.
 """
