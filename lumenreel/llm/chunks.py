@@ -3,7 +3,8 @@
 A text is cut where neither byte-level nor word-level BPE can join characters: before a single blank between two
 characters that aren't white space, around such a line feed, and between an ASCII letter and the punctuation
 behind it. The ids of a text are then the ids of its chunks in order. Chunks are found and hashed (64 bits) with
-numpy over whole slices; each distinct one is encoded once in a task.
+numpy over whole slices; each distinct one is encoded once in a task. Equal hashes only propose a known chunk: its
+bytes are compared, and a text with a chunk whose bytes differ is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 
-from lumenreel.llm.common import _BASE, _BYTE_VALUES, _INVERSE, LOWER, _power_table, mix
+from lumenreel.llm.common import BLOCK_PAD, LOWER, byte_blocks, run_hashes
 
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
@@ -40,7 +41,8 @@ class ChunkCoder:
 
     encode_chunks: gets distinct chunks (bytes of UTF-8), gives a list or array of ids for each.
     blanks: whether white space belongs to chunks (byte-level BPE) or vanishes, as does the case of A-Z (word BPE).
-    whole: encodes one whole text; used for texts that contain one of `special`, the strings of special tokens.
+    whole: encodes one whole text; used for texts that contain one of `special`, the strings of special tokens, and
+    for texts with a chunk that has the hash of another one.
     """
 
     def __init__(self, encode_chunks: Callable, whole: Callable, blanks: bool = True, special: tuple[bytes, ...] = (), most: int = 2_000_000):
@@ -54,6 +56,11 @@ class ChunkCoder:
         self.used = 0
         self.offset = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        #: The bytes of the known chunks as blocks, by place.
+        self.blocks = np.zeros(1 << 12, _U)
+        self.first_block = np.zeros(0, np.int64)
+        self.bytes = np.zeros(0, np.int64)
+        self.n_blocks = 0
 
     def spans(self, raw: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
         """All bytes; start and end of each chunk in them; the number of chunks of each text."""
@@ -100,14 +107,13 @@ class ChunkCoder:
         counts = np.searchsorted(starts, text_ends) - np.searchsorted(starts, text_starts)
         return joined, starts, ends, counts
 
-    def lookup(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all chunks in order, and the number of chunks of each text."""
+    def lookup(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of all chunks in order, the number of chunks of each text, and which chunks only share another's hash."""
         joined, starts, ends, counts = self.spans(raw)
-        data = np.frombuffer(joined, np.uint8)
-        total = np.zeros(len(data) + 1, _U)
-        np.cumsum(_BYTE_VALUES[data] * _power_table(_BASE, len(data)), dtype=_U, out=total[1:])
-        value = (total[ends] - total[starts]) * _power_table(_INVERSE, len(data))[starts]
-        distinct, first, back = np.unique(mix(value + (ends - starts).astype(_U)), return_index=True, return_inverse=True)
+        data = np.frombuffer(joined + b"\n" * BLOCK_PAD, np.uint8)
+        lengths = ends - starts
+        blocks, first_block, number = byte_blocks(data, starts, ends)
+        distinct, first, back = np.unique(run_hashes(blocks, first_block, number, lengths), return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, distinct)
         have = np.zeros(len(distinct), bool)
         inside = at < len(self.known)
@@ -118,11 +124,27 @@ class ChunkCoder:
                 have[:] = False
             new = first[~have]
             places = self._learn([joined[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            per = np.diff(np.append(first_block, len(blocks)))[new]
+            before = np.cumsum(per) - per
+            own = blocks[np.repeat(first_block[new] - before, per) + np.arange(int(per.sum()))]
+            while self.n_blocks + len(own) > len(self.blocks):
+                self.blocks = np.concatenate((self.blocks, np.zeros_like(self.blocks)))
+            self.blocks[self.n_blocks : self.n_blocks + len(own)] = own
+            self.first_block = np.concatenate((self.first_block, self.n_blocks + before))
+            self.bytes = np.concatenate((self.bytes, lengths[new]))
+            self.n_blocks += len(own)
             spot = np.searchsorted(self.known, distinct[~have])
             self.known = np.insert(self.known, spot, distinct[~have])
             self.place = np.insert(self.place, spot, places)
             at = np.searchsorted(self.known, distinct)
-        return (self.place[at] if len(distinct) else at)[back], counts
+        places = (self.place[at] if len(distinct) else at)[back]
+        false = self.bytes[places] != lengths
+        if len(places):
+            per = np.diff(np.append(first_block, len(blocks)))
+            shift = np.where(false, 0, self.first_block[places] - first_block)
+            unlike = self.blocks[np.minimum(np.repeat(shift, per) + np.arange(len(blocks)), len(self.blocks) - 1)] != blocks
+            false |= np.logical_or.reduceat(unlike, first_block)
+        return places, counts, false
 
     def _learn(self, chunks: list[bytes]) -> np.ndarray:
         begin = len(self.offset)
@@ -144,7 +166,9 @@ class ChunkCoder:
         odd = [i for i, r in enumerate(raw) if any(s in r for s in self.special)]
         for i in odd:
             raw[i] = b""
-        places, counts = self.lookup(raw)
+        places, counts, false = self.lookup(raw)
+        if false.any():
+            odd += np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(false)))[np.concatenate(([0], np.cumsum(counts)))])).tolist()
         lengths = self.length[places]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -155,7 +179,7 @@ class ChunkCoder:
             out.append(flat[a:b])
             a = b
         for i in odd:
-            out[i] = np.asarray(self.whole(texts[i]), np.uint32)
+            out[i] = np.asarray(self.whole(texts[i] or ""), np.uint32)
         return out if end is None else [np.append(x, np.uint32(end)) for x in out]
 
 

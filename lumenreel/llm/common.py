@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one slice that a Python task holds as Python strings at a time.
+#: Bytes of text of one slice that a Python task holds as Python strings at a time.
 SLICE_CHARS = 500_000
 _U = np.uint64
 
@@ -83,22 +83,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A-Z become a-z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: What the k-th block of eight bytes is offset by before it is mixed.
+_BLOCK_STEP = _U(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(1, 8)] + [2**64 - 1], _U)
+#: Bytes that must lie behind the last run given to byte_blocks.
+BLOCK_PAD = 8
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.empty(size, _U)
-        have[0] = 1
-        have[1:] = _U(base)
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have[:n]
+def byte_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of bytes data[start:end] as 64-bit blocks, the last one of each filled up with zeros.
+
+    Gives the blocks, the number of the first block of each run (none is empty), and each block's number in its run.
+    """
+    lengths = ends - starts
+    counts = (lengths + 7) >> 3
+    first = np.cumsum(counts) - counts
+    place = np.arange(int(counts.sum())) - np.repeat(first, counts)
+    at = np.repeat(starts, counts) + 8 * place
+    left = np.minimum(np.repeat(ends, counts) - at, 8)
+    every = np.ndarray((max(len(data) - 7, 0),), "<u8", buffer=data, strides=(1,))  # the eight bytes from each place
+    return every[at] & _MASKS[left - 1], first, place
+
+
+def run_hashes(blocks: np.ndarray, first: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: every block is mixed with its place before blocks are added up."""
+    if not len(first):
+        return np.zeros(0, _U)
+    with np.errstate(over="ignore"):
+        mixed = mix(mix(blocks + _BLOCK_STEP * (place.astype(_U) + _U(1))) + blocks)
+        return mix(np.add.reduceat(mixed, first, dtype=_U) + lengths.astype(_U))
 
 
 _IS_SPACE = np.zeros(256, bool)
@@ -116,7 +129,7 @@ class Words:
         raw = [(t or "").encode() for t in texts]
         if drop:
             raw = [r.translate(table, drop) for r in raw]
-        data = np.frombuffer((b" ".join(raw) if drop else b" ".join(raw).translate(table)) + b" ", np.uint8)
+        data = np.frombuffer((b" ".join(raw) if drop else b" ".join(raw).translate(table)) + b" " * (1 + BLOCK_PAD), np.uint8)
         self.data = data
         space = _IS_SPACE[data]
         self.starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
@@ -124,13 +137,7 @@ class Words:
         ends_of_text = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, int)
         #: Text i has the words first[i] to first[i + 1].
         self.first = np.concatenate(([0], np.searchsorted(self.starts, ends_of_text))).astype(np.int64)
-        if len(data):
-            total = np.cumsum(_BYTE_VALUES[data] * _power_table(_BASE, len(data)), dtype=_U)
-            total = np.concatenate((np.zeros(1, _U), total))
-            value = (total[self.ends] - total[self.starts]) * _power_table(_INVERSE, len(data))[self.starts]
-            self.hashes = mix(value + (self.ends - self.starts).astype(_U))
-        else:
-            self.hashes = np.zeros(0, _U)
+        self.hashes = run_hashes(*byte_blocks(data, self.starts, self.ends), self.ends - self.starts)
 
 
 _STEP = [pow(0xD1342543DE82EF95, k, 1 << 64) for k in range(64)]

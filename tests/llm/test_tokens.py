@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lumenreel.llm import bpe, packing, token_files
+from lumenreel.llm import bpe, chunks, packing, token_files
 from lumenreel.llm.chunks import library_coder
 from lumenreel.llm.common import scratch_path
 
@@ -47,6 +47,32 @@ def test_chunks_give_the_library_ids(path, blanks):
     assert [x.tolist() for x in library_coder(path, blanks).ids(texts)] == library(path, texts)
 
 
+def thue_morse(n=1024):
+    """Two different words that are equal to any polynomial hash of 64 bits."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate({97: "b", 98: "a"})
+    return [one, one.translate({97: "b", 98: "a"})]
+
+
+@pytest.mark.parametrize("odd", [0, 97])
+def test_unlike_chunks_with_equal_hashes(monkeypatch, odd):
+    """With few hash values nearly all chunks share one with others: bytes are compared, so ids stay right."""
+    if odd:
+        real = chunks.run_hashes
+        monkeypatch.setattr(chunks, "run_hashes", lambda *a: real(*a) % np.uint64(odd))
+    texts = [*thue_morse(), *ODD, *noise(80)]
+    for path, blanks in ((BYTE, True), (WORD, False)):
+        coder = library_coder(path, blanks)
+        coder._clear()
+        assert [x.tolist() for t in (texts[:40], texts[40:], texts) for x in coder.ids(t)] == library(path, texts + texts)
+        coder._clear()
+    coder = bpe.coder(BYTE)[1]
+    coder._clear()
+    assert [x.tolist() for x in coder.ids(texts)] == library(BYTE, texts)
+    coder._clear()
+
+
 def test_pair_index_gives_the_library_ids():
     texts = ODD + noise()
     model, coder = bpe.coder(BYTE)
