@@ -4,12 +4,15 @@ A document's shingles are hashed into GROUPS groups; the counts by group are a p
 smaller of two counts bounds the overlap of two sets from above. Equal sets are one class, so only classes are joined.
 
 1. Each class meets the smallest class that shares one of its KEYS least hashes (a star, not all pairs of a group).
-   Pairs whose points allow the threshold are verified; the components of these links are clusters.
+   Pairs whose points allow the threshold are verified; the components of these links are clusters. Where the classes
+   of a key are still of several clusters, each class outside the largest one asks an R-tree of the key's points for
+   its NEAREST classes of other clusters by the bound; these are verified and clusters grow.
 2. What that may have missed is found exactly. Two sets at or above the threshold share a token among the first
    n - ceil(t n) + 1 of each in any common order; here frequent shingles come last, found by a count over all
-   documents. A token's documents from more than one cluster are packed into an R-tree of their points, whose nodes
-   hold the largest counts and smallest sizes below them; pairs of different clusters that survive, and whose
-   prefixes share as many tokens as the threshold implies, are verified.
+   documents. Tokens that classes of several clusters have are dealt by their smallest class, and the classes that
+   meet there are packed into an R-tree of their points, whose nodes hold the largest counts and smallest sizes below
+   them. Pairs of different clusters that survive it, and whose prefixes can still share as many tokens as the
+   threshold implies, leave the task; those that do share as many in all are verified.
 
 Verification compares the whole sets of 64-bit shingle hashes, made anew from the whole texts. No pair of a cluster
 is enumerated in step 2, as it changes no component.
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.llm.common import as_documents, mix, shingles, slices, stored
@@ -46,14 +49,16 @@ COUNTED = 800_000
 NODE = 32
 CHUNK = 32
 BUCKETS = 1 << 20
-#: Rows of one token that a task holds at most while it waits for a second cluster.
-HELD = 200_000
-#: Rows of a tile; a token with more is dealt over pairs of tiles.
+#: Partners that a class outside the largest cluster of a key asks the key's tree for.
+NEAREST = 3
+#: Rows of a key that are asked together; a key with more is cut, as this step need not find all.
+ASKED = 2_048
+#: Rows of a task of the exact step. Groups of tokens with more are dealt over pairs of tiles of their classes.
 TILE = 8_192
-#: Tokens whose smallest document is the same go to so many tasks, and those add up what pairs share before they write.
-SALTS = 4
-#: Pairs that a task adds up at most.
-ADDED = 100_000
+#: A group of tokens with more than TILES tiles is dealt by token too, so that rows are repeated TILES times at most.
+TILES = 8
+#: Pairs that are looked at together.
+AT_ONCE = 8_192
 _U = np.uint64
 
 
@@ -88,7 +93,8 @@ def frequent_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     return np.sort(found.column("token").to_numpy().view(_U)) if found.num_rows else np.zeros(0, _U)
 
 
-SETS = "doc_id long, n long, high long, low long, counts binary, prefix array<long>, keys array<long>"
+#: `common` is the end of the prefix that holds frequent shingles.
+SETS = "doc_id long, n long, high long, low long, counts binary, prefix array<long>, common array<long>, keys array<long>"
 
 
 def describe(docs: DataFrame, frequent: np.ndarray, size: int = SIZE) -> DataFrame:
@@ -98,30 +104,29 @@ def describe(docs: DataFrame, frequent: np.ndarray, size: int = SIZE) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = known.value
         for part in slices(batches):
-            rows: dict[str, list] = {c: [] for c in ("n", "high", "low", "counts", "prefix", "keys")}
+            rows: dict[str, list] = {c: [] for c in ("n", "high", "low", "counts", "prefix", "common", "keys")}
             for own in shingles(part.column("text").to_pylist(), size):
                 n = len(own)
+                late = np.zeros(n, bool)
                 if n and len(often):
-                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    late = often[at] == own
-                    ordered = np.concatenate((own[~late], own[late]))
-                else:
-                    ordered = own
+                    late = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
+                rare, late = own[~late], own[late]
                 probe = n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
                 rows["n"].append(n)
                 rows["high"].append(int(np.add.reduce(mix(own), dtype=_U).view(np.int64)) if n else 0)
                 rows["low"].append(int(np.bitwise_xor.reduce(mix(own ^ _U(0x5BD1E995))).view(np.int64)) if n else 0)
                 groups = FINE if n >= LARGE else GROUPS
                 rows["counts"].append(np.bincount((own >> _U(17)) % _U(groups), minlength=groups).clip(max=255).astype(np.uint8).tobytes())
-                rows["prefix"].append(ordered[:probe].view(np.int64))
+                rows["prefix"].append(rare[:probe].view(np.int64))
+                rows["common"].append(late[: max(0, probe - len(rare))].view(np.int64))
                 rows["keys"].append(np.array([mix(own ^ _U(k * 0x9E3779B97F4A7C15 & (2**64 - 1))).min() for k in range(KEYS)], _U).view(np.int64) if n else np.zeros(0, np.int64))
             lists = lambda c: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in rows[c]]))).astype(np.int32), np.concatenate(rows[c]))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), pa.array(rows["n"], pa.int64()), pa.array(rows["high"], pa.int64()), pa.array(rows["low"], pa.int64()),
-                    pa.array(rows["counts"], pa.binary()), lists("prefix"), lists("keys"),
+                    pa.array(rows["counts"], pa.binary()), lists("prefix"), lists("common"), lists("keys"),
                 ],
-                ["doc_id", "n", "high", "low", "counts", "prefix", "keys"],
+                ["doc_id", "n", "high", "low", "counts", "prefix", "common", "keys"],
             )
 
     return as_documents(docs).mapInArrow(run, SETS)
@@ -144,6 +149,14 @@ class Points:
         #: Counts are cut at 255; such a point bounds nothing.
         self.cut = np.fromiter((255 in x for x in blobs), bool, len(blobs))
 
+    def bound(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """By how much the bound on the overlap exceeds the threshold, for each token of the two sets."""
+        n_i, n_j = self.n[i], self.n[j]
+        bound = np.minimum(self.coarse[i], self.coarse[j]).sum(1, dtype=np.int64)
+        fine = np.flatnonzero((self.fine_at[i] >= 0) & (self.fine_at[j] >= 0))
+        bound[fine] = np.minimum(self.fine[self.fine_at[i[fine]]], self.fine[self.fine_at[j[fine]]]).sum(1, dtype=np.int64)
+        return bound / (n_i + n_j)
+
     def allow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the bound on the overlap of sets i and j reaches the threshold t = p / q: (p + q) * overlap >= p * (n_i + n_j)."""
         n_i, n_j = self.n[i], self.n[j]
@@ -226,46 +239,54 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = SIZE) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long")
 
 
-def tree_pairs(points: Points, start: int, end: int, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i before j, of the points start..end in order of n that the R-tree leaves over.
+class Tree:
+    """An R-tree over points in order of set size: leaves hold NODE points that follow each other, nodes NODE nodes.
 
-    Leaves hold NODE points that follow each other by size, nodes NODE nodes; all queries descend together.
+    A node has the largest count of each group and the smallest size below it, so that the sum of minima of a point
+    and a node bounds the overlap with every point below.
     """
-    n = points.n[start:end]
-    # a cut point bounds nothing, so in a box it counts as the largest possible
-    base = np.where(points.cut[start:end, None], np.uint16(65535), points.coarse[start:end])
-    levels = [(base, n)]
-    while len(levels[-1][0]) > NODE:
-        box, least = levels[-1]
-        cuts = np.arange(0, len(box), NODE)
-        levels.append((np.maximum.reduceat(box, cuts, axis=0), np.minimum.reduceat(least, cuts)))
-    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for first in range(0, len(n), 128):
-        asked = np.arange(first, min(first + 128, len(n)))
-        top = len(levels[-1][0])
+
+    def __init__(self, points: Points, cluster: np.ndarray):
+        self.points, self.cluster = points, cluster
+        _, own, sizes = np.unique(cluster, return_inverse=True, return_counts=True)
+        #: Points of the largest cluster don't ask; they are met by the others from either side.
+        self.core = own == np.argmax(sizes)
+        # a cut point bounds nothing, so in a box it counts as the largest possible
+        self.levels = [(np.where(points.cut[:, None], np.uint16(65535), points.coarse), points.n, points.n, self.core)]
+        while len(self.levels[-1][0]) > NODE:
+            box, least, most, core = self.levels[-1]
+            cuts = np.arange(0, len(box), NODE)
+            self.levels.append((np.maximum.reduceat(box, cuts, axis=0), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts), np.logical_or.reduceat(core, cuts)))
+
+    def reach(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i, j) of each asked point i and a point j that is before it or in the largest cluster, as far as the nodes' bounds allow."""
+        n, base = self.points.n, self.levels[0][0]
+        top = len(self.levels[-1][0])
         q, node = np.repeat(asked, top), np.tile(np.arange(top), len(asked))
-        for depth in range(len(levels) - 1, 0, -1):
-            box, least = levels[depth]
-            span = NODE**depth
-            largest = n[np.minimum((node + 1) * span, len(n)) - 1]
-            keep = (node * span < q) & (DENOMINATOR * np.minimum(largest, n[q]) >= NUMERATOR * n[q])  # some point before q is large enough
+        for depth in range(len(self.levels) - 1, 0, -1):
+            box, least, most, core = self.levels[depth]
+            keep = (core[node] | (node * NODE**depth < q)) & (DENOMINATOR * most[node] >= NUMERATOR * n[q]) & (NUMERATOR * least[node] <= DENOMINATOR * n[q])
             q, node = q[keep], node[keep]
             alive = np.zeros(len(q), bool)
-            for s in range(0, len(q), 8_192):
-                a, b = q[s : s + 8_192], node[s : s + 8_192]
+            for s in range(0, len(q), AT_ONCE):
+                a, b = q[s : s + AT_ONCE], node[s : s + AT_ONCE]
                 bound = np.minimum(np.minimum(base[a], box[b]).sum(1, dtype=np.int64), n[a])
-                alive[s : s + 8_192] = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n[a] + least[b])
+                alive[s : s + AT_ONCE] = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n[a] + least[b])
             q, node = q[alive], node[alive]
             child = (node[:, None] * NODE + np.arange(NODE)).ravel()
             q = np.repeat(q, NODE)
-            inside = child < len(levels[depth - 1][0])
+            inside = child < len(self.levels[depth - 1][0])
             q, node = q[inside], child[inside]
-        keep = (node < q) & (cluster[start + node] != cluster[start + q])
-        i, j = node[keep] + start, q[keep] + start
-        ok = points.allow(i, j)
-        found_i.append(i[ok])
-        found_j.append(j[ok])
-    return np.concatenate(found_i), np.concatenate(found_j)
+        some = (self.core[node] | (node < q)) & (self.cluster[node] != self.cluster[q])
+        return q[some], node[some]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each pair of points of different clusters that the bounds allow once, in parts; the first is outside the largest cluster."""
+        asked = np.flatnonzero(~self.core)
+        for first in range(0, len(asked), 128):
+            i, j = self.reach(asked[first : first + 128])
+            ok = self.points.allow(i, j)
+            yield i[ok], j[ok]
 
 
 def needed(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -278,126 +299,160 @@ def needed(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return np.maximum(1, overlap + 1 - -(-NUMERATOR * np.maximum(n_a, n_b) // DENOMINATOR))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each value of the keys, from batches in their order."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            now = tuple(key[a].tolist())
+            if now != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _of_several(keyed: DataFrame, keys: list[str], hot: bool) -> DataFrame:
+    """The rows whose keys occur in more than one cluster, with `lead`, the smallest doc_id of the keys, and their number of rows.
+
+    Keys that may hold a share of all rows (hot) are counted before the shuffle and joined back, which Spark can split.
+    """
+    least, most, lead, rows = F.min("cluster"), F.max("cluster"), F.min("doc_id"), F.count(F.lit(1))
+    if hot:
+        several = keyed.groupBy(*keys).agg(least.alias("_least"), most.alias("_most"), lead.alias("lead"), rows.alias("rows")).where("_least <> _most")
+        return keyed.join(several.drop("_least", "_most"), keys)
+    own = Window.partitionBy(*keys)
+    told = keyed.withColumns({"_least": least.over(own), "_most": most.over(own), "lead": lead.over(own), "rows": rows.over(own)})
+    return told.where("_least <> _most").drop("_least", "_most")
+
+
+def _tiled(rows: DataFrame, tiles: Column) -> DataFrame:
+    """Each row once for every pair of tiles (low, high) of its group that has the tile of its doc_id."""
+    tiled = rows.withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles).cast("int"))
+    tiled = tiled.withColumn("_other", F.explode(F.sequence(F.lit(0), (tiles - 1).cast("int"))))
+    return tiled.withColumns({"low": F.least("tile", "_other"), "high": F.greatest("tile", "_other")}).drop("_other")
+
+
+def closer_pairs(sets: DataFrame) -> DataFrame:
+    """For keys whose classes are of several clusters: each class outside the largest of them with its NEAREST classes
+    of other clusters by the bound, as pairs (a, b). A heavy key is cut into tiles of classes, each asked by itself."""
+    keyed = sets.select(F.posexplode("keys").alias("k", "key"), "doc_id", "cluster")
+    open_keys = _of_several(keyed, ["k", "key"], hot=True)
+    tile = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / ASKED)).cast("int")
+    task = ["k", "key", "tile"]
+    placed = open_keys.withColumn("tile", tile).join(sets.select("doc_id", "n", "counts"), "doc_id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, task):
+            ids, cluster, n = (table.column(c).to_numpy() for c in ("doc_id", "cluster", "n"))
+            points = Points(table.column("counts").to_pylist(), n)
+            tree = Tree(points, cluster)
+            best: list[np.ndarray] = []
+            for i, j in tree.pairs():
+                back = ~tree.core[j]
+                asks, given = np.concatenate((i, j[back])), np.concatenate((j, i[back]))
+                slack = np.concatenate([points.bound(asks[s : s + AT_ONCE], given[s : s + AT_ONCE]) for s in range(0, len(asks), AT_ONCE)] or [np.zeros(0)])
+                best.append(np.stack([asks, given, slack]))
+                if sum(x.shape[1] for x in best) > AT_ONCE:
+                    best = [_first_of(np.concatenate(best, axis=1))]
+            found = _first_of(np.concatenate(best or [np.zeros((3, 0))], axis=1))[:2].astype(np.int64)
+            a, b = ids[found[0]], ids[found[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return placed.repartition(*task).sortWithinPartitions(*task, "n", "doc_id").select(*task, "doc_id", "cluster", "n", "counts").mapInArrow(search, "a long, b long").distinct()
+
+
+def _first_of(found: np.ndarray) -> np.ndarray:
+    """Of columns (asks, given, score) the NEAREST of each `asks` with the largest scores."""
+    found = found[:, np.lexsort((found[1], -found[2], found[0]))]
+    return found[:, np.arange(found.shape[1]) - np.searchsorted(found[0], found[0]) < NEAREST]
+
+
 def missed_pairs(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes of different clusters whose prefixes share enough tokens and whose points allow the threshold."""
-    posted = sets.select(F.explode("prefix").alias("token"), "doc_id", "cluster", F.col("n").cast("int").alias("n"))
-
-    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by token those whose token has several clusters; a token's rows so far are kept in part."""
-        carry: list[pa.RecordBatch] = []
-        token_of_carry = cluster_of_carry = None
-        mixed = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, cluster = batch.column("token").to_numpy(), batch.column("cluster").to_numpy()
-            cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
-            starts = np.concatenate(([0], cuts))
-            low, high = np.minimum.reduceat(cluster, starts), np.maximum.reduceat(cluster, starts)
-            ends = np.append(cuts, len(token))
-            several = low != high
-            # the first run goes on from the batches before, the last may go on behind
-            if token_of_carry is not None and token[0] == token_of_carry:
-                if mixed or several[0] or low[0] != cluster_of_carry:
-                    yield from carry
-                    carry, mixed, several[0] = [], True, True
-                several_first = mixed
-            else:
-                carry, mixed, several_first = [], False, bool(several[0])
-            several[0] = several_first
-            flags = np.repeat(several, ends - starts)
-            last = starts[-1]
-            if len(starts) == 1 and not several[0]:
-                carry.append(batch)
-                token_of_carry, cluster_of_carry = token[0], cluster[0]
-                if sum(b.num_rows for b in carry) > HELD:  # rather than hold more, let them through; no pair comes of it
-                    yield from carry
-                    carry, mixed = [], True
-                continue
-            if not several[-1]:
-                flags[last:] = False
-                carry = [batch.slice(int(last))]
-                mixed = False
-            else:
-                carry, mixed = [], True
-            token_of_carry, cluster_of_carry = token[-1], cluster[-1]
-            if flags.any():
-                yield batch.filter(pa.array(flags))
-
-    schema = "token long, doc_id long, cluster long, n int"
-    shared = posted.repartition("token").sortWithinPartitions("token").mapInArrow(live, schema)
-    points = sets.select("doc_id", "counts")
-    shared = stored(shared, "shared-tokens")
-    sizes = shared.groupBy("token").agg(F.min("doc_id").alias("lead"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    tiled = shared.join(sizes, "token").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("other", "tiles")
+    columns = ["doc_id", "cluster", F.col("n").cast("int").alias("n")]
+    rare = _of_several(sets.select(F.explode("prefix").alias("token"), *columns), ["token"], hot=False)
+    common = _of_several(sets.select(F.explode("common").alias("token"), *columns), ["token"], hot=True)
+    shared = stored(rare.unionByName(common), "shared-tokens")
+    # All tokens with the same smallest class are one group, so what a pair shares there is known in one task.
+    weights = shared.groupBy("lead").agg(F.count(F.lit(1)).alias("weight"), F.max("rows").alias("heaviest"))
+    in_all = shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("in_all"))
+    # Tiles enough for the heaviest token; beyond TILES of them the tokens of a group are dealt over salts.
+    tiles = F.greatest(F.ceil(F.col("heaviest") / TILE), F.least(F.lit(TILES), F.ceil(F.col("weight") / TILE)))
+    salts = F.ceil(F.col("weight") / (TILE * tiles))
+    dealt = shared.join(weights, "lead").withColumn("salt", F.pmod(F.xxhash64("token"), salts).cast("int"))
+    tiled = _tiled(dealt, tiles).drop("weight", "heaviest", "rows")
     task = ["lead", "salt", "low", "high"]
-    sorted_runs = tiled.join(points, "doc_id").repartition(*task).sortWithinPartitions(*task, "token", "n", "doc_id")
+    facts = sets.select("doc_id", "counts").join(in_all, "doc_id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        added = np.zeros((5, 0), np.int64)  # place of the task key, a, b, shared, need
-
-        def out(table: pa.Table) -> np.ndarray:
+        for table in _groups(batches, task):
             table = table.combine_chunks()
-            token, ids, cluster = (table.column(c).to_numpy() for c in ("token", "doc_id", "cluster"))
-            n = table.column("n").to_numpy().astype(np.int64)
-            points = Points(table.column("counts").to_pylist(), n)
-            tile, low, high = (table.column(c).to_numpy() for c in ("tile", "low", "high"))
-            other = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            starts = np.concatenate(([0], np.flatnonzero(other) + 1))
-            sizes = np.diff(np.append(starts, len(token)))
-            run = np.repeat(np.arange(len(starts)), sizes)
-            small = sizes[run] <= 2 * NODE
-            i_all, j_all = [], []
-            for d in range(1, int(min(sizes.max(), 2 * NODE))):  # short runs are one leaf
-                i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:]) & (cluster[:-d] != cluster[d:]))
-                i = i[points.allow(i, i + d)]
-                i_all.append(i)
-                j_all.append(i + d)
-            for k in np.flatnonzero(sizes > 2 * NODE):
-                a, b = starts[k], starts[k] + sizes[k]
-                i, j = tree_pairs(points, a, b, cluster)
-                i_all.append(i)
-                j_all.append(j)
-            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i_all, j_all))
-            here = (low[i] == high[i]) | (tile[i] != tile[j])
-            i, j = i[here], j[here]
-            x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            key = table.column("lead").to_numpy()[i] * SALTS + table.column("salt").to_numpy()[i]
-            return np.stack([key, x, y, np.ones(len(x), np.int64), needed(n[i], n[j])])
-
-        def summed(pairs: np.ndarray) -> np.ndarray:
-            pairs = pairs[:, np.lexsort((pairs[2], pairs[1], pairs[0]))]
-            new = np.flatnonzero(np.concatenate(([True], (pairs[:3, 1:] != pairs[:3, :-1]).any(0)))) if pairs.shape[1] else np.zeros(0, np.int64)
-            return np.concatenate((pairs[:3, new], np.add.reduceat(pairs[3], new)[None] if len(new) else pairs[3:4, :0], pairs[4:, new]))
-
-        def written(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs[1:]], ["a", "b", "shared", "need"])
+            ids, first, place, here = np.unique(table.column("doc_id").to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+            n = table.column("n").to_numpy()[first].astype(np.int64)
+            order = np.argsort(n, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            first, ids, n, here = first[order], ids[order], n[order], here[order]
+            cluster, tile, in_all = (table.column(c).to_numpy()[first] for c in ("cluster", "tile", "in_all"))
+            points = Points(table.column("counts").take(pa.array(first)).to_pylist(), n)
+            held = _Held(rank[place], table.column("token").to_numpy(), len(ids))
+            apart = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+            for i, j in Tree(points, cluster).pairs():
+                if apart:
+                    i, j = (x[tile[i] != tile[j]] for x in (i, j))
+                shared, need = held.shared(i, j), needed(n[i], n[j])
+                # What the pair can still share in other tasks is what either has there.
+                ok = (shared > 0) & (shared + np.minimum(in_all[i] - here[i], in_all[j] - here[j]) >= need)
+                i, j, shared, need = i[ok], j[ok], shared[ok], need[ok]
+                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, shared, need)], ["a", "b", "shared", "need"])
+
+    placed = tiled.join(facts, "doc_id").repartition(*task).sortWithinPartitions(*task)
+    found = placed.select(*task, "token", "tile", "doc_id", "cluster", "n", "counts", "in_all").mapInArrow(search, "a long, b long, shared long, need long")
+    pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    return pairs.where("shared >= need").select("a", "b")
 
-        for batch in batches:
-            if not batch.num_rows:
+
+class _Held:
+    """Which tokens each of some sets holds, to count what pairs share."""
+
+    def __init__(self, place: np.ndarray, token: np.ndarray, sets: int):
+        _, number = np.unique(token, return_inverse=True)
+        self.width = int(number.max()) + 1
+        self.keys = np.sort(place * self.width + number)
+        self.starts = np.searchsorted(self.keys, np.arange(sets + 1) * self.width)
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        sizes = np.diff(self.starts)
+        i, j = np.where(sizes[i] <= sizes[j], i, j), np.where(sizes[i] <= sizes[j], j, i)
+        ends = np.cumsum(sizes[i])
+        out = np.zeros(len(i), np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // (64 * AT_ONCE))) + 1).tolist(), len(i)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own, per = i[a:b], sizes[i[a:b]]
+            total = int(per.sum())
+            if not total:
                 continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = [held.column(c).to_numpy() for c in ("token", "low", "high")]
-            cut = int(np.flatnonzero(~np.all([k == k[-1] for k in keys], axis=0)).max(initial=-1)) + 1
-            if cut:
-                added = summed(np.concatenate((added, out(held.slice(0, cut))), axis=1))
-                held = held.slice(cut)
-                now = held.column("lead")[0].as_py() * SALTS + held.column("salt")[0].as_py()
-                done = (added[0] != now) | (added.shape[1] > ADDED)
-                yield written(added[:, done])
-                added = added[:, ~done]
-        if held is not None and held.num_rows:
-            added = np.concatenate((added, out(held)), axis=1)
-        yield written(summed(added))
-
-    found = sorted_runs.select(*task, "token", "tile", "doc_id", "cluster", "n", "counts").mapInArrow(search, "a long, b long, shared long, need long")
-    pairs = found.where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
-    return pairs.where("shared >= need").select("a", "b")
+            at = np.repeat(self.starts[own] - (np.cumsum(per) - per), per) + np.arange(total)
+            sought = self.keys[at] + np.repeat((j[a:b] - own) * self.width, per)
+            spot = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+            hit = np.concatenate(([0], np.cumsum(self.keys[spot] == sought)))
+            out[a:b] = np.diff(hit[np.concatenate(([0], np.cumsum(per)))])
+        return out
+
+
+def _placed(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with their cluster by these links."""
+    clusters = stored(components(links), "clusters")
+    return reps.join(clusters, F.col("id") == F.col("doc_id"), "left").withColumn("cluster", F.coalesce("component", "doc_id")).drop("id", "component")
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -409,10 +464,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     reps = stored(described.where("n > 0").join(classes.select(*name, F.col("rep").alias("doc_id")), [*name, "doc_id"]).dropDuplicates([*name, "doc_id"]), "set-classes")
     stars = stored(_bounded(star_pairs(reps)).distinct(), "stars")
     links = stored(verify(stars, docs, size), "star-links")
-    clusters = stored(components(links), "clusters")
-    placed = reps.join(clusters, F.col("id") == F.col("doc_id"), "left").withColumn("cluster", F.coalesce("component", "doc_id")).drop("id", "component")
-    missed = stored(missed_pairs(placed), "missed")
-    more = verify(missed, docs, size)
+    links = links.unionByName(stored(verify(stored(closer_pairs(_placed(reps, links)), "closer"), docs, size), "closer-links"))
+    more = verify(stored(missed_pairs(_placed(reps, links)), "missed"), docs, size)
     joined = components(links.unionByName(more))
     whole = classes.join(joined, F.col("id") == F.col("rep"), "left").select(*name, F.coalesce("component", "rep").alias("component_id"))
     alone = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -75,6 +75,8 @@ def test_components_equal_brute_force(spark, monkeypatch, seed):
 
 def test_second_step_alone_finds_all_links(spark, monkeypatch):
     """Without any star the exact step must find every component."""
+    monkeypatch.setattr(sj, "TILES", 2)
+    monkeypatch.setattr(sj, "closer_pairs", lambda sets: sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false"))
     monkeypatch.setattr(sj, "star_pairs", lambda sets: sets.select(*(F.col("doc_id").alias(c) for c in ("a", "b")), *(F.col("n").alias(c) for c in ("n_a", "n_b")), *(F.col("counts").alias(c) for c in ("counts_a", "counts_b"))).where("false"))
     rows = sorted(corpus(3, 200))
     got = sj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -89,11 +91,48 @@ def test_tree_equals_scan():
     n = counts.sum(1).astype(np.int64)
     order = np.argsort(n, kind="stable")
     points = sj.Points([counts[i].tobytes() for i in order], n[order])
-    cluster = np.arange(n_rows)
-    i, j = sj.tree_pairs(points, 0, n_rows, cluster)
     a, b = np.triu_indices(n_rows, 1)
-    ok = points.allow(a, b)
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(a[ok].tolist(), b[ok].tolist(), strict=True)) and ok.any()
+    for cluster in (np.arange(n_rows), np.where(rng.random(n_rows) < 0.6, -1, np.arange(n_rows) // 2)):
+        found = [(min(p), max(p)) for i, j in sj.Tree(points, cluster).pairs() for p in zip(i.tolist(), j.tolist(), strict=True)]
+        ok = points.allow(a, b) & (cluster[a] != cluster[b])
+        assert len(found) == len(set(found)) and ok.any()
+        assert set(found) == set(zip(a[ok].tolist(), b[ok].tolist(), strict=True))
+
+
+def test_shared_tokens_equal_sets():
+    rng = np.random.default_rng(1)
+    sets = [set(rng.integers(0, 60, rng.integers(1, 30)).tolist()) for _ in range(50)]
+    place, token = (np.array(x) for x in zip(*[(k, t) for k, own in enumerate(sets) for t in own], strict=True))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(50), np.arange(50)))
+    assert sj._Held(place, token, 50).shared(i, j).tolist() == [len(sets[a] & sets[b]) for a, b in zip(i, j, strict=True)]
+
+
+def test_words_with_equal_polynomial_hashes_differ(spark):
+    """Words of a and b in Thue-Morse order and its complement are equal to any polynomial hash of 64 bits."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate({97: "b", 98: "a"})
+    rows = [(1, one), (2, one.translate({97: "b", 98: "a"}))]
+    got = sj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]
+
+
+def test_large_group_of_near_copies_gives_few_pairs(spark):
+    """A group whose members are like the base and often unlike each other: what the exact step finds grows with the group, not its square."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for at in rng.sample(range(0, 150, 5), rng.choice([1, 2, 3])):
+            own[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    classes = sj.describe(docs, np.zeros(0, np.uint64)).withColumnRenamed("low", "_low").withColumn("rep", F.col("doc_id"))
+    links = sj.verify(sj._bounded(sj.star_pairs(classes)).distinct(), docs)
+    links = links.unionByName(sj.verify(sj.closer_pairs(sj._placed(classes, links)), docs))
+    assert sj.missed_pairs(sj._placed(classes, links)).count() <= 2 * len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in sj.near_duplicates(docs).collect()} == brute(rows)
 
 
 def test_odd_rows(spark):
