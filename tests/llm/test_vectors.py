@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from lumenreel.llm import nearest, vector_links
+from lumenreel.llm import nearest, queries, vector_links
 from lumenreel.llm.components import components
 
 NAN, INF = float("nan"), float("inf")
@@ -82,13 +82,69 @@ def test_search_recall_and_order(table):
 
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
-    asked = codes[:40] ^ (rng.integers(0, 256, (40, 8)) & rng.integers(0, 256, (40, 8)) & rng.integers(0, 256, (40, 8))).astype(np.uint8)
+    codes = rng.integers(0, 1 << 16, (500, 5)).astype(np.uint16)
+    asked = codes[:40] ^ (rng.integers(0, 1 << 16, (40, 5)) & rng.integers(0, 1 << 16, (40, 5)) & rng.integers(0, 1 << 16, (40, 5))).astype(np.uint16)
     index = nearest.BlockIndex(codes)
-    apart = np.unpackbits(asked[:, None] ^ codes[None], axis=2).sum(2)
-    for radius in (0, 3, 9, 17, 30, 64):
-        q, r = index.within(asked, radius)
-        assert set(zip(q.tolist(), r.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(apart <= radius)), strict=True))
+    apart = nearest._ONES[asked[:, None] ^ codes[None]]
+    for most in (0, 1, 3, 6):
+        found = index.probed(asked, nearest._BY_ONES[: (nearest._ONES <= most).sum()].astype(np.int64))
+        assert (found == (apart <= most).any(2)).all()
+        assert found[apart.sum(2) <= 5 * (most + 1) - 1].all()
+
+
+@pytest.mark.parametrize(("folder", "most"), [("sf0.01", 0.5), ("sf0.1", 0.45)])
+def test_recall_and_share_on_the_given_tables(spark, folder, most):
+    """The registered query against brute force, and how much of the table the fitted codes probe."""
+    rows = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").select("vec_id", "embedding")
+    told = rows.toPandas().sort_values("vec_id")
+    ids, x = told["vec_id"].to_numpy(), np.array(told["embedding"].tolist(), float)
+    got: dict = {}
+    for r in queries.queries()["op3_nearest"](spark, f"/root/testdata/{folder}").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in ids[ids % 20 == 0]:
+        s = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        hit += len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hit / (20 * len(got)) >= 0.9 and len(got) == (ids % 20 == 0).sum()
+    code = nearest.fitted(rows, len(ids), 20)[x.shape[1]]
+    own = code.of_queries(x[ids % 20 == 0])[:, : code.tables]
+    assert nearest.BlockIndex(code.of(x)[:, : code.tables]).probed(own, code.flips).mean() < most
+
+
+def test_repeated_ids_and_lengths(spark):
+    """Of rows with the same vec_id one takes part; vectors of a rare length are compared with each other; norms count."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=8) * rng.choice([0.1, 1, 20])).astype(np.float32).tolist()) for i in range(300)]
+    rows += [rows[0], rows[0], rows[7], (20, [-9.0] * 8), (20, [5.0] * 8)]
+    rows += [(400 + i, [float(i + 1), 1.0]) for i in range(5)] + [(500, [1.0] * 3)]
+    least = {}
+    for i, v in rows:
+        least[i, len(v)] = min(v, least.get((i, len(v)), v))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got: dict = {}
+    for r in nearest.search(df, df.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hit = total = 0
+    for (q, dim), v in least.items():
+        if q % 20:
+            continue
+        others = sorted((-float(np.dot(np.array(v, float), np.array(w, float))), i) for (i, d), w in least.items() if i != q and d == dim)[:20]
+        own = sorted(got.get(q, []))
+        assert len({i for _, i, _ in own}) == len(own) == len(others)
+        hit += len({i for _, i, _ in own} & {i for _, i in others})
+        total += len(others)
+        if dim < 8:
+            assert [i for _, i, _ in own] == [i for _, i in others]
+    assert hit / total >= 0.9 and 500 not in got and len(got[400]) == 4
+
+
+def test_links_with_repeated_ids(spark):
+    x, y, z = [1.0, 0.0], [1.0, 0.1], [0.0, 1.0]
+    rows = [(1, x, 0), (1, x, 0), (2, y, 0), (3, z, 0), (3, x, 1), (4, z, 0), (4, None, 0), (5, x, 1), (6, x, 1), (6, z, 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_links.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    sixth = got[-1][1:]
+    assert got[-2][1:] == sixth and sixth in ((1, 5), (0, 6))
+    assert got[:-2] == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (3, 1, 3), (4, 1, 3), (4, 1, 3), (5, sixth[0], 5)]
 
 
 def test_small_and_empty(spark, table):
