@@ -32,13 +32,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); set to a temporary one only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Only in local mode, where it may be unset, a temporary one."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         if checkpoint.isDefined():
             return checkpoint.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

@@ -74,20 +74,44 @@ def test_skip_edges_carry_labels():
     assert p[len(words) - 2 if words[-1] == "7654321" else -1, 4] > 0.8 and abs(p[words.index("7654321"), 4] - 0.2) < 0.05
 
 
-def test_ledger_scans_only_unseen(spark):
+def test_ledger_scans_only_unseen(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
     old = rows(spark, ["token = abcdef1234", "clean", "clean", None])
-    _, fresh, ledger = secrets.update_ledger(old)
-    assert fresh.count() == 3
+    assert secrets.update_ledger(old.limit(0), path)[1] == 0
+    assert secrets.update_ledger(old, path)[1] == 3
+    assert secrets.update_ledger(old, path)[1] == 0  # a second run scans nothing
     new = rows(spark, ["clean", "AKIA" + "Z" * 16, "token = abcdef1234"])
-    _, fresh, both = secrets.update_ledger(new, ledger)
-    assert fresh.count() == 1 and both.count() == 4
-    assert secrets.update_ledger(new, both)[1].count() == 0
-    assert secrets.update_ledger(new, both, "2")[1].count() == 3
-    got = {r.doc_id: (r.n_assign, r.n_access, r.spans) for r in secrets.scan_documents(new, both).collect()}
+    assert secrets.update_ledger(new, path)[1] == 1
+    assert secrets.read_ledger(spark, path).count() == 4
+    assert secrets.update_ledger(new, path, "2")[1] == 3
+    got = {r.doc_id: (r.n_assign, r.n_access, r.spans) for r in secrets.scan_documents(new, path).collect()}
     assert got == {0: (0, 0, ""), 1: (0, 1, "access:0:20"), 2: (1, 0, "assign:0:18")}
     assert secrets.scan_documents(old.limit(0)).count() == 0
 
 
+def test_ledger_with_versions_and_repeated_pairs(spark, tmp_path):
+    """Versions of a document are blobs of their own; pairs that two runs appended count once."""
+    path, twin = f"file://{tmp_path}/ledger", f"file://{tmp_path}/twin"
+    docs = spark.createDataFrame([(1, "first token=abcdef99"), (1, "second, clean"), (2, "second, clean"), (None, "first token=abcdef99")], "doc_id long, text string")
+    assert secrets.update_ledger(docs, path)[1] == 2 == secrets.update_ledger(docs, twin)[1]
+    secrets.read_ledger(spark, twin).write.mode("append").parquet(path)
+    got = sorted(((r.doc_id or 0), r.n_assign) for r in secrets.scan_documents(docs, path).collect())
+    assert got == [(0, 1), (1, 0), (1, 1), (2, 0)]
+
+
+def test_long_secrets_are_whole():
+    """Nothing is cut: long passwords, hosts and labels are in the span to their end."""
+    word = "p" * 5_000
+    text = f"see https+x://user:{word}@{'h' * 3_000}.org/x and 9://no and ://u:pass@h"
+    found = secrets.all_spans(text, secrets.base_spans(text))
+    assert found == [("address", 4, text.index("/x and"))]
+    key = "-----BEGIN " + "A " * 40 + "PRIVATE KEY-----" + "Q" * 9_000 + "-----END " + "A " * 40 + "PRIVATE KEY-----"
+    assert ("pem", 2, 2 + len(key)) in secrets.all_spans("a " + key + " b", [])
+    many = "token: abcdef%d; " * 1
+    long = "".join(many % i for i in range(20_000))
+    assert len(secrets.base_spans(long)) == 20_000 and secrets.masked(long, ",".join(f"{k}:{a}:{b}" for k, a, b in secrets.base_spans(long)), "#") == "#; " * 20_000
+
+
 def test_masking_keeps_columns(spark):
     df = spark.createDataFrame([(1, "a token = 0123456789abcdef01234567 b", "s", 7), (2, None, "s", None), (3, "clean", "s", 5)], "doc_id long, text string, blob string, n_chars long")
     got = {r.doc_id: tuple(r) for r in secrets.masked_documents(df).collect()}
@@ -131,6 +155,36 @@ def test_factor_identity():
         assert abs(m.raw(of, slot, value, stats)[t] - want) < 1e-3
 
 
+def test_trees_equal_a_plain_version():
+    """Splits by trying every bin of every feature, and scores by walking each tree, one row at a time."""
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(300, 4)), rng.integers(0, 2, 300).astype(float)
+    y[x[:, 1] > 0.4] = 1
+    model = toxicity.BoostedTrees(trees=6, bins=8).fit(x, y, x, y)
+    bins = [[sum(e < v for e in model.edges[k]) for k, v in enumerate(row)] for row in x.tolist()]
+    raw = [model.base] * len(x)
+    for feature, cut, value in model.trees:
+        g = [1 / (1 + np.exp(-r)) - t for r, t in zip(raw, y, strict=True)]
+        h = [p * (1 - p) for p in (1 / (1 + np.exp(-r)) for r in raw)]
+
+        def gain(left, g=g, h=h):
+            part = lambda own: sum(g[i] for i in own) ** 2 / (sum(h[i] for i in own) + model.ridge)
+            return part([i for i in range(len(x)) if left[i]]) + part([i for i in range(len(x)) if not left[i]]) - part(range(len(x)))
+
+        def enough(left, h=h):
+            return min(sum(h[i] for i in range(len(x)) if left[i]), sum(h[i] for i in range(len(x)) if not left[i])) >= model.least / 4
+
+        tried = [[b[k] <= c for b in bins] for k in range(4) for c in range(9)]
+        best = max(gain(left) for left in tried if enough(left))
+        assert abs(gain([b[feature[0]] <= cut[0] for b in bins]) - best) < 1e-6
+        for i, b in enumerate(bins):
+            node = 0
+            for _ in range(model.depth):
+                node = 2 * node + 1 + (b[feature[node]] > cut[node])
+            raw[i] += value[node - (2**model.depth - 1)]
+    assert np.allclose(raw, model.raw(x)) and np.allclose(model.score(x), np.interp(raw, model.at, model.value))
+
+
 def test_isotonic():
     at, value = toxicity.isotonic(np.array([3.0, 1, 2, 4, 2]), np.array([0.0, 0, 1, 1, 1]))
     assert (np.diff(value) >= 0).all() and (np.diff(at) >= 0).all()
