@@ -17,6 +17,8 @@ from lumenreel.functions.text import tokenize
 
 #: Query vectors that one task multiplies with its rows at a time.
 QUERY_BLOCK = 1_024
+#: Rows that are broadcast at most; a query's tokens are some fifty bytes each.
+BROADCAST_ROWS = 500_000
 #: Vectors of a block of cosine_blocks.
 VECTOR_BLOCK = 4_096
 
@@ -27,51 +29,6 @@ def top(df: DataFrame, keys: list[str], order: list[Column | str], k: int, rank:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def _cosines(query: str, vector: str) -> Column:
-    dot = F.aggregate(F.zip_with(F.col(query), F.col(vector), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot / (norm(query) * norm(vector))
-
-
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """Exact: query_id, vec_id, score and rank of each query's k nearest by cosine.
-
-    vectors: vec_id, embedding; queries: query_id, query; allowed: query_id, vec_id pairs to search in (an empty
-    table allows nothing). Queries are dealt in blocks to every part of the vectors, each part keeps its k best of
-    each query, and only those are shuffled.
-    """
-    if allowed is not None:
-        pairs = allowed.join(queries, "query_id").join(vectors, "vec_id")
-        scored = pairs.select("query_id", "vec_id", _cosines("query", "embedding").alias("score"))
-        return top(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")
-    held = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))  # about QUERY_BLOCK of them
-    parts = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
-    dealt = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
-    rows = dealt.groupBy("part", F.expr("vec_id div 4096").alias("slice")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows"))
-    whole = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, asked in zip(batch.column("rows").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                ids = np.array([r["vec_id"] for r in rows])
-                x, q = (np.array([r[c] for r in t], float) for t, c in ((rows, "embedding"), (asked, "query")))
-                s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                best = [np.lexsort((ids, -one))[:k] for one in s]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([a["query_id"] for a in asked], [len(b) for b in best])),
-                        pa.array(ids[np.concatenate(best)]),
-                        pa.array(np.concatenate([one[b] for one, b in zip(s, best, strict=True)])),
-                    ],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    near = whole.join(held, "block").mapInArrow(score, "query_id long, vec_id long, score double")
-    return top(near, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
-
-
 def cosine_blocks(vectors: DataFrame, queries: DataFrame, keep: Callable, schema: str, same: list[str] | None = None) -> DataFrame:
     """Every query meets every vector (with the same values in the columns `same`), block by block.
 
@@ -122,44 +79,66 @@ def best_of_block(k: int) -> Callable:
 
 
 def postings(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row for each key and distinct token: token and its count tf."""
-    return docs.select(*keys, F.explode(tokenize(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """One row for each distinct token of a row of docs: the keys, token, its count tf, and of the whole row the number
+    of tokens (length) and the root of the sum of squared counts (norm). Made row by row, without a shuffle."""
+    ts, at = F.col("_ts"), F.col("_at")
+    first = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+    runs = docs.select(*keys, F.sort_array(tokenize(F.col(text))).alias("_ts")).withColumn("_at", F.when(F.size(ts) > 0, first))
+    count = lambda i, k: F.struct(F.get(ts, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(ts)) - i).alias("tf"))
+    counted = runs.select(*keys, F.size(ts).alias("length"), F.transform(at, count).alias("_p"))
+    norm = F.sqrt(F.aggregate("_p", F.lit(0).cast("long"), lambda a, p: a + p["tf"].cast("long") * p["tf"]))
+    # Not inline: Spark would push its filter of empty lists below, and with it all of the above into itself.
+    return counted.withColumn("norm", norm).select(*keys, "length", "norm", F.inline_outer("_p")).where("token is not null")
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores where their files give fewer parts than that; else as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """Rows to be broadcast if they are at most BROADCAST_ROWS, else to be shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def overlap_scores(docs: DataFrame, queries: DataFrame, doc_keys: list[str]) -> DataFrame:
     """Shared token counts over both lengths (L2): query_id, doc_keys and score; pairs that share no token are left out.
 
-    The documents' tokens are cut down to those some query has before anything is joined.
+    docs has one row for each value of doc_keys. The queries' tokens go to where the documents' are made (or, if they
+    are too many to be broadcast, both are shuffled by token), and sums are made there before anything else moves.
     """
-    q = postings(queries, ["query_id"], "query_text").withColumnRenamed("tf", "q_tf")
-    q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q_tf") * F.col("q_tf"))).alias("q_norm"))
-    d = postings(docs, doc_keys)
-    d_norm = d.groupBy(*doc_keys).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("d_norm"))
-    shared = d.join(q, "token").groupBy("query_id", *doc_keys).agg(F.sum(F.least("tf", "q_tf")).alias("shared"))
-    scored = shared.join(q_norm, "query_id").join(d_norm, doc_keys)
-    return scored.select("query_id", *doc_keys, (F.col("shared") / (F.col("q_norm") * F.col("d_norm"))).alias("score"))
+    q = postings(queries, ["query_id"], "query_text").select("query_id", "token", F.col("tf").alias("q_tf"), F.col("norm").alias("q_norm"))
+    met = postings(_spread(docs.select(*doc_keys, "text")), doc_keys).join(_sent(q), "token")
+    shared = met.groupBy("query_id", *doc_keys).agg(F.sum(F.least("tf", "q_tf")).alias("shared"), F.max("q_norm").alias("q_norm"), F.max("norm").alias("d_norm"))
+    return shared.select("query_id", *doc_keys, (F.col("shared") / (F.col("q_norm") * F.col("d_norm"))).alias("score"))
 
 
 def best_fields(docs: DataFrame, queries: DataFrame, boosts: DataFrame, k: int | None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over fields, the best boosted field wins: query_id, doc_id, score, rank.
 
-    docs: doc_id, field, text; boosts: field, boost (those not above 0 are left out before the join). A field of a
-    document counts if it has the required number of the query's distinct tokens. Without k all hits are ranked.
+    docs: doc_id, field, text, one row for each doc_id and field; boosts: field, boost, a short list of which those not
+    above 0 are left out before any join. A field of a document counts if it has the required number of the query's
+    distinct tokens. Only tokens that some query has are counted over the documents. Without k all hits are ranked.
     """
+    docs = _spread(docs.select("doc_id", "field", "text"))
     p = postings(docs, ["doc_id", "field"])
-    length = p.groupBy("doc_id", "field").agg(F.sum("tf").alias("length"))
-    field = length.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    df = p.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
     asked = postings(queries, ["query_id"], "query_text").select("query_id", "token")
     need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     need = need.withColumn("need", F.when(F.col("n") <= 2, F.col("n")).when(F.col("n") <= 4, F.floor(F.col("n") * 0.75)).otherwise(F.floor(F.col("n") * 0.5)))
-    used = boosts.where("boost > 0")
-    hits = p.join(F.broadcast(used), "field").join(asked, "token").join(df, ["field", "token"]).join(length, ["doc_id", "field"]).join(F.broadcast(field), "field")
+    tokens = _sent(asked.select("token").distinct())
+    df = p.join(tokens, "token", "left_semi").groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
+    lengths = docs.select("field", F.size(tokenize(F.col("text"))).alias("length")).where("length > 0")
+    field = lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+    used = F.broadcast(boosts.where("boost > 0")), F.broadcast(field)  # as many rows as there are fields
+    weighed = asked.join(df, "token").join(used[0], "field").join(used[1], "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    fields = hits.groupBy("query_id", "doc_id", "field", "boost").agg(F.sum(part).alias("sum"), F.count(F.lit(1)).alias("matched"))
+    weighed = weighed.select("query_id", "field", "token", "boost", "mean_length", idf.alias("idf"))
+    hits = p.join(_sent(weighed), ["field", "token"])
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    fields = hits.groupBy("query_id", "doc_id", "field").agg((F.max("boost") * F.sum(part)).alias("sum"), F.count(F.lit(1)).alias("matched"))
     fields = fields.join(need, "query_id").where("matched >= need")
-    scored = fields.groupBy("query_id", "doc_id").agg(F.max(F.col("boost") * F.col("sum")).alias("score"))
+    scored = fields.groupBy("query_id", "doc_id").agg(F.max("sum").alias("score"))
     order = [F.desc(F.round("score", 9)), F.asc("doc_id")]
     if k is None:
         return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))

@@ -157,15 +157,14 @@ def v15_sync_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     LISTS
-    + """, x AS (SELECT query_id, sha256(array_to_string(list(CAST(frame_id AS VARCHAR) ORDER BY rank, CAST(frame_id AS VARCHAR)), ',')) AS a FROM lists WHERE rank <= 10 GROUP BY 1),
-    k AS (SELECT query_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM sem QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10),
-    y AS (SELECT query_id, sha256(array_to_string(list(CAST(frame_id AS VARCHAR) ORDER BY rank, CAST(frame_id AS VARCHAR)), ',')) AS b FROM k GROUP BY 1)
+    + """, x AS (SELECT query_id, sha256(array_to_string(list(CAST(frame_id AS VARCHAR) ORDER BY rank, CAST(frame_id AS VARCHAR)), ',')) AS a FROM sem WHERE rank <= 10 GROUP BY 1),
+    y AS (SELECT query_id, sha256(array_to_string(list(CAST(frame_id AS VARCHAR) ORDER BY rank, CAST(frame_id AS VARCHAR)), ',')) AS b FROM txt WHERE rank <= 10 GROUP BY 1)
     SELECT query_id, coalesce(a = b, false) AS same FROM x FULL JOIN y USING (query_id)"""
 )
 def v16_paired_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = r.top(lexical(spark, sf_dir).withColumnRenamed("doc_id", "id"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("id")], 10)
-    part = r.top(two_lists(spark, sf_dir)[0].withColumnRenamed("frame_id", "id").withColumnRenamed("rank", "old"), ["query_id"], [F.asc("old")], 10)
-    return c.paired_parity(whole, part, ["query_id"])
+    """Whether the first ten of both lists agree."""
+    s, t = (d.where("rank <= 10").select("query_id", F.col("frame_id").alias("id"), "rank") for d in two_lists(spark, sf_dir))
+    return c.paired_parity(s, t, ["query_id"])
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from lumenreel.operators import ranking as r
 from lumenreel.operators import sequences as s
 from lumenreel.plans import views as v
 from lumenreel.plans.common import register
-from lumenreel.plans.ranking import COS, OVERLAP, VQ, tokens_sql, vector_queries
+from lumenreel.plans.ranking import COS, OVERLAP, VQ, tokens_sql, vector_tables
 from lumenreel.plans.sequences import HOUR
 
 QUERIES: dict = {}
@@ -41,13 +42,18 @@ def t08_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t09_semantic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' lists of thirty, fused by reciprocal ranks."""
-    e = v.table(spark, sf_dir, "embeddings")
-    n = e.count()
-    every = r.cosine_topk(e, vector_queries(spark, sf_dir), n).select("query_id", F.col("vec_id").alias("frame_id"), "score")
-    a = every.select(F.lit("a").alias("model"), F.lit(0.6).alias("weight"), "query_id", "frame_id", "score")
-    b = every.select(F.lit("b").alias("model"), F.lit(0.4).alias("weight"), "query_id", "frame_id", (F.col("score") * (F.col("frame_id") % 3)).alias("score"))
-    lists = r.top(a.unionByName(b).where("score > 0"), ["query_id", "model"], [F.desc(F.round("score", 9)), F.asc("frame_id")], 30)
-    return r.reciprocal_rank_fusion(lists.drop("rank")).withColumn("score", F.round("score", 6))
+    e, asked = vector_tables(spark, sf_dir)
+    best = r.best_of_block(30)
+
+    def keep(asked: dict, rows: dict, scores: np.ndarray) -> list:
+        lists = [best(asked, rows, s) for s in (scores, scores * (rows["id"] % 3))]
+        model = np.repeat(["a", "b"], [len(x[0]) for x in lists])
+        return [model, *(np.concatenate(c) for c in zip(*lists, strict=True))]
+
+    every = r.cosine_blocks(e, asked, keep, "model string, query_id long, frame_id long, score double")
+    lists = r.top(every.where("score > 0"), ["query_id", "model"], [F.desc(F.round("score", 9)), F.asc("frame_id")], 30)
+    weighted = lists.drop("rank").withColumn("weight", F.when(F.col("model") == "a", 0.6).otherwise(0.4))
+    return r.reciprocal_rank_fusion(weighted).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -87,10 +93,10 @@ def j11_nearest_to_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.groupBy(*key).agg(F.min_by("keyframe_id", F.struct(F.abs(F.col("t") - (F.col("a") + F.col("b")) / 2).alias("d"), "frame_idx")).alias("keyframe_id"))
 
 
-@query("WITH p AS (SELECT o_orderpriority AS stage, count(*) AS rows, count(DISTINCT o_custkey % 40) AS shards, count_if(o_orderstatus = 'F')::BIGINT AS segments FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1) SELECT stage, rows, shards, shards = 40 AND (stage <> '5-LOW' OR segments > 0) AS ok FROM p")
+@query("WITH p AS (SELECT o_orderpriority AS stage, count(*) AS rows, count(DISTINCT o_custkey % 40) AS shards, count_if(o_orderstatus = 'F')::BIGINT AS segments FROM orders GROUP BY 1) SELECT stage, rows, shards, shards = 40 AND (stage <> '5-LOW' OR segments > 0) AS ok FROM p")
 def v13_reconcile_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per stage: rows, completed shards against the forty expected, and for the last kind also that segments were written."""
-    o = v.table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0")
+    o = v.table(spark, sf_dir, "orders")
     p = o.groupBy(F.col("o_orderpriority").alias("stage")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.col("o_custkey") % 40).alias("shards"), F.count_if(F.col("o_orderstatus") == "F").alias("segments"))
     return p.select("stage", "rows", "shards", ((F.col("shards") == 40) & ((F.col("stage") != "5-LOW") | (F.col("segments") > 0))).alias("ok"))
 
@@ -145,13 +151,20 @@ def e18_expansion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("conv_id").agg(F.round(j, 6).alias("jaccard"), F.round(1 - j, 6).alias("diversity"))
 
 
-@query(f"WITH n AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings), s AS (SELECT a.label, a.vec_id, {COS.replace('query', 'a.embedding', 1).replace('CAST(embedding', 'CAST(b.embedding')} AS c FROM n a JOIN n b ON a.label = b.label AND a.i <= 8 AND b.i <= 8 AND a.i <> b.i) SELECT label, vec_id, round(max(c), 6) AS best, round(1 - avg(c), 6) AS distance FROM s GROUP BY 1, 2")
+@query(f"WITH s AS (SELECT a.label, a.vec_id, {COS.replace('query', 'a.embedding', 1).replace('CAST(embedding', 'CAST(b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT label, vec_id, round(max(c), 6) AS best, round(1 - avg(c), 6) AS distance FROM s GROUP BY 1, 2")
 def e19_variant_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of eight variants a case: the best cosine to another and the mean distance."""
-    n = r.top(v.table(spark, sf_dir, "embeddings"), ["label"], [F.asc("vec_id")], 8, "i")
-    a, b = n.select("label", "vec_id", F.col("embedding").alias("x"), F.col("i").alias("ai")), n.select("label", F.col("embedding").alias("y"), F.col("i").alias("bi"))
-    c = a.join(b, "label").where("ai <> bi").withColumn("c", r._cosines("x", "y"))
-    return c.groupBy("label", "vec_id").agg(F.round(F.max("c"), 6).alias("best"), F.round(1 - F.avg("c"), 6).alias("distance"))
+    """Of all variants of a case: the best cosine to another and the mean distance."""
+    e = v.table(spark, sf_dir, "embeddings")
+
+    def keep(asked: dict, rows: dict, scores: np.ndarray) -> list:
+        other = rows["id"][None, :] != asked["id"][:, None]
+        some = other.any(1)
+        best, total = np.where(other, scores, -np.inf).max(1), np.where(other, scores, 0.0).sum(1)
+        return [asked["label"].take(np.flatnonzero(some)), asked["id"][some], best[some], total[some], other.sum(1)[some]]
+
+    every = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+    c = r.cosine_blocks(e, every, keep, "label int, vec_id long, best double, total double, n long", ["label"])
+    return c.groupBy("label", "vec_id").agg(F.round(F.max("best"), 6).alias("best"), F.round(1 - F.sum("total") / F.sum("n"), 6).alias("distance"))
 
 
 @query(f"WITH {v.CANDIDATES}, x AS (SELECT query_id, keyframe_id, event_index, score FROM candidates) SELECT query_id, keyframe_id, round(score, 6) AS semantic, round(score * 0.4, 6) AS weighted, round(score - score * 0.4, 6) AS delta FROM x")

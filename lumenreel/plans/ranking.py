@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,51 +54,57 @@ BOOSTS = {"asr": 2.5, "ocr": 3.0, "caption": 1.5}
     SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 20"""
 )
 def t05_text_topk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap over all fields joined, plus each field's overlap times its boost (a document has one field here)."""
-    a = v.annotations(spark, sf_dir)
-    whole = lexical(spark, sf_dir)
-    fields = r.overlap_scores(a.withColumnRenamed("keyframe_id", "doc_id"), v.text_queries(spark, sf_dir), ["doc_id", "source_type"])
-    boost = F.when(F.col("source_type") == "asr", 2.5).when(F.col("source_type") == "ocr", 3.0).otherwise(1.5)
-    more = fields.groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * boost).alias("more"))
-    total = whole.join(more, ["query_id", "doc_id"], "left").select("query_id", "doc_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    """Overlap over all fields joined, plus the one field's overlap times its boost."""
+    a = v.annotations(spark, sf_dir).withColumnRenamed("keyframe_id", "doc_id")
+    scores = r.overlap_scores(a, v.text_queries(spark, sf_dir), ["doc_id", "source_type"])
+    boost = F.element_at(F.create_map(*(F.lit(x) for kv in BOOSTS.items() for x in kv)), F.col("source_type"))
+    total = scores.groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * (1 + boost)).alias("score"))
     return r.top(total.where("score > 0"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], 20).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+BEST_FIELDS = """field_p AS (SELECT d.doc_id, source_type AS field, token, tf FROM d_tokens d JOIN annotations ON keyframe_id = d.doc_id),
+ field_len AS (SELECT doc_id, field, sum(tf) AS length FROM field_p GROUP BY 1, 2), field_stats AS (SELECT field, count(*) AS n_docs, avg(length) AS mean_length FROM field_len GROUP BY 1),
+ field_df AS (SELECT field, token, count(*) AS df FROM field_p GROUP BY 1, 2),
+ field_need AS (SELECT query_id, CASE WHEN count(*) <= 2 THEN count(*) WHEN count(*) <= 4 THEN floor(count(*) * 0.75) ELSE floor(count(*) * 0.5) END AS need FROM q_tokens GROUP BY 1),
+ field_hits AS (SELECT query_id, doc_id, field, count(*) AS matched,
+  CASE field WHEN 'asr' THEN 2.5 WHEN 'ocr' THEN 3.0 ELSE 1.5 END * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) AS s
+  FROM field_p JOIN q_tokens USING (token) JOIN field_df USING (field, token) JOIN field_len USING (doc_id, field) JOIN field_stats USING (field) GROUP BY 1, 2, 3),
+ field_best AS (SELECT query_id, doc_id, max(s) AS score FROM field_hits JOIN field_need USING (query_id) WHERE matched >= need GROUP BY 1, 2)"""
+
+
+def bm25(spark: SparkSession, sf_dir: str, k: int | None) -> DataFrame:
+    fields = v.annotations(spark, sf_dir).select(F.col("keyframe_id").alias("doc_id"), F.col("source_type").alias("field"), "text")
+    return r.best_fields(fields, v.text_queries(spark, sf_dir), spark.createDataFrame(list(BOOSTS.items()), "field string, boost double"), k)
+
+
 @query(
-    f"""WITH {v.TEXT_QUERIES}, {v.ANNOTATIONS}, {Q_TOKENS}, {D_TOKENS}, p AS (SELECT d.doc_id, source_type AS field, token, tf FROM d_tokens d JOIN annotations ON keyframe_id = d.doc_id),
-    len AS (SELECT doc_id, field, sum(tf) AS length FROM p GROUP BY 1, 2), fs AS (SELECT field, count(*) AS n_docs, avg(length) AS mean_length FROM len GROUP BY 1),
-    df AS (SELECT field, token, count(*) AS df FROM p GROUP BY 1, 2),
-    need AS (SELECT query_id, CASE WHEN count(*) <= 2 THEN count(*) WHEN count(*) <= 4 THEN floor(count(*) * 0.75) ELSE floor(count(*) * 0.5) END AS need FROM q_tokens GROUP BY 1),
-    f AS (SELECT query_id, doc_id, field, count(*) AS matched,
-      CASE field WHEN 'asr' THEN 2.5 WHEN 'ocr' THEN 3.0 ELSE 1.5 END * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) AS s
-      FROM p JOIN q_tokens USING (token) JOIN df USING (field, token) JOIN len USING (doc_id, field) JOIN fs USING (field) GROUP BY 1, 2, 3),
-    best AS (SELECT query_id, doc_id, max(s) AS score FROM f JOIN need USING (query_id) WHERE matched >= need GROUP BY 1, 2),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM best)
+    f"""WITH {v.TEXT_QUERIES}, {v.ANNOTATIONS}, {Q_TOKENS}, {D_TOKENS}, {BEST_FIELDS},
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM field_best)
     SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 20"""
 )
 def t06_text_topk_best_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = v.annotations(spark, sf_dir).select(F.col("keyframe_id").alias("doc_id"), F.col("source_type").alias("field"), "text")
-    boosts = spark.createDataFrame(list(BOOSTS.items()), "field string, boost double")
-    return r.best_fields(a, v.text_queries(spark, sf_dir), boosts, 20).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return bm25(spark, sf_dir, 20).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(
-    f"""WITH {v.TEXT_QUERIES}, probes AS (SELECT query_id, array_to_string(list_slice(string_split(query_text, ' '), 1, 4), ' ') AS query_text FROM text_queries)
-    SELECT query_id, doc_id, CAST(0.5 AS DOUBLE) AS bonus FROM probes JOIN documents ON contains(lower(text), lower(query_text))"""
-)
+@query(f"WITH {v.TEXT_QUERIES} SELECT query_id, doc_id, CAST(0.5 AS DOUBLE) AS bonus FROM text_queries JOIN documents ON contains(lower(text), lower(query_text))")
 def t07_phrase_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four words of each query as a phrase."""
-    q = v.text_queries(spark, sf_dir).withColumn("query_text", F.array_join(F.slice(F.split("query_text", " "), 1, 4), " "))
-    return r.phrase_bonus(v.table(spark, sf_dir, "documents"), q)
+    """Whole passages as phrases."""
+    return r.phrase_bonus(v.table(spark, sf_dir, "documents"), v.text_queries(spark, sf_dir))
 
 
-VQ = "vq AS (SELECT vec_id AS query_id, embedding AS query, label AS q_label FROM embeddings WHERE vec_id < 20)"
+VQ = "vq AS (SELECT vec_id AS query_id, embedding AS query, label AS q_label FROM embeddings WHERE vec_id % 100 = 0)"
 COS = "list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[]))"
 
 
-def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries every row whose id is divisible by 100."""
     e = v.table(spark, sf_dir, "embeddings")
-    return e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = r.top(found, ["query_id"], [F.desc(F.round("score", 9)), F.asc("vec_id")], k)
+    return best.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -105,8 +113,8 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 10"""
 )
 def t01_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = r.cosine_topk(v.table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 10)
-    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    e, asked = vector_tables(spark, sf_dir)
+    return _best(r.cosine_blocks(e, asked, r.best_of_block(10), "query_id long, vec_id long, score double"), 10)
 
 
 @query(
@@ -115,12 +123,9 @@ def t01_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 10"""
 )
 def j03_restricted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only vectors of the query's own label may be hits: the restriction comes before the ranking."""
-    e = v.table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
-    allowed = q.join(e.select("vec_id", "label"), "label").select("query_id", "vec_id")
-    found = r.cosine_topk(e, vector_queries(spark, sf_dir), 10, allowed)
-    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    """Only vectors of the query's own label may be hits."""
+    e, asked = vector_tables(spark, sf_dir)
+    return _best(r.cosine_blocks(e, asked, r.best_of_block(10), "query_id long, vec_id long, score double", ["label"]), 10)
 
 
 @query(
@@ -132,10 +137,20 @@ def j03_restricted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t03_scan_rank_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best hit of each video, and the rank of the target video (the query's own label): 1 + strictly better ones."""
-    e = v.table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("target"))
-    pairs = e.join(F.broadcast(asked), e["vec_id"] != asked["query_id"])  # twenty queries, however many vectors
-    s = pairs.select("query_id", "target", F.col("label").alias("video_id"), "vec_id", r._cosines("query", "embedding").alias("score"))
+    e, asked = vector_tables(spark, sf_dir)
+
+    def keep(asked: dict, rows: dict, scores: np.ndarray) -> list:
+        code = pc.dictionary_encode(rows["label"], null_encoding="encode").indices.to_numpy()
+        out = []
+        for i, (own, one) in enumerate(zip(asked["id"], scores, strict=True)):
+            order = np.lexsort((rows["id"], -np.round(one, 9), code))
+            order = order[rows["id"][order] != own]
+            first = order[np.flatnonzero(np.diff(code[order], prepend=-1))]
+            out.append((np.full(len(first), i), first))
+        of, place = (np.concatenate(c) for c in zip(*out, strict=True))
+        return [asked["id"][of], asked["label"].take(of), rows["label"].take(place), rows["id"][place], scores[of, place]]
+
+    s = r.cosine_blocks(e, asked, keep, "query_id long, target int, video_id int, vec_id long, score double")
     best = s.groupBy("query_id", "target", "video_id").agg(F.max("score").alias("score"), F.min_by("vec_id", F.struct((-F.round("score", 9)).alias("s"), "vec_id")).alias("vec_id"))
     w = Window.partitionBy("query_id")
     goal = F.max(F.when(F.col("video_id") == F.col("target"), F.round("score", 9))).over(w)
@@ -143,14 +158,17 @@ def t03_scan_rank_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("goal is not null").select("query_id", "video_id", "vec_id", F.round("score", 6).alias("score"), "target_rank")
 
 
-#: Semantic and text lists of the lexical queries: the same hits by two formulas.
-LISTS = f"""WITH {OVERLAP}, lists AS (SELECT query_id, doc_id AS frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM pair_scores),
- sem AS (SELECT * FROM lists WHERE rank <= 60 AND frame_id % 3 <> 0), txt AS (SELECT query_id, frame_id, score * score AS score, rank FROM lists WHERE rank <= 60 AND frame_id % 2 = 0)"""
+#: All hits of two scorers: token overlap, and the best field by BM25.
+LISTS = f"""WITH {OVERLAP}, {v.ANNOTATIONS}, {BEST_FIELDS},
+ sem AS (SELECT query_id, doc_id AS frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM pair_scores),
+ txt AS (SELECT query_id, doc_id AS frame_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM field_best)"""
 
 
 def two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ranked = r.top(lexical(spark, sf_dir).withColumnRenamed("doc_id", "frame_id"), ["query_id"], [F.desc(F.round("score", 9)), F.asc("frame_id")], 60)
-    return ranked.where("frame_id % 3 <> 0"), ranked.where("frame_id % 2 = 0").withColumn("score", F.col("score") * F.col("score"))
+    """All hits of two scorers with their ranks: token overlap, and the best field by BM25."""
+    ranked = lexical(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))))
+    fields = bm25(spark, sf_dir, None).withColumn("score", F.round("score", 9))
+    return ranked.withColumnRenamed("doc_id", "frame_id"), fields.withColumnRenamed("doc_id", "frame_id")
 
 
 @query(

@@ -4,7 +4,7 @@ frames        one row a time-stamped record of a video (a user is a video)
 candidates    scored frames of a day's query for the ordered events view, click, purchase
 segments      transcript turns with start and end seconds
 annotations   texts of a video by kind of source
-text_queries  the first words of benchmark passages
+text_queries  whole benchmark passages
 objects       an inventory of stored objects
 """
 
@@ -75,13 +75,11 @@ ANNOTATIONS = """annotations AS (SELECT doc_id AS keyframe_id, source AS video_i
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve blank-separated words of each passage."""
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("query_text"))
+    """Whole benchmark passages."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
-TEXT_QUERIES = """text_queries AS (SELECT item_id AS query_id,
-  array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS query_text FROM benchmark)"""
+TEXT_QUERIES = "text_queries AS (SELECT item_id AS query_id, text AS query_text FROM benchmark)"
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:

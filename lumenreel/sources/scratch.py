@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a local temporary folder only where that is unset."""
+    """A new path under spark.checkpoint.dir. Only in local mode, where that may be unset, under a temporary folder."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

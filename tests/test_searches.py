@@ -46,7 +46,7 @@ def ranked(scores, ids, k):
 
 def test_every_query_is_answered(spark, vectors):
     path, s, label = vectors
-    for name, may in (("t01_cosine_topk_whole", lambda q: range(450)), ("j03_restricted_topk_whole", lambda q: np.flatnonzero(label == label[q]).tolist())):
+    for name, may in (("t01_cosine_topk", lambda q: range(450)), ("j03_restricted_topk", lambda q: np.flatnonzero(label == label[q]).tolist())):
         got = {(q, n): (i, c) for q, i, n, c in run(spark, name, path)}
         want = {(q, n): (i, s[q, i]) for q in ASKED for n, i in enumerate(ranked(s[q], may(q), 10), 1)}
         assert {k: g[0] for k, g in got.items()} == {k: g[0] for k, g in want.items()}
@@ -61,7 +61,7 @@ def test_target_ranks(spark, vectors):
         best = {c: ranked(s[q], [i for i in np.flatnonzero(label == c).tolist() if i != q], 1)[0] for c in set(label.tolist())}
         rank = 1 + sum(round(s[q, i], 9) > round(s[q, best[label[q]]], 9) for i in best.values())
         want |= {(q, c, i, rank) for c, i in best.items()}
-    assert {(q, c, i, n) for q, c, i, _, n in run(spark, "t03_scan_rank_target_whole", path)} == want
+    assert {(q, c, i, n) for q, c, i, _, n in run(spark, "t03_scan_rank_target", path)} == want
 
 
 def test_two_models(spark, vectors):
@@ -71,13 +71,13 @@ def test_two_models(spark, vectors):
         for weight, scores in ((0.6, s[q]), (0.4, s[q] * (np.arange(450) % 3))):
             for n, i in enumerate(ranked(scores, np.flatnonzero(scores > 0).tolist(), 30), 1):
                 want[q, i] = want.get((q, i), 0) + weight / (60 + n)
-    got = {(q, i): c for q, i, c in run(spark, "t09_semantic_scores_whole", path)}
+    got = {(q, i): c for q, i, c in run(spark, "t09_semantic_scores", path)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
 def test_all_variants_of_a_label(spark, vectors):
     path, s, label = vectors
-    got = {(c, i): (b, d) for c, i, b, d in run(spark, "e19_variant_similarity_whole", path)}
+    got = {(c, i): (b, d) for c, i, b, d in run(spark, "e19_variant_similarity", path)}
     assert len(got) == 450
     for (c, i), (b, d) in got.items():
         others = [j for j in np.flatnonzero(label == c) if j != i]
@@ -150,31 +150,31 @@ def test_whole_passages_are_searched(spark, texts):
     path, passages, docs, kinds = texts
     o = overlaps(passages, docs)
     for name, scores, k in (
-        ("t04_lexical_rank_whole", o, 10),
-        ("t05_text_topk_overlap_whole", {q: {i: c * (1 + BOOST[kinds[i]]) for i, c in s.items()} for q, s in o.items()}, 20),
-        ("t06_text_topk_best_fields_whole", bm25(passages, docs, kinds), 20),
-        ("t08_text_scores_whole", {q: {i: c * BOOST[kinds[i]] for i, c in s.items() if kinds[i] != "caption"} for q, s in o.items()}, 15),
+        ("t04_lexical_rank", o, 10),
+        ("t05_text_topk_overlap", {q: {i: c * (1 + BOOST[kinds[i]]) for i, c in s.items()} for q, s in o.items()}, 20),
+        ("t06_text_topk_best_fields", bm25(passages, docs, kinds), 20),
+        ("t08_text_scores", {q: {i: c * BOOST[kinds[i]] for i, c in s.items() if kinds[i] != "caption"} for q, s in o.items()}, 15),
     ):
         got = {(x["query_id"], x["doc_id"]): x for x in registry.queries()[name](spark, str(path)).collect()}
         want = firsts(scores, k)
         same({a: x["score"] for a, x in got.items()}, {a: c for a, (c, _) in want.items()})
         assert {a: x["rank"] for a, x in got.items()} == {a: n for a, (_, n) in want.items()}
-    assert {(q, i) for q, i, _ in run(spark, "t07_phrase_bonus_whole", path)} == {(q, i) for q, p in passages.items() for i, t in docs.items() if p in t}
+    assert {(q, i) for q, i, _ in run(spark, "t07_phrase_bonus", path)} == {(q, i) for q, p in passages.items() for i, t in docs.items() if p in t}
 
 
 def test_values_of_whole_passages(spark, texts):
     path, passages, docs, _ = texts
     o = overlaps(passages, docs)
     best = {i: max(min(1.0, s[i]) for s in o.values() if i in s) for i in docs if any(i in s for s in o.values())}
-    same(dict(run(spark, "t21_metadata_score_whole", path)), best)
-    assert dict(run(spark, "p21_minimum_should_match_whole", path)) == {q: 10 for q in passages}
+    same(dict(run(spark, "t21_metadata_score", path)), best)
+    assert dict(run(spark, "p21_minimum_should_match", path)) == {q: 10 for q in passages}
     holds = {q: {i for i, t in docs.items() if p in t} for q, p in passages.items()}
     want = {}
     for q, own in holds.items():
         if own:
             places = [n for n, i in enumerate(ranked(o[q], o[q], 20), 1) if i in own]
             want[q] = (len(places) / len(own), 1 / places[0] if places else 0)
-    got = {q: x for q, *x in run(spark, "e06_recall_mrr_whole", path)}
+    got = {q: x for q, *x in run(spark, "e06_recall_mrr", path)}
     assert got.keys() == want.keys() and all(np.allclose(got[q], want[q], atol=2e-6) for q in want)
 
 
@@ -184,15 +184,15 @@ def test_all_hits_are_fused(spark, texts):
     every = {q: sorted(set(s[q]) | set(t.get(q, {}))) for q in s}
     assert any(i % 6 == 3 for own in every.values() for i in own) and any(len(own) > 60 for own in every.values())
     place = [{(q, i): n for q, own in lists.items() for n, i in enumerate(ranked(own, own, len(own)), 1)} for lists in (s, t)]
-    got = {(x["query_id"], x["frame_id"]): x for x in registry.queries()["j02_fuse_outer_whole"](spark, str(path)).collect()}
+    got = {(x["query_id"], x["frame_id"]): x for x in registry.queries()["j02_fuse_outer"](spark, str(path)).collect()}
     assert {k: (x["semantic_rank"], x["text_rank"]) for k, x in got.items()} == {(q, i): (place[0].get((q, i)), place[1].get((q, i))) for q in every for i in every[q]}
     weighted = {(q, i): (0.6 * s[q].get(i, 0), 0.4 * t.get(q, {}).get(i, 0)) for q in every for i in every[q]}
-    same({(q, i): c for q, i, c in run(spark, "a08_max_weighted_fuse_whole", path)}, {k: max(x) for k, x in weighted.items()})
+    same({(q, i): c for q, i, c in run(spark, "a08_max_weighted_fuse", path)}, {k: max(x) for k, x in weighted.items()})
     # equal scores keep the smaller id first in both scorers, so ranks are those of the lists
-    same({(q, i): c for q, i, c in run(spark, "a07_rrf_fuse_whole", path)}, {k: sum(w / (60 + p[k]) for w, p in zip((0.6, 0.4), place, strict=True) if k in p) for k in weighted})
+    same({(q, i): c for q, i, c in run(spark, "a07_rrf_fuse", path)}, {k: sum(w / (60 + p[k]) for w, p in zip((0.6, 0.4), place, strict=True) if k in p) for k in weighted})
     turns = {q: {i: -min([2 * place[0].get((q, i), 10**6), 2 * place[1].get((q, i), 10**6) + 1]) for i in own} for q, own in every.items()}
-    assert set(run(spark, "t10_candidate_cap_whole", path)) == {(q, i, n) for q in turns for n, i in enumerate(ranked(turns[q], turns[q], 100), 1)}
-    for name in ("t11_hybrid_fuse_whole", "t12_rerank_blend_whole"):
+    assert set(run(spark, "t10_candidate_cap", path)) == {(q, i, n) for q in turns for n, i in enumerate(ranked(turns[q], turns[q], 100), 1)}
+    for name in ("t11_hybrid_fuse", "t12_rerank_blend"):
         rows = run(spark, name, path)
         assert {(q, i) for q, i, *_ in rows} == set(weighted) and all(sorted(n for q, _, _, n in rows if q == p) == list(range(1, len(every[p]) + 1)) for p in every)
 
@@ -200,7 +200,7 @@ def test_all_hits_are_fused(spark, texts):
 def test_all_orders_are_reconciled(spark, tmp_path):
     rows = [(k, k % 40, "F" if k == 7 else "O", "5-LOW") for k in range(7, 600, 7)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
-    assert run(spark, "v13_reconcile_run_whole", tmp_path) == [("5-LOW", len(rows), 40, True)]
+    assert run(spark, "v13_reconcile_run", tmp_path) == [("5-LOW", len(rows), 40, True)]
 
 
 # Sequences
@@ -213,12 +213,12 @@ def test_twelve_candidates_of_an_event(spark, tmp_path):
     rows = [(i, 1, datetime(2024, 1, 1) + timedelta(minutes=30 * i + int(i % 3)), kinds[int(k)], float(x)) for i, (k, x) in enumerate(zip(rng.permutation(np.repeat([0, 1, 2], 15)), rng.permutation(45) + 1.0, strict=True))]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     pool = [sorted((r for r in rows if r[3] == k), key=lambda r: -r[4])[:12] for k in kinds]
-    assert {f for *_, f in run(spark, "q02_prune_per_video_whole", tmp_path)} == {r[0] for p in pool for r in p}
+    assert {f for *_, f in run(spark, "q02_prune_per_video", tmp_path)} == {r[0] for p in pool for r in p}
     limit = timedelta(hours=12)
     fits = lambda a, b: timedelta(0) < b[2] - a[2] <= limit
     chains = [(a[0], b[0], c[0]) for a in pool[0] for b in pool[1] if fits(a, b) for c in pool[2] if fits(b, c)]
     assert 64 < len(chains) <= 400
-    assert {tuple(f) for _, _, f, _ in run(spark, "q03_beam_search_whole", tmp_path)} == set(chains)
+    assert {tuple(f) for _, _, f, _ in run(spark, "q03_beam_search", tmp_path)} == set(chains)
     ends = run(spark, "q03_beam_search_partial", tmp_path)
     assert {m for _, _, f, _, _ in ends for m in f} - {r[0] for p in pool for r in p[:4]}
 
