@@ -96,10 +96,10 @@ def _pieces(text: Column, cut: str) -> Column:
 
 
 #: How events are told apart, in order of precedence (fixed values).
-CONTEXT = r"(?i)^(.+?)\s+(?:after|sau khi)\s+(.+?)\s+(?:and|và|va)\s+(?:before|trước khi|truoc khi)\s+(.+)$"
+CONTEXT = r"(?i)^(.+?)\s+(?:after|sau\s+khi)\s+(.+?)\s+(?:and|v(?:a|à))\s+(?:before|tr(?:uoc|ước)\s+khi)\s+(.+)$"
 LABEL = r"(?im)(?:^|[\r\n;]|\s)\s*(?:\(?\s*e\s*\d{1,2}\s*\)?|event\s*\d{1,2}|step\s*\d{1,2})\s*[:.)-]\s*"
 NUMBER = r"(?m)^\s*\d{1,2}\s*[:.)-]\s+"
-SOFT = r"(?i)\s*(?:\bafter that\b|\bthen\b|\bnext\b|\bfinally\b|đầu\s+tiên|trước\s+hết|sau\s+đó|tiếp\s+đến|tiếp\s+theo|cuối\s+cùng|rồi|;)\s*"
+SOFT = r"(?i)\s*(?:\bthen\b|\bafter that\b|\bnext\b|\bfinally\b|đầu\s+tiên|trước\s+hết|sau\s+đó|tiếp\s+đến|tiếp\s+theo|cuối\s+cùng|rồi|;)\s*"
 
 
 def parse_events(text: Column, most: int = 8) -> Column:
@@ -110,7 +110,8 @@ def parse_events(text: Column, most: int = 8) -> Column:
     context = F.filter(F.array(part(2), part(1), part(3)), lambda p: p != "")
     behind = lambda cut: _pieces(F.regexp_extract(F.regexp_replace(t, cut, "\u0001"), "(?s)\u0001(.*)$", 1), "\u0001")
     labels, numbers, soft = behind(LABEL), behind(NUMBER), _pieces(line, SOFT)
-    single = F.filter(F.array(_clean(line)), lambda p: p != "")
+    # One label alone tells no events apart, but the event is what stands behind it.
+    single = F.filter(F.array(F.coalesce(F.get(labels, F.lit(0)), _clean(line))), lambda p: p != "")
     found = lambda name, events: F.struct(F.lit(name).alias("source"), F.slice(events, 1, most).alias("events"))
     return (
         F.when(t == "", found("empty", F.array().cast("array<string>"))).when(line.rlike(CONTEXT), found("context_relation", context)).when(F.size(labels) > 1, found("event_labels", labels))
@@ -122,14 +123,19 @@ def parse_events(text: Column, most: int = 8) -> Column:
 BOUNDARY = r"(?i)(?<=[.!?])\s+|\b(?:then|after\s+that|afterwards|next|finally|sau\s+đ[oó]|ti[eế]p\s+theo|cu[oố]i\s+c[uù]ng|r[oồ]i)\b"
 
 
+_ENDS = "^[ ,;:-]+|[ ,;:-]+$"
+
+
 def refine_events(events: DataFrame, longest: int = 120, most: int = 8) -> DataFrame:
-    """events: query_id, event_index, text, weight. Longer ones are cut at sentences and connectors, their weight shared;
-    at most `most` events of a query stay."""
-    cut = F.when(F.length("text") > longest, _pieces(F.col("text"), BOUNDARY)).otherwise(F.array("text"))
-    d = events.withColumn("parts", cut)
-    d = d.select("query_id", "event_index", (F.col("weight") / F.size("parts")).alias("weight"), F.posexplode("parts").alias("piece", "text"))
+    """events: query_id, event_index, text, weight. Longer ones are cut at sentences and connectors, if that gives more
+    than one piece; at most `most` events of a query stay, and an event's weight is shared by its pieces that stay."""
+    pieces = F.filter(F.transform(F.split(F.regexp_replace("text", BOUNDARY, "\u0001"), "\u0001"), lambda p: F.regexp_replace(p, _ENDS, "")), lambda p: p != "")
+    d = events.withColumn("parts", pieces)
+    d = d.withColumn("parts", F.when((F.length("text") > longest) & (F.size("parts") > 1), F.col("parts")).otherwise(F.array("text")))
+    d = d.select("query_id", "event_index", "weight", F.posexplode("parts").alias("piece", "text"))
     w = Window.partitionBy("query_id").orderBy("event_index", "piece")
-    return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    stay = d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return stay.withColumn("weight", F.col("weight") / F.count(F.lit(1)).over(Window.partitionBy("query_id", "event_index")))
 
 
 def keyframe_id(video: Column, frame: Column) -> Column:
@@ -176,28 +182,43 @@ def normalize_boxes(boxes: Column, width: Column, height: Column) -> Column:
 
 
 def merge_lines(boxes: Column, near_y: float = 35.0, near_x: float = 180.0) -> Column:
-    """boxes: array of x, y, w, h, text. Read from top left, a box joins the line before it if it is near in both directions."""
-    line = "array<struct<y:double,right:double,text:string>>"
-    ordered = F.array_sort(F.transform(boxes, lambda b: F.struct(b["y"].alias("y"), b["x"].alias("x"), b["w"].alias("w"), b["h"].alias("h"), b["text"].alias("text"))))
+    """boxes: array of x, y, w, h, text. Read from top left, a box joins the first line whose middle and right edge are
+    near, and the line grows to hold it. Lines have x1, y1, x2, y2 and their texts in the order in which they joined."""
+    line = "array<struct<x1:double,y1:double,x2:double,y2:double,text:string>>"
+    corners = lambda b: F.struct(b["y"].alias("y1"), b["x"].alias("x1"), (b["x"] + b["w"]).alias("x2"), (b["y"] + b["h"]).alias("y2"), b["text"].alias("text"))
+
+    def joined(own: Column, b: Column) -> Column:
+        low = [F.least(own[c], b[c]).alias(c) for c in ("x1", "y1")]
+        return F.struct(*low, *(F.greatest(own[c], b[c]).alias(c) for c in ("x2", "y2")), F.concat_ws(" ", own["text"], b["text"]).alias("text"))
 
     def step(lines: Column, b: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        middle, right = b["y"] + b["h"] / 2, b["x"] + b["w"]
-        joins = last.isNotNull() & (F.abs(last["y"] - middle) < near_y) & (b["x"] - last["right"] < near_x)
-        grown = F.struct(last["y"].alias("y"), F.greatest(last["right"], right).alias("right"), F.concat_ws(" ", last["text"], b["text"]).alias("text"))
-        fresh = F.struct(middle.alias("y"), right.alias("right"), b["text"].alias("text"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(lines, F.array(fresh)))
+        near = lambda own: (F.abs((b["y1"] + b["y2"]) / 2 - (own["y1"] + own["y2"]) / 2) < near_y) & (b["x1"] - own["x2"] < near_x)
+        place = F.array_position(F.transform(lines, near), True)
+        fresh = F.struct(*(b[c].alias(c) for c in ("x1", "y1", "x2", "y2", "text")))
+        # Lines before the joined one stay, and so do those behind it.
+        grown = F.concat(F.slice(lines, F.lit(1), F.greatest(place.cast("int") - 1, F.lit(0))), F.array(joined(F.get(lines, place.cast("int") - 1), b)), F.slice(lines, place.cast("int") + 1, F.size(lines)))
+        return F.when(place > 0, grown).otherwise(F.concat(lines, F.array(fresh)))
 
-    return F.transform(F.aggregate(ordered, F.array().cast(line), step), lambda x: x["text"])
+    return F.aggregate(F.array_sort(F.transform(boxes, corners)), F.array().cast(line), step)
 
 
-FACTORS = ("scene", "people", "objects", "actions", "text", "colours", "places")
+#: The fields of a model's answer (fixed values).
+FACTORS = ("subjects", "actions", "objects", "attributes", "scene", "text_cues", "temporal_context")
 
 
 def parse_model_json(text: Column) -> Column:
-    """The object inside a model's answer, without thoughts and fences: seven lists, and whether it could be read."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
-    body = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, ", ".join(f"{f} array<string>" for f in FACTORS))
-    lists = [F.coalesce(F.filter(F.transform(parsed[f], squash), lambda v: v != ""), F.array().cast("array<string>")).alias(f) for f in FACTORS]
-    return F.struct(*lists, ((body == "") | parsed.isNull()).alias("failed"))
+    """The object inside a model's answer, without thoughts (closed or not), of a fenced part only that: seven lists, and
+    whether it could be read. A field that is a string is a list of one; anything but strings and lists is an empty list."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", "")
+    fenced = F.regexp_extract(bare, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
+    body = F.regexp_extract(F.when(bare.rlike(r"(?is)```(?:json)?\s*(.*?)\s*```"), fenced).otherwise(bare), r"(?s)(\{.*\})", 1)
+    parsed = F.try_parse_json(body)
+    none = F.array().cast("array<string>")
+
+    def field(name: str) -> Column:
+        value = F.try_variant_get(parsed, f"$.{name}", "variant")
+        one = F.when(F.schema_of_variant(value) == "STRING", F.array(F.try_variant_get(parsed, f"$.{name}", "string")))
+        values = F.coalesce(one, F.try_variant_get(parsed, f"$.{name}", "array<string>"), none)
+        return F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
+
+    return F.struct(*(field(f).alias(f) for f in FACTORS), F.coalesce(~F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(True)).alias("failed"))

@@ -87,34 +87,43 @@ def answer_match(text: Column) -> Column:
     return squash(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", ""))
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("runs", T.IntegerType()), T.StructField("removed", T.IntegerType())]))
+_COLLAPSED = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("runs", "removed", "raw_words", "clean_words"))])
+
+
+@F.pandas_udf(_COLLAPSED)
 def collapse_repeats(texts: pd.Series) -> pd.DataFrame:
-    """Runs of at least three equal neighbouring phrases of up to eight words become one phrase.
+    """Runs of at least three equal neighbouring phrases of up to eight words become one phrase, its first.
 
-    At each place the phrase whose run covers most words wins, the shorter of equals.
+    Words are compared regardless of case and of compatibility forms. At each place the phrase whose run covers most
+    words wins, the shorter of equals. Also the numbers of words before and after.
     """
 
-    def collapse(text: str | None) -> tuple[str, int, int]:
-        words = (text or "").split()
+    def collapse(text: str | None) -> tuple[str, int, int, int, int]:
+        words = unicodedata.normalize("NFC", text or "").split()
+        keys = [unicodedata.normalize("NFKC", w).casefold() for w in words]
         out, runs, removed, i = [], 0, 0, 0
         while i < len(words):
-            best = (0, 0, 1)
-            for width in range(1, 9):
-                phrase, n = words[i : i + width], 1
-                while len(phrase) == width and words[i + n * width : i + (n + 1) * width] == phrase:
-                    n += 1
-                if n >= 3 and n * width > best[0]:
-                    best = (n * width, width, n)
-            cover, width, n = best
+            best = (0, 0)
+            for width in range(1, min(8, (len(words) - i) // 3) + 1):
+                phrase, end = keys[i : i + width], i + width
+                while keys[end : end + width] == phrase:
+                    end += width
+                if end - i >= 3 * width and end - i > best[0]:
+                    best = (end - i, width)
+            cover, width = best
             if cover:
                 out += words[i : i + width]
                 runs, removed, i = runs + 1, removed + cover - width, i + cover
             else:
                 out.append(words[i])
                 i += 1
-        return " ".join(out), runs, removed
+        return " ".join(out), runs, removed, len(words), len(out)
+
+    return pd.DataFrame([collapse(t) for t in texts], columns=_COLLAPSED.names)
+
 
-    return pd.DataFrame([collapse(t) for t in texts], columns=["text", "runs", "removed"])
+#: Marks of UTF-8 that was read as Latin-1 (fixed values).
+MOJIBAKE = ("Ã", "Ä", "Å", "Æ", "Â", "á»", "áº")
 
 
 @F.pandas_udf(T.StringType())
@@ -123,7 +132,7 @@ def repair_mojibake(texts: pd.Series) -> pd.Series:
 
     def repair(text: str | None) -> str | None:
         for _ in range(2):
-            if not text or not any(m in text for m in ("Ã", "Â", "â\u0080", "áº", "á»", "Ä", "Æ")):
+            if not text or not any(m in text for m in MOJIBAKE):
                 break
             try:
                 text = text.encode("latin-1").decode("utf-8")

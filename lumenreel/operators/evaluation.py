@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenreel.functions.text import answer_match
-
 CUTS = (1, 5, 20, 50, 100)
 
 
+def _plain(answer: Column) -> Column:
+    return F.lower(F.coalesce(answer, F.lit("")))
+
+
 def r_scores(results: DataFrame, truth: DataFrame) -> DataFrame:
     """results: query_id, rank, video, frames (array), answer; truth: query_id, kind, video, ranges (array of start, end), answer.
 
-    KIS: a frame within the range; QA: the answer agrees too; TRAKE: the share of positions within their ranges.
+    KIS: a frame within the range; QA: the answer agrees too, regardless of case; TRAKE: the share of positions within their ranges.
     Another video scores 0. Only the first 100 count.
     """
     t = truth.select("query_id", "kind", F.col("video").alias("t_video"), "ranges", F.col("answer").alias("t_answer"))
@@ -21,7 +23,7 @@ def r_scores(results: DataFrame, truth: DataFrame) -> DataFrame:
     inside = F.zip_with("frames", "ranges", lambda f, r: F.coalesce(f.between(r["start"], r["end"]), F.lit(False)).cast("int"))
     hits = F.aggregate(inside, F.lit(0), lambda s, x: s + x)
     first = F.coalesce(F.element_at(inside, 1), F.lit(0)).cast("double")
-    score = F.when(F.col("video") != F.col("t_video"), 0.0).when(F.col("kind") == "TRAKE", hits / F.size("ranges")).when(F.col("kind") == "QA", first * (answer_match(F.col("answer")) == answer_match(F.col("t_answer"))).cast("int")).otherwise(first)
+    score = F.when(F.col("video") != F.col("t_video"), 0.0).when(F.col("kind") == "TRAKE", hits / F.size("ranges")).when(F.col("kind") == "QA", first * (_plain(F.col("answer")) == _plain(F.col("t_answer"))).cast("int")).otherwise(first)
     return j.select("query_id", "kind", "rank", F.coalesce(score, F.lit(0.0)).alias("r"))
 
 

@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 
 def calibrate(candidates: DataFrame) -> DataFrame:
-    """Adds relative = (1 + ln 2) / (1 + ln(1 + rank)) and calibrated: 0.6 relative + 0.2 score + 0.2 hybrid.
+    """Adds relative = (1 + ln 2) / (1 + ln(1 + rank)), with ranks by hybrid, and calibrated: 0.6 relative + 0.2 score +
+    0.2 hybrid, both scores within 0 and 1.
 
-    candidates: query_id, event_index, keyframe_id, score, hybrid (null: the other weights are scaled up).
+    candidates: query_id, event_index, keyframe_id, score (semantic; null: the other weights are scaled up), hybrid.
     """
-    w = Window.partitionBy("query_id", "event_index").orderBy(F.desc("score"), "keyframe_id")
+    w = Window.partitionBy("query_id", "event_index").orderBy(F.desc("hybrid"), "keyframe_id")
     rank = F.row_number().over(w)
     d = candidates.withColumn("relative", (1 + F.log(F.lit(2.0))) / (1 + F.log(1.0 + rank)))
-    full = 0.6 * F.col("relative") + 0.2 * F.col("score") + 0.2 * F.col("hybrid")
-    part = (0.6 * F.col("relative") + 0.2 * F.col("score")) / 0.8
+    within = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))))
+    part = 0.6 * F.col("relative") + 0.2 * within("hybrid")
+    full, part = part + 0.2 * within("score"), part / 0.8
     return d.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(full, part))))
 
 

@@ -196,7 +196,7 @@ def answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     window = F.struct((p - 300).alias("start"), (p + 300).alias("end"))
     truth = s.select(
         F.concat(F.lit("q"), "s_suppkey").alias("query_id"), F.when(k == 0, "KIS").when(k == 1, "QA").otherwise("TRAKE").alias("kind"), (p % 40).alias("video"), p.alias("frame"),
-        F.when(k == 2, F.array(window, window)).otherwise(F.array(window)).alias("ranges"), F.lit("a!").alias("answer"),
+        F.when(k == 2, F.array(window, window)).otherwise(F.array(window)).alias("ranges"), F.lit("a").alias("answer"),
     )
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
     a = v.table(spark, sf_dir, "lineitem").select(

@@ -298,7 +298,7 @@ def p25_boxes_merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of an order as boxes with a word each."""
     box = F.struct((F.col("l_partkey") % 600).cast("double").alias("x"), (F.col("l_suppkey") * 4 % 200).cast("double").alias("y"), F.lit(40.0).alias("w"), F.lit(20.0).alias("h"), F.col("l_returnflag").alias("text"))
     boxes = v.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(box).alias("b"))
-    return boxes.select("l_orderkey", fq.merge_lines(F.col("b")).alias("lines"))
+    return boxes.select("l_orderkey", F.transform(fq.merge_lines(F.col("b")), lambda x: x["text"]).alias("lines"))
 
 
 @query()

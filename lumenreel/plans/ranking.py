@@ -380,7 +380,7 @@ def p23_normalize_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p26_collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.table(spark, sf_dir, "documents").select("doc_id", ft.collapse_repeats("text").alias("c")).select("doc_id", "c.text", "c.runs", "c.removed")
+    return v.table(spark, sf_dir, "documents").select("doc_id", ft.collapse_repeats("text").alias("c")).select("doc_id", "c.text", "c.runs", "c.removed", "c.raw_words", "c.clean_words")
 
 
 @query()

@@ -289,11 +289,16 @@ def a24_throughput_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {v.CANDIDATES}, x AS (SELECT *, CASE WHEN keyframe_id % 3 = 0 THEN NULL ELSE score / 2 END AS hybrid, row_number() OVER (PARTITION BY query_id, event_index ORDER BY score DESC, keyframe_id) AS n FROM candidates),
-    y AS (SELECT *, (1 + ln(2)) / (1 + ln(1 + n)) AS rel FROM x) SELECT query_id, event_index, keyframe_id, round(greatest(0, least(1, coalesce(0.6 * rel + 0.2 * score + 0.2 * hybrid, (0.6 * rel + 0.2 * score) / 0.8))), 6) AS calibrated FROM y"""
+    f"""WITH {v.CANDIDATES}, h AS (SELECT query_id, event_index, keyframe_id, CASE WHEN keyframe_id % 3 <> 0 THEN 1.2 * score - 0.1 END AS semantic,
+      score * (1 + keyframe_id % 4) / 4 AS hybrid FROM candidates),
+    x AS (SELECT *, row_number() OVER (PARTITION BY query_id, event_index ORDER BY hybrid DESC, keyframe_id) AS n FROM h),
+    y AS (SELECT *, (1 + ln(2)) / (1 + ln(1 + n)) AS rel, greatest(0, least(1, hybrid)) AS hy, CASE WHEN semantic IS NOT NULL THEN greatest(0, least(1, semantic)) END AS se FROM x)
+    SELECT query_id, event_index, keyframe_id, round(greatest(0, least(1, coalesce(0.6 * rel + 0.2 * hy + 0.2 * se, (0.6 * rel + 0.2 * hy) / 0.8))), 6) AS calibrated FROM y"""
 )
 def w02_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = v.candidates(spark, sf_dir).withColumn("hybrid", F.when(F.col("keyframe_id") % 3 != 0, F.col("score") / 2))
+    """Ranked by the hybrid score; a third of the candidates have no semantic one."""
+    k = F.col("keyframe_id")
+    c = v.candidates(spark, sf_dir).withColumn("hybrid", F.col("score") * (1 + k % 4) / 4).withColumn("score", F.when(k % 3 != 0, 1.2 * F.col("score") - 0.1))
     return w.calibrate(c).select("query_id", "event_index", "keyframe_id", F.round("calibrated", 6).alias("calibrated"))
 
 
@@ -351,12 +356,12 @@ def _keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def w07_segment_events_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return w.segment_events(_keyframes(spark, sf_dir), alike=-0.1)
+    return w.segment_events(_keyframes(spark, sf_dir))
 
 
 @query()
 def w08_segment_events_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return w.segment_events(_keyframes(spark, sf_dir), centroid=True, alike=-0.1)
+    return w.segment_events(_keyframes(spark, sf_dir), centroid=True)
 
 
 @query(

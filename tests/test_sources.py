@@ -60,6 +60,7 @@ def test_event_parsing(spark):
     cases = {
         "a dog after the rain and before the sun": ("context_relation", ["the rain", "a dog", "the sun"]), "E1: run E2: jump": ("event_labels", ["run", "jump"]), "1. run\n2. jump": ("numbered_lines", ["run", "jump"]),
         "run then jump; fall": ("soft_separators", ["run", "jump", "fall"]), " is running. ": ("single", ["running"]), "": ("empty", []),
+        "E1: a man runs": ("single", ["a man runs"]), "một người sau   khi trời mưa và trước\tkhi nắng": ("context_relation", ["trời mưa", "một người", "nắng"]),
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", fq.parse_events(F.col("t")).alias("e"))
     assert {r.t: (r.e.source, r.e.events) for r in df.collect()} == cases
@@ -68,4 +69,45 @@ def test_event_parsing(spark):
 def test_text_functions(spark):
     df = spark.createDataFrame([("Đường  phố Ñ-1", "go go go stop", "hÃ©llo", None)], "a string, b string, c string, d string")
     r = df.select(ft.fold_text("a").alias("f"), ft.collapse_repeats("b").alias("c"), ft.repair_mojibake("c").alias("m"), ft.tokenize(F.col("d")).alias("t")).first()
-    assert r.f == "duong pho n 1" and tuple(r.c) == ("go stop", 1, 2) and r.m == "héllo" and r.t == []
+    assert r.f == "duong pho n 1" and tuple(r.c) == ("go stop", 1, 2, 4, 2) and r.m == "héllo" and r.t == []
+
+
+def test_repeats_regardless_of_case_and_form(spark):
+    cases = {"Go go GO stop": ("Go stop", 1, 2, 4, 2), "ﬁn fin FIN": ("ﬁn", 1, 2, 3, 1), "a b A B a b c": ("a b c", 1, 4, 7, 3), "a a b b": ("a a b b", 0, 0, 4, 4), "": ("", 0, 0, 0, 0)}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", ft.collapse_repeats("t").alias("c"))
+    assert {r.t: tuple(r.c) for r in df.collect()} == cases
+
+
+def test_lines_of_boxes(spark):
+    """A box joins the first line that is near, not only the last, and the grown line's middle moves."""
+    box = "array<struct<x:double,y:double,w:double,h:double,text:string>>"
+    first = [(0.0, 0.0, 50.0, 20.0, "a"), (600.0, 5.0, 50.0, 20.0, "b"), (100.0, 10.0, 50.0, 20.0, "c"), (160.0, 38.0, 50.0, 20.0, "d")]
+    df = spark.createDataFrame([(1, first), (2, []), (3, [(0.0, 0.0, 10.0, 10.0, "x"), (0.0, 50.0, 10.0, 10.0, "y")])], f"k int, b {box}").select("k", fq.merge_lines(F.col("b")).alias("lines"))
+    got = {r.k: [tuple(x) for x in r.lines] for r in df.collect()}
+    assert got[1] == [(0.0, 0.0, 210.0, 58.0, "a c d"), (600.0, 5.0, 650.0, 25.0, "b")] and got[2] == [] and [x[4] for x in got[3]] == ["x", "y"]
+
+
+def test_model_answers(spark):
+    cases = {
+        '<think>{"scene": ["no"]}</think>```json\n{"subjects": ["a ", null, 5, " "], "scene": "street"}\n``` {"scene": "outside"}': (["a", "5"], ["street"], False),
+        'text {"actions": 3, "scene": {"x": 1}} more': ([], [], False), '{"scene": ["x"]} <think>never closed {': ([], ["x"], False), "[1]": ([], [], True), "no object": ([], [], True), "{broken": ([], [], True),
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", fq.parse_model_json(F.col("t")).alias("f"))
+    got = {r.t: (r.f.subjects, r.f.scene, r.f.failed) for r in df.collect()}
+    assert got == cases | {None: ([], [], True)}
+
+
+def test_refined_events(spark):
+    long = "one goes in, then " + "two waits for a very long time at the old bridge " * 3 + "; finally three leaves"
+    rows = [(1, k, long, 0.9) for k in range(1, 4)] + [(2, 1, "short then cut", 1.0), (2, 2, "x" * 200, 0.5), (2, 3, "then " + "y" * 200, 0.5)]
+    got = {}
+    for r in fq.refine_events(spark.createDataFrame(rows, "query_id int, event_index int, text string, weight double")).collect():
+        got.setdefault((r.query_id, r.event_index), []).append((r.place, round(r.weight, 6), r.text))
+    assert [len(got[1, k]) for k in (1, 2, 3)] == [3, 3, 2] and {w for _, w, _ in got[1, 1]} == {0.3} and {w for _, w, _ in got[1, 3]} == {0.45}
+    assert sorted(got[1, 1])[0][2] == "one goes in" and sorted(got[1, 1])[2][2] == "three leaves"
+    assert got[2, 1] == [(1, 1.0, "short then cut")] and got[2, 2] == [(2, 0.5, "x" * 200)] and got[2, 3] == [(3, 0.5, "then " + "y" * 200)]
+
+
+def test_marks_of_misread_texts(spark):
+    df = spark.createDataFrame([("Å¡",), ("trá»©ng",), ("plain",), ("Â",), (None,)], "t string").select(ft.repair_mojibake("t").alias("m"))
+    assert [r.m for r in df.collect()] == ["š", "trứng", "plain", "Â", None]
