@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,6 +66,51 @@ def extract_features(df: DataFrame, key: str, column: str, make: Callable[[], Ca
     return df.select(key, column).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, result string, error string")
 
 
+#: Marks that don't belong to a word's ends (fixed value).
+MARKS = ".,;:!?()[]{}\"'`"
+
+
+def overlap_reranker() -> Callable[[str, list[str]], list[float]]:
+    """A stand-in for a model: shared word counts over both lengths (L2); words of one character don't count."""
+
+    def counts(text: str) -> Counter:
+        return Counter(w for w in (raw.strip(MARKS) for raw in text.lower().split()) if len(w) > 1)
+
+    def rerank(query: str, passages: list[str]) -> list[float]:
+        asked = counts(query)
+        length = math.sqrt(sum(n * n for n in asked.values()))
+        out = []
+        for own in map(counts, passages):
+            both = sum(min(n, own[w]) for w, n in asked.items())
+            out.append(both / (length * math.sqrt(sum(n * n for n in own.values()))) if both else 0.0)
+        return out
+
+    return rerank
+
+
+def rerank(pairs: DataFrame, make: Callable[[], Callable] = overlap_reranker, batch: int = 64) -> DataFrame:
+    """pairs: query_id, frame_id, query, passage. query_id, frame_id and the score of rerank(query, passages).
+
+    `make` loads the model once in each Python task, which gets at most `batch` passages of one query at a time; null
+    texts are empty. Another number of scores is an error.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for f in frames:
+            f = f.fillna({"query": "", "passage": ""})
+            for (key, query), own in f.groupby(["query_id", "query"], dropna=False, sort=False):
+                for a in range(0, len(own), batch):
+                    part = own.iloc[a : a + batch]
+                    scores = np.asarray(model(query, part["passage"].tolist()), float)
+                    if scores.shape != (len(part),):
+                        raise ValueError(f"{scores.shape} instead of {(len(part),)}")
+                    yield pd.DataFrame({"query_id": key, "frame_id": part["frame_id"], "score": scores})
+
+    types = dict(pairs.dtypes)
+    return pairs.select("query_id", "frame_id", "query", "passage").mapInPandas(run, f"query_id {types['query_id']}, frame_id {types['frame_id']}, score double")
+
+
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"beam": sequences.beam_search, "anchor": sequences.anchor_search}
 
 

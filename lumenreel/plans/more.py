@@ -189,6 +189,30 @@ def u01_embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hooks.embed_column(v.table(spark, sf_dir, "documents"), "doc_id", "text", lambda: hooks.hash_embedder(32), 32)
 
 
+def _words_sql(column: str) -> str:
+    return (
+        f"(SELECT query_id, doc_id, w, count(*) AS n FROM (SELECT query_id, doc_id, unnest(list_transform(regexp_split_to_array(lower({column}), '\\s+'),"
+        " lambda x: trim(x, '.,;:!?()[]{}\"''`'))) AS w FROM hits) WHERE length(w) > 1 GROUP BY ALL)"
+    )
+
+
+@query(
+    f"""WITH {OVERLAP}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM pair_scores),
+    hits AS (SELECT query_id, doc_id, query_text, text FROM ranked JOIN text_queries USING (query_id) JOIN documents USING (doc_id) WHERE rank <= 10),
+    qw AS {_words_sql('query_text')}, dw AS {_words_sql('text')}, qn AS (SELECT query_id, doc_id, sqrt(sum(n * n)) AS n FROM qw GROUP BY 1, 2),
+    dn AS (SELECT query_id, doc_id, sqrt(sum(n * n)) AS n FROM dw GROUP BY 1, 2),
+    bn AS (SELECT query_id, doc_id, sum(least(qw.n, dw.n)) AS n FROM qw JOIN dw USING (query_id, doc_id, w) GROUP BY 1, 2)
+    SELECT h.query_id, h.doc_id AS frame_id, round(coalesce(b.n / (qn.n * dn.n), 0), 6) AS score FROM hits h LEFT JOIN bn b USING (query_id, doc_id)
+      LEFT JOIN qn USING (query_id, doc_id) LEFT JOIN dn USING (query_id, doc_id)"""
+)
+def u02_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of each text query scored anew, by the stand-in for a model."""
+    d, q = v.table(spark, sf_dir, "documents"), v.text_queries(spark, sf_dir)
+    hits = r.top(r.overlap_scores(d, q, ["doc_id"]), ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], 10)
+    pairs = hits.join(q, "query_id").join(d.select("doc_id", "text"), "doc_id").select("query_id", F.col("doc_id").alias("frame_id"), F.col("query_text").alias("query"), F.col("text").alias("passage"))
+    return hooks.rerank(pairs).withColumn("score", F.round("score", 6))
+
+
 @query()
 def u03_extract_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of each page by a function of its own; pages it fails on keep their error."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import queries as fq
 from lumenreel.functions import text as ft
+from lumenreel.operators import hooks
 from lumenreel.sources import files as s
 from lumenreel.streaming import ingest
 
@@ -111,3 +112,21 @@ def test_refined_events(spark):
 def test_marks_of_misread_texts(spark):
     df = spark.createDataFrame([("Å¡",), ("trá»©ng",), ("plain",), ("Â",), (None,)], "t string").select(ft.repair_mojibake("t").alias("m"))
     assert [r.m for r in df.collect()] == ["š", "trứng", "plain", "Â", None]
+
+
+def test_rerank_calls_the_model_in_batches_of_one_query(spark):
+    rows = [(q, i, f"ask {q}" if q else None, None if i == 3 else f"ask {i} ask") for q in (0, 1, 2) for i in range(7)]
+    pairs = spark.createDataFrame(rows, "query_id long, frame_id int, query string, passage string").coalesce(1)
+
+    def make():
+        def model(query, passages):
+            assert len(passages) <= 3
+            return [len(query) + len(p) for p in passages]
+
+        return model
+
+    got = {(r.query_id, r.frame_id): r.score for r in hooks.rerank(pairs, make, batch=3).collect()}
+    assert got == {(q, i): len(a or "") + len(b or "") for q, i, a, b in rows}
+    plain = {(r.query_id, r.frame_id): round(r.score, 6) for r in hooks.rerank(pairs).collect()}
+    assert plain[1, 0] == round(1 / 2, 6) and plain[1, 3] == 0 and plain[0, 2] == 0
+    assert hooks.overlap_reranker()("A dog, (a) dog!", ["dog dog", "cat"]) == [0.5, 0.0]
