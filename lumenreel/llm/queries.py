@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenreel.llm import bpe, nearest, packing, pii, quality, secrets, shingle_join, token_files, toxicity, vector_links
+from lumenreel.llm import (
+    best_position, bpe, harmonic, nearest, oracles, packing, pii, prefix_trie, quality, secrets, shingle_join, token_files, toxicity, vector_links,
+)
 from lumenreel.llm.common import read, scratch_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -57,9 +59,27 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), capacity=1024)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = (
+    op1_shingle_join, op2_private_data, op3_nearest, op4_vector_links, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_bpe, op10_toxicity,
+    op11_harmonic_packing, op12_prefix_trie, op13_ranked_search,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shingle_join, op2_private_data, op3_nearest, op4_vector_links, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_prefix_trie": oracles.PREFIX_TRIE, "op13_ranked_search": oracles.RANKED_SEARCH}
