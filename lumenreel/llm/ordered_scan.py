@@ -46,7 +46,7 @@ def running(df: DataFrame, group: str, order: list[str | Column], values: list[s
     Rows that are equal in all of `order` have any order among themselves. Columns of df named _block or _row would
     be lost. The driver sees one row a block: the first and the last group of it and what the last one has come to.
     """
-    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    kinds, names = ", ".join(f"`{c}` {t}" for c, t in df.dtypes), df.columns
     added = ", ".join(f"`{c}` long" for c in out)
     keys = [F.col(group), *order]
 
@@ -92,8 +92,7 @@ def running(df: DataFrame, group: str, order: list[str | Column], values: list[s
                     rows = np.flatnonzero((numbers == block) & (own == which))
                     for x, y in zip(scanned, join([np.array([x], np.int64) for x in before], [x[rows] for x in scanned]), strict=True):
                         x[rows] = y
-            kept = [batch.column(c) for c in batch.schema.names if c not in {*out, "_block", "_row"}]
-            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, scanned)], [*df.columns, *out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, scanned)], [*names, *out])
 
     if not carried:
         return blocks.select(*df.columns, *out)

@@ -16,6 +16,18 @@ from lumenreel.llm import ordered_scan, prefix_trie
 SCHEMA = "conv_id long, turn long, role string, text string, depth string, owner long"
 
 
+@pytest.fixture(autouse=True)
+def many_blocks(spark):
+    """Small tables too are dealt to several blocks, so that groups go over their ends."""
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "6"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def modulo(c: int) -> int:
     return c % 5 if c >= 0 else -(-c % 5)
 
