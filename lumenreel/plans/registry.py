@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenreel.plans import checks, files, more, ranking, records, sequences
+from lumenreel.plans import checks, files, more, ranking, records, sequences, upkeep
 
-_MODULES = (ranking, records, sequences, checks, files, more)
+_MODULES = (ranking, records, sequences, checks, files, more, upkeep)
 
 
 def queries() -> dict:
