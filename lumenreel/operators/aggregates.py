@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,17 +24,63 @@ def infer_fps(frames: DataFrame, first: int = 24) -> DataFrame:
     return rate.withColumn("fps", F.when(F.col("fps").between(1, 240), F.col("fps")))
 
 
+#: One fact about a keyframe: its caption, a label, the count of a label or its embedding. first and last are places in the rows.
+STATE = (
+    "keyframe_id string, kind string, label string, first struct<row_id:long,place:int>, last struct<row_id:long,place:int>, "
+    "caption string, n int, embedding array<double>"
+)
+
+
+def annotation_states(rows: DataFrame) -> DataFrame:
+    """rows: keyframe_id, row_id, caption, labels (array), counts (map), embedding (array) or not. Merged facts, STATE.
+
+    A keyframe's facts are rows of their own, so one with very many annotations is merged by many tasks. Rows without
+    keyframe_id are left out.
+    """
+    d = rows.where("keyframe_id is not null").withColumn("keyframe_id", F.col("keyframe_id").cast("string"))
+    place = lambda n: F.struct(F.col("row_id").cast("long").alias("row_id"), n.cast("int").alias("place"))
+    none = {"label": F.lit(""), "caption": F.lit(None).cast("string"), "n": F.lit(None).cast("int"), "embedding": F.lit(None).cast("array<double>")}
+
+    def facts(df: DataFrame, kind: str, at: Column = F.lit(0), **own: Column) -> DataFrame:
+        return df.select("keyframe_id", F.lit(kind).alias("kind"), (none | own)["label"].alias("label"), place(at).alias("first"), place(at).alias("last"),
+                         *((none | own)[c].alias(c) for c in ("caption", "n", "embedding")))
+
+    every = facts(d.where("trim(caption) <> ''"), "caption", caption=F.col("caption"))
+    every = every.unionByName(facts(d, "seen"))
+    listed = d.select("keyframe_id", "row_id", F.posexplode("labels").alias("at", "of")).where("of is not null")
+    every = every.unionByName(facts(listed, "label", F.col("at"), label=F.col("of")))
+    counted = d.select("keyframe_id", "row_id", F.explode("counts").alias("of", "much"))
+    every = every.unionByName(facts(counted, "count", label=F.col("of"), n=F.col("much").cast("int")))
+    if "embedding" in rows.columns:
+        every = every.unionByName(facts(d.where("embedding is not null"), "embedding", embedding=F.col("embedding").cast("array<double>")))
+    return merge_states(every)
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One row of each fact: first and last place, what stood at the last one, and the largest count. Associative and
+    commutative, and a state merged with itself is itself."""
+    return states.groupBy("keyframe_id", "kind", "label").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max_by("caption", F.struct("last", "caption")).alias("caption"), F.max("n").alias("n"),
+        F.max_by("embedding", F.struct("last", "embedding")).alias("embedding"),
+    )
+
+
+def annotations_of(states: DataFrame) -> DataFrame:
+    """Merged states as keyframe_id, caption, labels in order of their first place, counts by label, and embedding."""
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    labels = F.sort_array(F.collect_list(of("label", F.struct("first", "label"))))
+    counts = F.sort_array(F.collect_list(of("count", F.struct("label", "n"))))
+    return states.groupBy("keyframe_id").agg(
+        F.max(of("caption", F.col("caption"))).alias("caption"), F.transform(labels, lambda x: x["label"]).alias("labels"),
+        F.when(F.size(counts) > 0, F.map_from_entries(counts)).alias("counts"), F.max(of("embedding", F.col("embedding"))).alias("embedding"),
+    )
+
+
 def merge_annotations(rows: DataFrame) -> DataFrame:
     """rows: keyframe_id, row_id, caption, labels (array), counts (map). The last caption that isn't blank, distinct
     labels in order of their first row, and the largest count of each label."""
-    filled = F.when(F.trim("caption") != "", F.col("row_id"))
-    base = rows.groupBy("keyframe_id").agg(
-        F.max_by("caption", filled).alias("caption"),
-        F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("row_id", "labels"))), lambda x: x["labels"]))).alias("labels"),
-    )
-    counts = rows.select("keyframe_id", F.explode("counts").alias("label", "n")).groupBy("keyframe_id", "label").agg(F.max("n").alias("n"))
-    largest = counts.groupBy("keyframe_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("counts"))
-    return base.join(largest, "keyframe_id", "left")
+    merged = annotations_of(annotation_states(rows)).select("keyframe_id", "caption", "labels", "counts")
+    return merged.withColumn("keyframe_id", F.col("keyframe_id").cast(dict(rows.dtypes)["keyframe_id"]))
 
 
 def object_counts(frames: DataFrame) -> DataFrame:

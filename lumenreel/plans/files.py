@@ -13,7 +13,6 @@ from lumenreel.plans.common import register
 from lumenreel.plans.checks import _SUB, submissions
 from lumenreel.sources import files as s
 from lumenreel.sources.scratch import shared_path
-from lumenreel.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -162,15 +161,6 @@ def s22_persist_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.mark_selected(run, run.where("rank % 5 = 0"), "keyframe_id").select("keyframe_id", "rank", "selected")
 
 
-@query()
-def r01_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as JSON parts by priority, taken in as a stream; of a customer the order of the largest key stays."""
-    source, target, checkpoint = (shared_path(spark, n) for n in ("parts", "taken", "checkpoint"))
-    v.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").repartition(5).write.json(source)
-    ingest.ingest_stream(spark, source, "o_custkey long, o_orderkey long, o_orderstatus string", "o_custkey", "o_orderkey", target, checkpoint, 2).awaitTermination()
-    return ingest.current(spark, target, "o_custkey", "o_orderkey")
-
-
 # Planning of queries
 
 

@@ -152,6 +152,15 @@ def a03_infer_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.infer_fps(f).select("video_id", F.round("fps", 6).alias("fps"))
 
 
+def annotation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A video's frames as annotations of one keyframe; every fourth has a blank caption."""
+    f = v.frames(spark, sf_dir)
+    return f.select(
+        F.col("video_id").alias("keyframe_id"), F.col("frame_idx").alias("row_id"), F.when(F.col("frame_idx") % 4 == 0, " ").otherwise(F.col("event_type")).alias("caption"),
+        F.array("event_type").alias("labels"), F.create_map("event_type", F.col("frame_idx") % 5).alias("counts"),
+    )
+
+
 @query(
     f"""WITH {v.FRAMES}, c AS (SELECT video_id, event_type, max(frame_idx % 5) AS n FROM frames GROUP BY 1, 2),
     b AS (SELECT video_id, arg_max(event_type, frame_idx) FILTER (frame_idx % 4 <> 0) AS caption FROM frames GROUP BY 1),
@@ -159,11 +168,7 @@ def a03_infer_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT video_id AS keyframe_id, caption, list(event_type ORDER BY first) AS labels, list(n ORDER BY event_type) AS counts FROM b JOIN o USING (video_id) JOIN c USING (video_id, event_type) GROUP BY 1, 2"""
 )
 def a04_merge_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = v.frames(spark, sf_dir)
-    rows = f.select(
-        F.col("video_id").alias("keyframe_id"), F.col("frame_idx").alias("row_id"), F.when(F.col("frame_idx") % 4 == 0, " ").otherwise(F.col("event_type")).alias("caption"),
-        F.array("event_type").alias("labels"), F.create_map("event_type", F.col("frame_idx") % 5).alias("counts"),
-    )
+    rows = annotation_rows(spark, sf_dir)
     return a.merge_annotations(rows).select("keyframe_id", "caption", "labels", F.map_values("counts").alias("counts"))
 
 

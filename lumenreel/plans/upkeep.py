@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lumenreel.operators import sync
 from lumenreel.plans import views as v
 from lumenreel.plans.common import register
+from lumenreel.plans.records import annotation_rows
+from lumenreel.sources.scratch import shared_path
+from lumenreel.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -103,3 +106,31 @@ def s20_sync_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s20_sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each table's rows."""
     return sync.sync_tables(*_shop(spark, sf_dir), SHOP).counts
+
+
+# Parts that arrive over time
+
+
+def _parts(spark: SparkSession, sf_dir: str, stages: tuple[str, ...], compact_after: int = 16) -> str:
+    """Annotations written as JSON parts and taken in as a stream, stage by stage; gives the target."""
+    source, target, checkpoint = (shared_path(spark, n) for n in ("parts", "merged", "checkpoint"))
+    rows = annotation_rows(spark, sf_dir).withColumn("keyframe_id", F.col("keyframe_id").cast("string"))
+    rows = rows.withColumn("embedding", F.array(F.col("row_id").cast("double"), F.lit(1.0)))
+    for stage in stages:
+        rows.where(stage).repartition(4).write.mode("append").json(source)
+        ingest.ingest_annotations(spark, source, target, checkpoint, files_per_trigger=2, compact_after=compact_after).awaitTermination()
+    return target
+
+
+@query(
+    f"""WITH {v.FRAMES}, c AS (SELECT video_id, event_type, max(frame_idx % 5) AS n FROM frames GROUP BY 1, 2),
+    b AS (SELECT video_id, arg_max(event_type, frame_idx) FILTER (frame_idx % 4 <> 0) AS caption, max(frame_idx) AS last FROM frames GROUP BY 1),
+    o AS (SELECT video_id, event_type, min(frame_idx) AS first FROM frames GROUP BY 1, 2)
+    SELECT CAST(video_id AS VARCHAR) AS keyframe_id, caption, list(event_type ORDER BY first) AS labels, list(n ORDER BY event_type) AS counts, last AS embedded
+    FROM b JOIN o USING (video_id) JOIN c USING (video_id, event_type) GROUP BY 1, 2, 5"""
+)
+def r01_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later rows arrive first, in two runs of the stream with snapshots in between; the table is that of one batch."""
+    target = _parts(spark, sf_dir, ("row_id % 3 = 2", "row_id % 3 < 2"), compact_after=2)
+    merged = ingest.merged_annotations(spark, target)
+    return merged.select("keyframe_id", "caption", "labels", F.map_values("counts").alias("counts"), F.get("embedding", F.lit(0)).cast("long").alias("embedded"))
