@@ -132,9 +132,41 @@ def diagnostic_events(probes: DataFrame, priors: DataFrame, n: int) -> DataFrame
     return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "event_index", "score", "place")
 
 
-def inventory(objects: DataFrame, by: list[str]) -> DataFrame:
-    """objects: object_key, folder, size and the columns of `by`."""
-    return objects.groupBy(*by).agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.countDistinct("folder").alias("folders"))
+def describe_levels(objects: DataFrame) -> DataFrame:
+    """objects: object_key, size. Adds extension, level (the folder named L and a number, else <not_detected>), direct folder and depth."""
+    key, name = F.col("object_key"), F.element_at(F.split("object_key", "/"), -1)
+    level = F.nullif(F.regexp_extract(key, r"(?:^|/)(L\d+)/", 1), F.lit(""))
+    return objects.withColumns(
+        {
+            "extension": F.regexp_extract(F.lower(name), r"\.([^.]+)$", 1), "level": F.coalesce(level, F.lit("<not_detected>")),
+            "folder": F.regexp_extract(key, r"^(.*)/[^/]*$", 1), "depth": F.size(F.split(key, "/")).cast("long"),
+        }
+    )
+
+
+def inventory(objects: DataFrame, approximate: bool = False) -> DataFrame:
+    """objects: object_key, size. The whole, and by extension, level, direct folder and depth, in one pass of grouping sets.
+
+    Gives grouping, key, objects, bytes, mean_bytes, largest, distinct folders and extensions, levels, deepest, and
+    place (levels in the order of their numbers, the rest last; depths by themselves). Objects are added up by all
+    four first, so grouping sets meet rows for folders, not for objects. approximate: distinct numbers by sketches.
+    """
+    by = ["extension", "level", "folder", "depth"]
+    sums = describe_levels(objects).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_bytes"), F.max("size").alias("_most"))
+    sums = sums.withColumns({f"_{c}": F.col(c) for c in by})
+    number = F.approx_count_distinct if approximate else F.count_distinct
+    detected = F.when(F.col("_level") != "<not_detected>", F.col("_level"))
+    g = sums.groupingSets([[], *([c] for c in by)], *by).agg(
+        F.grouping_id(*by).alias("_id"), F.sum("_n").alias("objects"), F.sum("_bytes").alias("bytes"), F.max("_most").alias("largest"), number("_folder").alias("folders"),
+        number("_extension").alias("extensions"), number(detected).alias("levels"), F.max("_depth").alias("deepest"),
+    )
+    which = lambda k: F.col("_id") == 15 - (8 >> k)
+    grouping = F.when(which(0), "extension").when(which(1), "level").when(which(2), "folder").when(which(3), "depth").otherwise("overview")
+    order = F.when(which(1), F.coalesce(F.regexp_extract("level", r"^L(\d+)$", 1).try_cast("long"), F.lit(9999))).when(which(3), F.col("depth"))
+    return g.select(
+        grouping.alias("grouping"), F.coalesce("extension", "level", "folder", F.col("depth").cast("string")).alias("key"), "objects", "bytes",
+        (F.col("bytes") / F.col("objects")).alias("mean_bytes"), "largest", "folders", "extensions", "levels", "deepest", order.cast("long").alias("place"),
+    )
 
 
 def folder_rollup(objects: DataFrame) -> DataFrame:

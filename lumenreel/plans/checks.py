@@ -40,30 +40,6 @@ def v03_id_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.id_parity(f.where("id % 50 <> 1"), f.where("id % 60 <> 2")).drop("extra_sample")
 
 
-@query(
-    """SELECT 'documents' AS metric, count(*) AS value FROM documents UNION ALL SELECT 'labels_without_document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
-    UNION ALL SELECT 'documents_without_label', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'length_differs', count(*) FROM documents WHERE length(text) <> n_chars
-    UNION ALL SELECT 'repeated_texts', count(*) FROM (SELECT text FROM documents GROUP BY 1 HAVING count(*) > 1)"""
-)
-def v04_preflight_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, labels = v.table(spark, sf_dir, "documents"), v.table(spark, sf_dir, "labels")
-    return c.metrics_row(
-        {
-            "documents": d, "labels_without_document": labels.join(d, "doc_id", "left_anti"), "documents_without_label": d.join(labels, "doc_id", "left_anti"),
-            "length_differs": d.where("length(text) <> n_chars"), "repeated_texts": c.duplicates(d, ["text"]),
-        }
-    )
-
-
-@query(
-    """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_shipdate, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem)
-    SELECT l_orderkey, l_linenumber, rule FROM (SELECT l_orderkey, l_linenumber, unnest([CASE WHEN n > 1 THEN 'duplicate' END, CASE WHEN l_quantity > 48 THEN 'outside' END, CASE WHEN l_discount = 0 THEN 'unsaved' END]) AS rule FROM x) WHERE rule IS NOT NULL"""
-)
-def v05_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = v.table(spark, sf_dir, "lineitem").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber")))
-    return c.violations(li, ["l_orderkey", "l_linenumber"], {"duplicate": F.col("n") > 1, "outside": F.col("l_quantity") > 48, "unsaved": F.col("l_discount") == 0})
-
-
 @query("SELECT o_custkey, o_orderstatus, count(*) AS rows FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
 def v06_assert_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.duplicates(v.table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"])
@@ -143,13 +119,6 @@ def v12_video_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.collisions(n, e_)
 
 
-@query("WITH a AS (SELECT source AS key, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT source AS key, count(*) AS n FROM documents WHERE lang <> 'es' GROUP BY 1) SELECT 'source' AS metric, key, a.n AS actual, b.n AS expected, coalesce(a.n = b.n, false) AS equal FROM a FULL JOIN b USING (key)")
-def v14_compare_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = lambda d: d.groupBy(F.lit("source").alias("metric"), F.col("source").alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-    d = v.table(spark, sf_dir, "documents")
-    return c.compare_manifests(n(d), n(d.where("lang <> 'es'")))
-
-
 @query("WITH s AS (SELECT doc_id FROM documents), t AS (SELECT doc_id FROM labels) SELECT (SELECT count(*) FROM s) AS source_rows, (SELECT count(*) FROM t) AS target_rows, (SELECT count(*) FROM s WHERE doc_id IN (SELECT doc_id FROM t)) AS existing, (SELECT count(*) FROM s WHERE doc_id NOT IN (SELECT doc_id FROM t)) AS missing")
 def v15_sync_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.key_sync(v.table(spark, sf_dir, "documents"), v.table(spark, sf_dir, "labels"), "doc_id")

@@ -220,13 +220,6 @@ def a13_diagnostic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.diagnostic_events(p, priors, 2).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {v.OBJECTS}, o AS (SELECT *, split_part(object_key, '/', 1) AS folder, CASE WHEN object_key LIKE '%.html' THEN 'html' ELSE '' END AS extension, len(string_split(object_key, '/')) AS depth FROM objects) SELECT extension, depth, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest, count(DISTINCT folder) AS folders FROM o GROUP BY 1, 2")
-def a14_inventory_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("object_key")
-    o = v.objects(spark, sf_dir).withColumns({"folder": F.split_part(k, F.lit("/"), F.lit(1)), "extension": F.when(k.endswith(".html"), "html").otherwise(""), "depth": F.size(F.split(k, "/")).cast("long")})
-    return a.inventory(o, ["extension", "depth"])
-
-
 @query(f"WITH {v.OBJECTS}, p AS (SELECT string_split(object_key, '/') AS parts, size FROM objects), x AS (SELECT unnest(list_transform(range(1, len(parts)), lambda n: array_to_string(list_slice(parts, 1, n), '/'))) AS folder, size FROM p) SELECT folder, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM x GROUP BY 1")
 def a15_recursive_folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.folder_rollup(v.objects(spark, sf_dir))
