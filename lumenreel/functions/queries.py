@@ -104,17 +104,19 @@ SOFT = r"(?i)\s*(?:\bthen\b|\bafter that\b|\bnext\b|\bfinally\b|đầu\s+tiên|t
 
 def parse_events(text: Column, most: int = 8) -> Column:
     """Struct of source and events: X after A and before B (as A, X, B), labels, numbered lines, soft separators, one event."""
+    # As in Python, blanks, word ends and case are those of all scripts.
+    context_, label_, number_, soft_ = ("(?U)" + x for x in (CONTEXT, LABEL, NUMBER, SOFT))
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
     line = F.regexp_replace(t, "\n", " ")
-    part = lambda n: _clean(F.regexp_extract(line, CONTEXT, n))
+    part = lambda n: _clean(F.regexp_extract(line, context_, n))
     context = F.filter(F.array(part(2), part(1), part(3)), lambda p: p != "")
     behind = lambda cut: _pieces(F.regexp_extract(F.regexp_replace(t, cut, "\u0001"), "(?s)\u0001(.*)$", 1), "\u0001")
-    labels, numbers, soft = behind(LABEL), behind(NUMBER), _pieces(line, SOFT)
+    labels, numbers, soft = behind(label_), behind(number_), _pieces(line, soft_)
     # One label alone tells no events apart, but the event is what stands behind it.
     single = F.filter(F.array(F.coalesce(F.get(labels, F.lit(0)), _clean(line))), lambda p: p != "")
     found = lambda name, events: F.struct(F.lit(name).alias("source"), F.slice(events, 1, most).alias("events"))
     return (
-        F.when(t == "", found("empty", F.array().cast("array<string>"))).when(line.rlike(CONTEXT), found("context_relation", context)).when(F.size(labels) > 1, found("event_labels", labels))
+        F.when(t == "", found("empty", F.array().cast("array<string>"))).when(line.rlike(context_), found("context_relation", context)).when(F.size(labels) > 1, found("event_labels", labels))
         .when(F.size(numbers) > 1, found("numbered_lines", numbers)).when(F.size(soft) > 1, found("soft_separators", soft)).otherwise(found("single", single))
     )
 

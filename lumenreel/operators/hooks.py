@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lumenreel.operators import sequences
 
@@ -119,12 +119,33 @@ def search_sequences(candidates: DataFrame, strategy: str, **options) -> DataFra
     return STRATEGIES[strategy](candidates, **options).select("query_id", "video_id", "members", "matched", "score")
 
 
-def register(spark) -> None:
-    """The text functions for SQL users."""
+def register(spark: SparkSession) -> None:
+    """The text functions and the table of events for SQL users; all but those of accents and repeats stay in the JVM.
+
+    fold_text(x), collapse_repeats(x), repair_mojibake(x), text_tokens(x), answer_display(x), answer_match(x),
+    overlap_score(query, text), and the table function parse_events(x): place, source, event.
+    """
     from lumenreel.functions import text as t
+    from lumenreel.functions.tables import ParseEvents
 
     for name, f in {"fold_text": t.fold_text, "collapse_repeats": t.collapse_repeats, "repair_mojibake": t.repair_mojibake}.items():
         spark.udf.register(name, f)
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION text_tokens(x STRING) RETURNS ARRAY<STRING> RETURN filter(regexp_extract_all(lower(coalesce(x, '')), '([\\\\p{L}\\\\p{N}_]+)', 1), t -> length(t) > 1)")
-
-
+    spark.udtf.register("parse_events", ParseEvents)
+    for signature, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+
+
+_TOKENS = r"filter(regexp_extract_all(lower(coalesce({}, '')), '([\\p{{L}}\\p{{N}}_]+)', 1), t -> length(t) > 1)"
+_SQUASHED = r"trim(regexp_replace(coalesce({}, ''), '\\s+', ' '))"
+_COUNTS = "map_from_entries(transform(array_distinct({0}), t -> struct(t, cast(size(filter({0}, u -> u = t)) AS BIGINT))))"
+_NORM = "sqrt(aggregate(map_values({}), 0D, (a, n) -> a + n * n))"
+_Q, _T = (_COUNTS.format(_TOKENS.format(x)) for x in ("query", "x"))
+#: SQL functions by signature. overlap_score: shared token counts over both lengths (L2), 0 without any.
+SQL_FUNCTIONS = {
+    "text_tokens(x STRING) RETURNS ARRAY<STRING>": _TOKENS.format("x"),
+    "answer_display(x STRING) RETURNS STRING": f"rtrim(substring({_SQUASHED.format('x')}, 1, 100))",
+    "answer_match(x STRING) RETURNS STRING": _SQUASHED.format(r"regexp_replace(lower(coalesce(x, '')), '[^\\p{L}\\p{N}_\\s]', '')"),
+    "overlap_counts(a MAP<STRING, BIGINT>, b MAP<STRING, BIGINT>) RETURNS DOUBLE": "coalesce(try_divide(aggregate(map_keys(a), 0D, (s, t) -> s + least(a[t], coalesce(try_element_at(b, t), 0))), "
+    + f"{_NORM.format('a')} * {_NORM.format('b')}), 0D)",
+    "overlap_score(query STRING, x STRING) RETURNS DOUBLE": f"overlap_counts({_Q}, {_T})",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import queries as fq
 from lumenreel.functions.text import fold_text
+from lumenreel.operators import hooks
 from lumenreel.operators import ranking as r
 from lumenreel.plans import views as v
 from lumenreel.plans.common import register
@@ -112,15 +113,29 @@ def s14_write_submission_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.submission_lines(submissions(spark, sf_dir))
 
 
-@query("WITH x AS (SELECT s_suppkey AS k, row_number() OVER (PARTITION BY s_suppkey % 10 ORDER BY s_suppkey) AS n FROM supplier) SELECT 'q' || CAST(k % 10 AS VARCHAR) AS query_name, CAST(n AS INTEGER) AS rank, 'v' || CAST(k AS VARCHAR) AS video_code, [k * 3, k * 3 + 1] AS frame_indices FROM x")
+def written_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as submission rows of twelve queries, by turns of each kind; answers are numbers, quoted words, lines or blank."""
+    k = F.col("s_suppkey")
+    w = Window.partitionBy(k % 12).orderBy(k)
+    kind = F.when(k % 3 == 0, "KIS").when(k % 3 == 1, "QA").otherwise("TRAKE")
+    answer = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(F.lit('say "'), "s_name", F.lit('", twice'))).when(k % 4 == 2, F.concat("s_name", F.lit("\nnext")))
+    return v.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("q"), k % 12).alias("query_name"), kind.alias("query_type"), F.row_number().over(w).alias("rank"), F.concat(F.lit("v"), k).alias("video_code"),
+        F.when(k % 3 == 2, F.array(k * 3, k * 3 + 1)).otherwise(F.array(k * 3)).alias("frame_indices"), F.when(k % 3 == 1, answer).alias("answer"),
+    )
+
+
+@query(
+    """WITH x AS (SELECT s_suppkey AS k, s_name, row_number() OVER (PARTITION BY s_suppkey % 12 ORDER BY s_suppkey) AS n FROM supplier)
+    SELECT 'q' || (k % 12) AS query_name, CAST(n AS INTEGER) AS rank, 'v' || k AS video_code, CASE WHEN k % 3 = 2 THEN [k * 3, k * 3 + 1] ELSE [k * 3] END AS frame_indices,
+    CASE WHEN k % 3 = 1 THEN CASE k % 4 WHEN 0 THEN CAST(k AS VARCHAR) WHEN 1 THEN 'say "' || s_name || '", twice' WHEN 2 THEN s_name || chr(10) || 'next' ELSE '' END END AS answer FROM x WHERE n <= 100"""
+)
 def s15_read_submission_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten queries' rows written as text in order of rank and read back with their line numbers."""
+    """Twelve queries' rows of all kinds written as text in order of rank and read back with their record numbers."""
     path = shared_path(spark, "submissions")
-    k = F.col("s_suppkey")
-    w = Window.partitionBy(k % 10).orderBy(k)
-    rows = v.table(spark, sf_dir, "supplier").select(F.concat(F.lit("q"), k % 10).alias("query_name"), F.lit("TRAKE").alias("query_type"), F.row_number().over(w).alias("rank"), F.concat(F.lit("v"), k).alias("video_code"), F.array(k * 3, k * 3 + 1).alias("frame_indices"), F.lit(None).cast("string").alias("answer"))
+    rows = written_submissions(spark, sf_dir).where("rank <= 100")  # a submission has no more
     s.write_submissions(rows, path)
-    return s.read_submissions(spark, path)
+    return s.read_submissions(spark, path, rows.select("query_name", "query_type").distinct())
 
 
 @query("WITH c AS (SELECT doc_id, text, 1 AS v FROM documents WHERE doc_id % 3 = 0), e AS (SELECT doc_id, upper(source) AS text, 0 AS v FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, text FROM c UNION ALL SELECT doc_id, text FROM e WHERE doc_id NOT IN (SELECT doc_id FROM c)")
@@ -191,11 +206,49 @@ def p04_parse_shot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "pages").select("page_id", F.coalesce(part(r"page=(\d+)"), part(r"/(\d+)")).alias("shot"))
 
 
-@query()
+def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages with events told apart in four ways, by turns: connecting words, labels, numbered lines, and one event after another."""
+    t, n = F.col("text"), F.col("item_id") % 4
+    told = (
+        F.when(n == 0, F.regexp_replace(t, r"\. ", " then ")).when(n == 1, F.concat(F.lit("Order: E1: "), F.regexp_replace(t, r"\. ", "\nEvent 2: ")))
+        .when(n == 2, F.concat(F.lit("1. "), F.regexp_replace(t, r"\. ", "\n2) "))).otherwise(F.regexp_replace(t, r"^(\w+) (\w+) ", "$1 after $2 and before "))
+    )
+    return v.table(spark, sf_dir, "benchmark").select("item_id", told.alias("told"))
+
+
+def _sql_clean(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({x}, '\s+', ' ', 'g')), '^[-*]\s*', ''), '^[\s.:\-]+|[\s.:\-]+$', '', 'g'), '(?i)^(?:là|is|are)\s+', '')"
+
+
+def _sql_pieces(x: str) -> str:
+    return f"list_filter(list_transform({x}, lambda p: {_sql_clean('p')}), lambda p: p <> '')"
+
+
+def _sql_behind(cut: str) -> str:
+    return _sql_pieces(f"string_split(regexp_replace(t, '{cut}', chr(1), 'g'), chr(1))[2:]")
+
+
+_EVENTS = rf"""WITH told AS (SELECT item_id, trim(CASE item_id % 4 WHEN 0 THEN regexp_replace(text, '\. ', ' then ', 'g') WHEN 1 THEN 'Order: E1: ' || regexp_replace(text, '\. ', chr(10) || 'Event 2: ', 'g')
+    WHEN 2 THEN '1. ' || regexp_replace(text, '\. ', chr(10) || '2) ', 'g') ELSE regexp_replace(text, '^([A-Za-z0-9_]+) ([A-Za-z0-9_]+) ', '\1 after \2 and before ') END) AS t FROM benchmark),
+  lines AS (SELECT item_id, t, replace(t, chr(10), ' ') AS line FROM told),
+  cut AS (SELECT item_id, t, line, regexp_matches(line, '{fq.CONTEXT}') AS related, {_sql_behind(fq.LABEL)} AS labels, {_sql_behind(fq.NUMBER)} AS numbers, {_sql_pieces(f"string_split_regex(line, '{fq.SOFT}')")} AS soft FROM lines),
+  events AS (SELECT item_id, CASE WHEN t = '' THEN 'empty' WHEN related THEN 'context_relation' WHEN len(labels) > 1 THEN 'event_labels' WHEN len(numbers) > 1 THEN 'numbered_lines' WHEN len(soft) > 1 THEN 'soft_separators' ELSE 'single' END AS source,
+    list_slice(CASE WHEN t = '' THEN [] WHEN related THEN {_sql_pieces(f"[regexp_extract(line, '{fq.CONTEXT}', 2), regexp_extract(line, '{fq.CONTEXT}', 1), regexp_extract(line, '{fq.CONTEXT}', 3)]")}
+      WHEN len(labels) > 1 THEN labels WHEN len(numbers) > 1 THEN numbers WHEN len(soft) > 1 THEN soft WHEN len(labels) = 1 THEN labels ELSE {_sql_pieces("[line]")} END, 1, 8) AS events FROM cut)
+"""
+
+
+@query(_EVENTS + "SELECT item_id, source, events FROM events")
 def p10_parse_temporal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages joined by the words that tell events apart."""
-    t = F.regexp_replace("text", r"\. ", " then ")
-    return v.table(spark, sf_dir, "benchmark").select("item_id", fq.parse_events(t).alias("e")).select("item_id", "e.source", "e.events")
+    return event_texts(spark, sf_dir).select("item_id", fq.parse_events(F.col("told")).alias("e")).select("item_id", "e.source", "e.events")
+
+
+@query(_EVENTS + "SELECT item_id, source, CAST(unnest(range(1, len(events) + 1)) AS INTEGER) AS place, unnest(events) AS event FROM events")
+def p10_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by SQL, with the table function in a lateral join."""
+    hooks.register(spark)
+    event_texts(spark, sf_dir).createOrReplaceTempView("told_events")
+    return spark.sql("SELECT item_id, e.source, e.place, e.event FROM told_events, LATERAL parse_events(told) AS e")
 
 
 @query("SELECT doc_id, CAST(e AS INTEGER) AS evidence, CAST(CASE WHEN e >= 2 THEN 0.28 WHEN lang = 'en' THEN 0.78 WHEN e = 1 THEN 0.45 ELSE 0.67 END AS DOUBLE) AS visual FROM (SELECT doc_id, lang, CAST(regexp_matches(lower(text), '[\"“”]') AS INT) + CAST(regexp_matches(lower(text), '(?:^|[^0-9a-z_])(?:19|20)[0-9]{2}(?:[^0-9a-z_]|$)') AS INT) AS e FROM (SELECT doc_id, lang, '\"' || substr(source, 4) || ' in ' || (1900 + doc_id % 300) AS text FROM documents))")

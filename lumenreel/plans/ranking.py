@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import text as ft
 from lumenreel.operators import ranking as r
+from lumenreel.operators import hooks
 from lumenreel.plans import views as v
 from lumenreel.plans.common import register
 
@@ -44,6 +45,22 @@ def t04_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(v.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "source")
 
 
+@query(
+    f"""WITH {v.TEXT_QUERIES}, q AS (SELECT query_id, query_text FROM text_queries), d AS (SELECT doc_id AS k, text, source FROM documents),
+    m AS (SELECT k, source, query_text, text FROM d JOIN q ON k = query_id),
+    s AS (SELECT k, source, {tokens_sql("query_text")} AS a, {tokens_sql("text")} AS b FROM m),
+    c AS (SELECT k, source, list_aggregate(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda u: u = t)), len(list_filter(b, lambda u: u = t)))), 'sum') AS shared,
+      list_aggregate(list_transform(list_distinct(a), lambda t: len(list_filter(a, lambda u: u = t)) ** 2), 'sum') AS na, list_aggregate(list_transform(list_distinct(b), lambda t: len(list_filter(b, lambda u: u = t)) ** 2), 'sum') AS nb FROM s)
+    SELECT k AS query_id, source, round(coalesce(shared / (sqrt(na) * sqrt(nb)), 0), 6) AS score FROM c"""
+)
+def t04_overlap_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap score as a SQL function: each passage against the document of its number."""
+    hooks.register(spark)
+    v.text_queries(spark, sf_dir).createOrReplaceTempView("asked_passages")
+    v.table(spark, sf_dir, "documents").createOrReplaceTempView("stored_documents")
+    return spark.sql("SELECT query_id, source, round(overlap_score(query_text, text), 6) AS score FROM asked_passages JOIN stored_documents ON doc_id = query_id")
+
+
 BOOSTS = {"asr": 2.5, "ocr": 3.0, "caption": 1.5}
 
 

@@ -162,14 +162,48 @@ def write_submissions(rows: DataFrame, path: str) -> None:
     whole.write.partitionBy("query_name").text(path)
 
 
-def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """query_name, rank (line number; blank lines count but give no row), video and frames."""
+#: A cell of a CSV line: quoted, with doubled quotes inside, or plain; and the comma before it.
+_CELL = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^",]*))'
+
+
+def _cells(line: Column) -> Column:
+    """The cells of one CSV line, without their quotes."""
+    quoted, plain = (F.regexp_extract_all(line, F.lit(_CELL), F.lit(k)) for k in (1, 2))
+    return F.zip_with(quoted, plain, lambda q, p: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p))
+
+
+def _records(text: Column) -> Column:
+    """The lines of a CSV text; a line feed inside quotes ends none, as it comes behind an odd number of quotes."""
+    parts = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+
+    def step(state: Column, part: Column) -> Column:
+        open_ = F.pmod(F.length(state["last"]) - F.length(F.replace(state["last"], F.lit('"'), F.lit(""))), F.lit(2)) == 1
+        longer = F.concat(state["last"], F.lit("\n"), part)
+        done = F.when(open_, state["done"]).otherwise(F.concat(state["done"], F.array(state["last"])))
+        return F.struct(done.alias("done"), F.when(open_, longer).otherwise(part).alias("last"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.element_at(parts, 1).alias("last"))
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda s: F.concat(s["done"], F.array(s["last"])))
+
+
+def read_submissions(spark: SparkSession, path: str, kinds: DataFrame | None = None) -> DataFrame:
+    """query_name, rank (record number; blank ones count but give no row), video, frames and answer.
+
+    kinds: query_name, query_type. A QA record has one frame and then its answer, blank where it is missing; all
+    others have frames only and no answer. Queries whose kind isn't told are QA if their name says so. A frame that
+    is no whole number is null, so that the checks see it.
+    """
     whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     name = F.regexp_extract("file", r"query_name=([^/]+)/", 1)
-    lines = whole.select(name.alias("query_name"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).where(F.trim("line") != "")
-    cells = F.split("line", ",")
-    frames = F.filter(F.transform(F.slice(cells, F.lit(2), F.size(cells)), lambda x: x.try_cast("long")), lambda x: x.isNotNull())
-    return lines.select("query_name", (F.col("i") + 1).alias("rank"), cells[0].alias("video_code"), frames.alias("frame_indices"))
+    lines = whole.select(name.alias("query_name"), F.posexplode(_records(F.col("value"))).alias("i", "line")).where(F.trim("line") != "")
+    if kinds is None:
+        lines = lines.withColumn("query_type", F.when(F.lower("query_name").rlike("(^|[-_0-9])qa([-_0-9]|$)"), "QA"))
+    else:
+        lines = lines.join(kinds.select("query_name", "query_type"), "query_name", "left")
+    d = lines.withColumns({"cells": _cells(F.col("line")), "qa": F.coalesce(F.col("query_type") == "QA", F.lit(False))})
+    frames = F.transform(F.slice("cells", F.lit(2), F.when(F.col("qa"), 1).otherwise(F.size("cells"))), lambda x: F.trim(x).try_cast("long"))
+    answer = F.when(F.col("qa"), F.coalesce(F.get("cells", F.lit(2)), F.lit("")))
+    return d.select("query_name", (F.col("i") + 1).alias("rank"), F.get("cells", F.lit(0)).alias("video_code"), frames.alias("frame_indices"), answer.alias("answer"))
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:

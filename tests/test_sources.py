@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import queries as fq
 from lumenreel.functions import text as ft
-from lumenreel.operators import hooks
+from lumenreel.operators import evaluation, hooks
 from lumenreel.sources import files as s
 from lumenreel.streaming import ingest
 
@@ -130,3 +130,36 @@ def test_rerank_calls_the_model_in_batches_of_one_query(spark):
     plain = {(r.query_id, r.frame_id): round(r.score, 6) for r in hooks.rerank(pairs).collect()}
     assert plain[1, 0] == round(1 / 2, 6) and plain[1, 3] == 0 and plain[0, 2] == 0
     assert hooks.overlap_reranker()("A dog, (a) dog!", ["dog dog", "cat"]) == [0.5, 0.0]
+
+
+def test_submissions_read_back_as_written(spark, tmp_path):
+    schema = "query_name string, query_type string, rank int, video_code string, frame_indices array<long>, answer string"
+    rows = [
+        ("a", "KIS", 1, "V1", [3], None), ("a", "KIS", 2, "V,2", [4], None), ("b", "QA", 1, "V1", [5], "42"), ("b", "QA", 2, "V1", [6], 'a "b", c'), ("b", "QA", 3, "V1", [7], ""), ("b", "QA", 4, "V2", [8], "two\nlines, \"x\ny\""),
+        ("b", "QA", 5, "V3", [9], None), ("c", "TRAKE", 1, "V1", [1, 2, 3], None), ("c", "TRAKE", 2, "V9", [], None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    s.write_submissions(df, str(tmp_path / "out"))
+    got = s.read_submissions(spark, str(tmp_path / "out"), df.select("query_name", "query_type").distinct())
+    want = [(n, r, v, f, "" if k == "QA" and a is None else a) for n, k, r, v, f, a in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_submissions_by_name_and_bad_cells(spark, tmp_path):
+    for name, text in {"q1-qa": 'V1, 12 ,yes\r\n\r\nV2,x,"no, ""no"""\r\n', "q2-kis": "V1,7\nV2\n", "quality": "V1,1,2"}.items():
+        (tmp_path / f"query_name={name}").mkdir()
+        (tmp_path / f"query_name={name}" / "part.txt").write_text(text, newline="")
+    got = sorted((tuple(r) for r in s.read_submissions(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(
+        [("q1-qa", 1, "V1", [12], "yes"), ("q1-qa", 3, "V2", [None], 'no, "no"'), ("q2-kis", 1, "V1", [7], None), ("q2-kis", 2, "V2", [], None), ("quality", 1, "V1", [1, 2], None)], key=str
+    )
+
+
+def test_scores_of_answers_read_back(spark, tmp_path):
+    """A QA submission that was written and read keeps its score."""
+    rows = spark.createDataFrame([("q", "QA", 1, "V1", [5], "no"), ("q", "QA", 2, "V1", [5], "Yes, \"sir\"")], "query_name string, query_type string, rank int, video_code string, frame_indices array<long>, answer string")
+    s.write_submissions(rows, str(tmp_path / "out"))
+    got = s.read_submissions(spark, str(tmp_path / "out"), rows.select("query_name", "query_type").distinct())
+    answers = got.select(F.col("query_name").alias("query_id"), "rank", F.col("video_code").alias("video"), F.col("frame_indices").alias("frames"), "answer")
+    truth = spark.createDataFrame([("q", "QA", "V1", [(4, 6)], 'yes, "SIR"')], "query_id string, kind string, video string, ranges array<struct<start:long,end:long>>, answer string")
+    assert [r.r for r in evaluation.r_scores(answers, truth).orderBy("rank").collect()] == [0.0, 1.0]
