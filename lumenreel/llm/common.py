@@ -196,11 +196,13 @@ def span_string(spans: list[tuple]) -> str:
 def training_labels(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
     """doc_id, text and label (0 or 1) of about `most` labelled documents that aren't held out.
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are held out. A doc_id with several labels has the largest one.
+    Rows whose crc32(doc_id as text) mod 5 is 0 are held out. A doc_id with several labels has the largest one, and one with
+    several texts the smallest, so repeated rows don't pass the bound.
     """
     usable = labels.where(F.col(column).isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     chosen = bounded_sample(usable, most)
-    return as_documents(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 * most rows are broadcast
+    labelled = as_documents(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 * most rows are broadcast
+    return labelled.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def held_out(column: str) -> Column:

@@ -125,7 +125,7 @@ def _rebuilt(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = F.col("conv_id") % GROUP != 0
     n_head = F.when(own, _head_length()).otherwise(0)
     convs = placed.groupBy("conv_id").agg(F.max("pos").alias("n_own"), F.max(F.when(F.col("pos") == n_head, F.struct("a", "b"))).alias("skipped"))
-    convs = convs.withColumn("head", n_head).withColumn("base", F.when(own, F.col("conv_id") - F.col("conv_id") % GROUP))
+    convs = convs.withColumn("head", n_head).withColumn("base", F.col("conv_id") - F.col("conv_id") % GROUP)
     heads = (
         placed.where((F.col("conv_id") % GROUP == 0) & (F.col("pos") < HEAD))
         .groupBy(F.col("conv_id").alias("base"))

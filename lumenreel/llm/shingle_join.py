@@ -478,18 +478,21 @@ def one_of_each(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     Rows without doc_id take no part and stay. Rows that repeat a doc_id with another text are documents of their own
     here: one goes only if its set equals or links (by way of others, as in a component) with one that stays. Rows that
-    repeat both doc_id and text are one.
+    repeat both doc_id and text are one: that whose other columns have the smallest hash. Extra columns may have any
+    name. An empty table stays empty; null and blank texts are no copies of each other.
     """
-    text = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
-    named = docs.where("doc_id is not null").withColumn("_text", text)
-    repeats = stored(named.groupBy("doc_id").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_first <> _last").select("doc_id", "_first"), "repeated-ids")
+    others = [docs[f.name] for f in docs.schema.fields if f.name not in ("doc_id", "text") and f.dataType.typeName() not in ("map", "variant")]
+    chosen = F.xxhash64(F.lit(0), *others)
+    packed = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"), chosen.alias("other"))
+    named = packed.where("doc_id is not null").withColumn("own", F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")))
+    repeats = stored(named.groupBy("doc_id").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first <> last").select("doc_id", "first"), "repeated-ids")
     # The first text of a doc_id keeps it as its key, others get a hash of 64 bits.
-    other = F.coalesce(F.col("_text") != F.col("_first"), F.lit(False))
-    keyed = named.join(repeats, "doc_id", "left").withColumn("_key", F.when(other, F.xxhash64("doc_id", "_text.a", "_text.b")).otherwise(F.col("doc_id"))).drop("_text", "_first")
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "_key")
-    ids = keyed.where("_key <> doc_id").select("_key", "doc_id").distinct()
-    own = found.join(ids, "_key", "left").withColumn("doc_id", F.coalesce("doc_id", "_key"))
+    again = F.coalesce(F.col("own") != F.col("first"), F.lit(False))
+    keyed = named.join(repeats, "doc_id", "left").withColumn("key", F.when(again, F.xxhash64("doc_id", "own.a", "own.b")).otherwise(F.col("doc_id"))).drop("own", "first")
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "key")
+    ids = keyed.where("key <> doc_id").select("key", "doc_id").distinct()
+    owned = found.join(ids, "key", "left").withColumn("doc_id", F.coalesce("doc_id", "key"))
     group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    kept = own.groupBy((F.col("n_shingles") > 0).alias("some"), group.alias("group")).agg(F.min_by("_key", F.struct("doc_id", "_key")).alias("_key")).select("_key")
-    rows = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
-    return rows.unionByName(docs.where("doc_id is null"))
+    kept = owned.groupBy((F.col("n_shingles") > 0).alias("some"), group.alias("group")).agg(F.min_by("key", F.struct("doc_id", "key")).alias("key")).select("key")
+    rows = keyed.select("key", "row", "other").join(kept.distinct(), "key", "left_semi").groupBy("key").agg(F.min_by("row", "other").alias("row"))
+    return rows.select("row.*").unionByName(packed.where("doc_id is null").select("row.*"))

@@ -25,3 +25,15 @@ def test_stage_equals_brute_force(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     want = sorted({component for _, component in brute(rows).values()})
     assert sorted(r.doc_id for r in corpus_pipeline.no_copies(spark, docs, SMALL).collect()) == want
+
+
+def test_extra_columns_of_any_name(spark):
+    """Columns named as an operator might name its own come back as they were; of rows alike but for them one stays, always the same."""
+    names = ["_text", "_first", "_key", "key", "row", "own", "other", "first", "component_id", "n_shingles", "group"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names) + ", tags map<string,int>"
+    rows = [(i, t, *(f"{n}{i}{v}" for n in names), {"a": v}) for i, t, v in ((1, A, 0), (2, A, 0), (3, B, 0), (3, B, 1), (None, A, 0))]
+    docs = spark.createDataFrame(rows, schema)
+    got = sorted((tuple(r) for r in shingle_join.one_of_each(docs).collect()), key=str)
+    again = sorted((tuple(r) for r in shingle_join.one_of_each(docs.repartition(3)).collect()), key=str)
+    assert got == again and [r[0] for r in got] == [1, 3, None] and set(map(str, got)) <= set(map(str, rows))
+    assert shingle_join.one_of_each(docs.limit(0)).collect() == []
