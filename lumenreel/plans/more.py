@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import queries as fq
 from lumenreel.functions.text import tokenize
+from lumenreel.operators import expansion
 from lumenreel.operators import hooks
 from lumenreel.operators import ranking as r
 from lumenreel.operators import sequences as s
@@ -139,16 +140,50 @@ def t02_cosine_topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.top(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], 10)
 
 
-_VARIANTS = f"x AS (SELECT conv_id, turn, list_distinct({tokens_sql('text')}) AS ts FROM conversations)"
-
-
-@query(f"WITH {_VARIANTS} SELECT a.conv_id, round(avg(len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts)))), 6) AS jaccard, round(1 - avg(len(list_intersect(a.ts, b.ts)) / len(list_distinct(list_concat(a.ts, b.ts)))), 6) AS diversity FROM x a JOIN x b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(a.ts) > 0 GROUP BY 1")
+def _normal(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+_STOP = ", ".join(f"'{w}'" for w in expansion.STOPWORDS)
+_JACCARD = "CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END"
+_CASES = rf"""WITH v AS (SELECT conv_id AS case_id, turn AS place, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations),
+  once AS (SELECT * FROM v WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY case_id, lower(text) ORDER BY place) = 1),
+  cut AS (SELECT *, regexp_extract_all({_normal("text")}, '[a-z0-9]+') AS ws FROM once),
+  sets AS (SELECT *, list_distinct(list_filter(ws, lambda w: w NOT IN ({_STOP}))) AS vs FROM cut),
+  grams AS (SELECT case_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM cut),
+  d2 AS (SELECT case_id, count(DISTINCT g) / count(*)::DOUBLE AS d2 FROM grams GROUP BY 1),
+  d1 AS (SELECT case_id, count(DISTINCT w) / count(*)::DOUBLE AS d1 FROM (SELECT case_id, unnest(ws) AS w FROM cut) GROUP BY 1),
+  pairs AS (SELECT case_id, avg({_JACCARD}) AS alike FROM (SELECT x.case_id, x.vs AS a, y.vs AS b FROM sets x JOIN sets y ON x.case_id = y.case_id AND x.place < y.place) GROUP BY 1),
+  solid AS (SELECT *, regexp_replace(text, '\s', '', 'g') AS t FROM cut),
+  one AS (SELECT case_id, count(*) AS n, {_normal("string_agg(text, ' ' ORDER BY place)")} AS joined,
+    avg(greatest(0.0, least(1.0, (length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) - length(regexp_replace(t, '[^{expansion.VIETNAMESE}]', '', 'g'))) / length(t)::DOUBLE))) AS english,
+    avg(CASE WHEN len(ws) < 5 THEN len(ws) / 5.0 WHEN len(ws) > 18 THEN greatest(0.0, 1 - (len(ws) - 18) / 18.0) ELSE 1.0 END) AS fits FROM solid GROUP BY 1),
+  told AS (SELECT item_id % 40 AS k, list_distinct(list_filter(regexp_extract_all({_normal("text")}, '[a-z0-9]+'), lambda w: w NOT IN ({_STOP}))) AS b, string_split(text, ' ') AS w FROM benchmark WHERE item_id < 40),
+  met AS (SELECT one.*, b, list_distinct(list_filter(regexp_extract_all(joined, '[a-z0-9]+'), lambda w: w NOT IN ({_STOP}))) AS a,
+    CAST(contains(joined, {_normal("w[1]")}) OR contains(joined, {_normal("w[2]")}) AS INTEGER) + CAST(contains(joined, {_normal("w[3]")}) AS INTEGER) AS hits,
+    CAST(contains(joined, {_normal("w[4]")}) AS INTEGER) + CAST(w[4] <> w[5] AND contains(joined, {_normal("w[5]")}) AS INTEGER) AS bad, CASE WHEN w[4] <> w[5] THEN 2 ELSE 1 END AS terms FROM one JOIN told ON case_id % 40 = k),
+  m AS (SELECT case_id, n AS variants, CAST(n = 4 AS DOUBLE) AS exact_k, 1.0 AS unique_ratio, hits / 2.0 AS required_concept_coverage, 1 - bad / terms::DOUBLE AS forbidden_avoidance, {_JACCARD} AS reference_token_overlap,
+    coalesce(1 - alike, 0.0) AS pairwise_lexical_diversity, coalesce(d1, 0.0) AS distinct_1, coalesce(d2, 0.0) AS distinct_2, english AS englishish_score, fits AS length_score
+    FROM met LEFT JOIN pairs USING (case_id) LEFT JOIN d1 USING (case_id) LEFT JOIN d2 USING (case_id)),
+  t AS (SELECT *, 0.12 * exact_k + 0.10 * unique_ratio + 0.24 * required_concept_coverage + 0.16 * forbidden_avoidance + 0.10 * reference_token_overlap + 0.10 * pairwise_lexical_diversity
+    + 0.08 * distinct_2 + 0.05 * englishish_score + 0.05 * length_score AS overall_score, 1 - (required_concept_coverage + forbidden_avoidance) / 2 AS query_drift_risk FROM m)
+"""
+_METRICS = (*expansion.WEIGHTS, "distinct_1", "overall_score", "query_drift_risk")
+
+
+@query(_CASES + f"SELECT case_id, variants, {', '.join(f'round(CAST({m} AS DOUBLE), 6) AS {m}' for m in _METRICS)} FROM t")
 def e18_expansion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean token Jaccard of the variants (here turns) of a case, and their diversity."""
-    x = v.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(tokenize(F.col("text"))).alias("ts"))
-    pairs = x.alias("a").join(x.alias("b"), "conv_id").where("a.turn < b.turn and size(a.ts) > 0")
-    j = F.avg(F.size(F.array_intersect("a.ts", "b.ts")) / F.size(F.array_union("a.ts", "b.ts")))
-    return pairs.groupBy("conv_id").agg(F.round(j, 6).alias("jaccard"), F.round(1 - j, 6).alias("diversity"))
+    """The turns of a conversation as variants, held against a passage's words as concepts, forbidden terms and reference."""
+    c, b = v.table(spark, sf_dir, "conversations"), v.table(spark, sf_dir, "benchmark").where("item_id < 40")
+    told = b.select(F.col("item_id").alias("k"), F.col("text").alias("reference"), F.split("text", " ").alias("w"))
+    cases = c.select(F.col("conv_id").alias("case_id")).distinct().join(told, F.col("case_id") % 40 == F.col("k"))
+    word = lambda n: F.get("w", F.lit(n - 1))
+    named = F.array(*(F.struct(F.lit(g).alias("concept"), word(n).alias("alias")) for g, n in (("first", 1), ("first", 2), ("second", 3))))
+    m = expansion.expansion_metrics(
+        c.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("place"), "text"), cases.select("case_id", F.col("reference").alias("text")),
+        cases.select("case_id", F.inline(named)), cases.select("case_id", F.explode(F.array_distinct(F.array(word(4), word(5)))).alias("term")), k=4,
+    )
+    return m.select("case_id", "variants", *(F.round(x, 6).alias(x) for x in _METRICS))
 
 
 @query(f"WITH s AS (SELECT a.label, a.vec_id, {COS.replace('query', 'a.embedding', 1).replace('CAST(embedding', 'CAST(b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT label, vec_id, round(max(c), 6) AS best, round(1 - avg(c), 6) AS distance FROM s GROUP BY 1, 2")
