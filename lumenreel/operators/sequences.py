@@ -272,9 +272,9 @@ def diverse_videos(candidates: DataFrame, scores: DataFrame, importance: DataFra
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         seen: dict[int, int] = {}
-        for (weight, _), own in group.assign(_w=-group["weight"]).groupby(["_w", "event_index"], sort=True):
+        for (_, event), own in group.assign(_w=-group["weight"]).groupby(["_w", "event_index"], sort=True):
             fresh = [v for v in own.sort_values("n")["video_id"] if v not in seen]
-            for video in fresh[: quota if weight <= 0 else limit]:
+            for video in fresh[: quota if event > 0 else limit]:
                 if len(seen) < limit:
                     seen[video] = len(seen) + 1
         return pd.DataFrame({"query_id": group["query_id"].iloc[0], "video_id": list(seen), "place": list(seen.values())})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.operators import aggregates as a
 from lumenreel.operators import sequences as s
+from lumenreel.operators import video_first
 from lumenreel.plans import views as v
 from lumenreel.plans.common import register
 
@@ -117,19 +118,15 @@ def q11_beam_with_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q13_video_first_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probe all events, score videos by them, search sequences in the chosen videos only, complete from the rest."""
+    """Probe all events, choose videos, retrieve once more in them, and complete: every third query asks for all three events."""
     c = v.candidates(spark, sf_dir)
-    probes = a.event_probe(c, 24)
-    priors = probes.select("query_id", "event_index", (F.col("event_index") / 3.0).alias("prior"))
-    diagnostic = a.diagnostic_events(probes, priors, 2).select("query_id", "event_index")
-    importance = c.select("query_id", "event_index").distinct().withColumn("weight", F.lit(1.0))
-    scores = a.cross_event_scores(c, importance, diagnostic).withColumnRenamed("score", "total")
-    chosen = s.diverse_videos(c, scores, importance, 4, 20)
-    local = s.nms(c.join(chosen.select("query_id", "video_id"), ["query_id", "video_id"], "left_semi"), ["query_id", "video_id", "event_index"], HOUR, 1, 12)
-    found = s.dev_score(s.beam_search(local, [1.0, 1.0, 1.0], 30, 24 * HOUR, min_match=2, per_event=12, beam=200), 3, [2, 3], gap_ms=6 * HOUR)
-    best = s.to_result(s.prefer_full(found, 3), "DEV").groupBy("query_id", "video_id").agg(F.max("score").alias("score"))
-    rest = scores.select("query_id", "video_id", (F.col("total") * 0.1).alias("score"))
-    return s.complete(best, rest, 20).withColumn("score", F.round("score", 6))
+    asked = F.when(F.col("query_id") % 3 == 0, 3).cast("int")
+    events = c.select("query_id", "event_index").distinct().select(
+        "query_id", "event_index", F.lit(1.0).alias("weight"), (F.col("event_index") / 3.0).alias("prior"), asked.alias("requested")
+    )
+    plan = video_first.Plan(first_k=40, most_k=80, least_candidates=20, max_gap=24 * HOUR, probe_gap=HOUR, candidate_gap=HOUR)
+    found = video_first.video_first(c, events, [1.0, 1.0, 1.0], plan)
+    return found.select("query_id", "video_id", "keyframe_id", "frames", "matched", F.round("score", 6).alias("score"), "stage", "rank")
 
 
 @query(
