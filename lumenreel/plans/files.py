@@ -138,10 +138,10 @@ def s15_read_submission_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.read_submissions(spark, path, rows.select("query_name", "query_type").distinct())
 
 
-@query("WITH c AS (SELECT doc_id, text, 1 AS v FROM documents WHERE doc_id % 3 = 0), e AS (SELECT doc_id, upper(source) AS text, 0 AS v FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, text FROM c UNION ALL SELECT doc_id, text FROM e WHERE doc_id NOT IN (SELECT doc_id FROM c)")
+@query("WITH c AS (SELECT doc_id, text, 1 AS v FROM documents WHERE doc_id % 3 = 0), e AS (SELECT doc_id, upper(source) AS text, 0 AS v FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0) SELECT doc_id, text FROM c UNION ALL SELECT doc_id, text FROM e WHERE doc_id NOT IN (SELECT doc_id FROM c)")
 def s17_publish_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = v.table(spark, sf_dir, "documents")
-    return s.publish(d.where("doc_id % 3 = 0").select("doc_id", "text"), d.where("doc_id % 2 = 0").select("doc_id", F.upper("source").alias("text")), "doc_id")
+    return s.publish(d.where("doc_id % 3 = 0").select("doc_id", "text"), d.where("doc_id % 2 = 0 or doc_id % 3 <> 0").select("doc_id", F.upper("source").alias("text")), "doc_id")
 
 
 @query(
@@ -166,14 +166,15 @@ def s21_build_text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.text_records(f, v.segments(spark, sf_dir))
 
 
-@query(f"WITH {v.CANDIDATES}, x AS (SELECT query_id, keyframe_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, keyframe_id) AS rank FROM candidates) SELECT keyframe_id, CAST(rank AS INTEGER) AS rank, rank % 5 = 0 AS selected FROM x WHERE query_id = 3 AND rank <= 40")
+@query(f"WITH {v.CANDIDATES}, x AS (SELECT query_id, keyframe_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, keyframe_id) AS rank FROM candidates) SELECT query_id AS run_id, keyframe_id, CAST(rank AS INTEGER) AS rank, rank % 5 = 0 AS selected FROM x WHERE rank <= 40")
 def s22_persist_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty results of each day stored by run, one run read again and every fifth marked."""
+    """Forty results of each day stored by run, all runs read again and every fifth result marked."""
     path = shared_path(spark, "runs")
     best = r.top(v.candidates(spark, sf_dir), ["query_id"], [F.desc("score"), F.asc("keyframe_id")], 40)
     s.persist_results(best.select(F.col("query_id").alias("run_id"), "keyframe_id", "rank"), path)
-    run = s.load_run(spark, path, 3)
-    return s.mark_selected(run, run.where("rank % 5 = 0"), "keyframe_id").select("keyframe_id", "rank", "selected")
+    runs = spark.read.parquet(path)
+    marked = s.mark_selected(runs, runs.where("rank % 5 = 0"), "keyframe_id")  # a frame is of one day
+    return marked.select(F.col("run_id").cast("long").alias("run_id"), "keyframe_id", "rank", "selected")
 
 
 # Planning of queries
@@ -377,7 +378,7 @@ def p34_frame_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {v.FRAMES}, s AS (SELECT video_id, keyframe_id AS doc_id, timestamp_ms AS a, timestamp_ms + 7200000 AS b FROM frames WHERE event_type = 'error'), an AS (SELECT * FROM frames WHERE keyframe_id % 20 = 0),
+    f"""WITH {v.FRAMES}, s AS (SELECT video_id, keyframe_id AS doc_id, timestamp_ms AS a, timestamp_ms + 7200000 AS b FROM frames WHERE event_type = 'error'), an AS (SELECT * FROM frames),
     h AS (SELECT an.keyframe_id AS anchor_id, doc_id, a FROM an JOIN s ON s.video_id = an.video_id AND an.timestamp_ms BETWEEN a AND b UNION SELECT keyframe_id, keyframe_id, timestamp_ms FROM an WHERE event_type = 'error'),
     r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY a, doc_id) AS place FROM h) SELECT anchor_id, doc_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3"""
 )
@@ -386,7 +387,7 @@ def j08_align_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = v.frames(spark, sf_dir)
     hour = 3_600_000
     d = f.where("event_type = 'error'").select("video_id", F.col("keyframe_id").alias("doc_id"), F.col("timestamp_ms").alias("a"), (F.col("timestamp_ms") + 2 * hour).alias("b"))
-    an = f.where("keyframe_id % 20 = 0").select("video_id", F.col("keyframe_id").alias("anchor_id"), F.col("timestamp_ms").alias("t"))
+    an = f.select("video_id", F.col("keyframe_id").alias("anchor_id"), F.col("timestamp_ms").alias("t"))
     bucket = lambda c: F.floor(F.col(c) / hour)
     spread = d.withColumn("bucket", F.explode(F.sequence(bucket("a"), bucket("b"))))
     inside = an.withColumn("bucket", bucket("t")).join(spread, ["video_id", "bucket"]).where("t between a and b").select("anchor_id", "doc_id", "a")

@@ -79,12 +79,12 @@ def j07_align_asof_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {v.FRAMES}, a AS (SELECT * FROM frames WHERE keyframe_id % 50 = 0)
+    f"""WITH {v.FRAMES}, a AS (SELECT * FROM frames)
     SELECT a.keyframe_id AS anchor_id, f.video_id, f.keyframe_id, f.frame_idx, CAST(f.frame_idx - a.frame_idx AS INTEGER) AS step FROM a JOIN frames f ON f.video_id = a.video_id AND abs(f.frame_idx - a.frame_idx) <= 3"""
 )
 def j09_frame_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = v.frames(spark, sf_dir)
-    return j.frame_context(f.where("keyframe_id % 50 = 0").select("video_id", "keyframe_id"), f, 3)
+    return j.frame_context(f.select("video_id", "keyframe_id"), f, 3)
 
 
 @query(
