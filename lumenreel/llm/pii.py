@@ -3,8 +3,9 @@
 Candidates are the words of a text that hold a digit or an at sign. Each is a node with a label (none or a kind).
 Neighbouring candidates share a transition potential; a candidate also shares a skip potential with the last one
 before it that is the same or similar (same letters, or same last seven digits), however far apart. Loopy sum-product
-message passing over all texts of a slice gives marginals; words that are surely of a kind, agree with a same or
-similar word elsewhere in the text and aren't within a base span add spans. The weights are learned by pseudo-likelihood from a bounded sample whose labels are the base spans.
+message passing over all texts of a slice gives marginals; words outside base spans that are surely of a kind, and from
+which same or similar words of that kind lead to a base span of the text, add spans. The weights are learned by
+pseudo-likelihood from a bounded sample whose labels are the base spans.
 
 Defined results: null and empty texts have no spans; every row gets one result row.
 """
@@ -31,7 +32,7 @@ SAMPLE_CHARS = 20_000
 SURE = 0.9
 ROUNDS = 6
 #: Where the skip potential of equal labels starts from and is drawn to.
-CONSISTENT = 3.0
+CONSISTENT = 6.0
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -149,21 +150,28 @@ class Graph:
                     keys.add("#" + digits[-7:])
                 if "@" in word:
                     keys.add("@" + word.split("@")[0].lower())
-                for key in keys:
-                    if key in last:
-                        self.skip.append((last[key], node))
-                    last[key] = node
+                # one edge a pair, however many keys it shares
+                self.skip.extend((other, node) for other in sorted({last[key] for key in keys if key in last}))
+                last.update(dict.fromkeys(keys, node))
                 before = node
         self.slots = np.array(slots, np.int64).reshape(-1, 5)
 
     def labels(self, spans: list[list[tuple[str, int, int]]]) -> np.ndarray:
-        """The kind of the base span that each node lies in, 0 for none."""
+        """The kind of the base span that each node lies in, 0 for none; of several kinds the first listed.
+
+        Spans of a kind don't overlap, so of those that begin before a node's end the last one decides: one sorted
+        search for each kind, however many spans a text has.
+        """
         out = np.zeros(len(self.slots), np.int64)
-        for k, (t, a, b) in enumerate(zip(self.text_of, self.start, self.end, strict=True)):
-            for kind, x, y in spans[t]:
-                if x < b and a < y:
-                    out[k] = 1 + KINDS.index(kind)
-                    break
+        text, start, end = (np.array(c, np.int64) for c in (self.text_of, self.start, self.end))
+        for kind in reversed(KINDS):
+            own = np.array([(t, x, y) for t, found in enumerate(spans) for k, x, y in found if k == kind], np.int64)
+            if not len(own) or not len(out):
+                continue
+            own = own[np.lexsort((own[:, 1], own[:, 0]))]
+            at = np.searchsorted((own[:, 0] << 40) + own[:, 1], (text << 40) + end) - 1
+            last = own[np.maximum(at, 0)]
+            out[(at >= 0) & (last[:, 0] == text) & (last[:, 2] > start)] = 1 + KINDS.index(kind)
         return out
 
 
@@ -171,14 +179,23 @@ N_LABELS = 1 + len(KINDS)
 
 
 def fit(graph: Graph, labels: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> dict[str, np.ndarray]:
-    """Weights by pseudo-likelihood: each node's label given its features and its neighbours' labels."""
-    n = len(labels)
+    """Weights by pseudo-likelihood: each node's label given its features and its neighbours' labels.
+
+    Base patterns say for sure what is of a kind, not what is of none: a node outside their spans that is the same as or
+    similar to one inside has no known label. It and its edges take no part, else the fit would learn that twins disagree.
+    """
     w = {"node": np.zeros((SLOTS, N_LABELS)), "bias": np.zeros(N_LABELS), "chain": np.zeros((N_LABELS, N_LABELS)), "skip": CONSISTENT * np.eye(N_LABELS)}
     prior = {k: v.copy() for k, v in w.items()}
+    chain, skip = (np.array(e, np.int64).reshape(-1, 2) for e in (graph.chain, graph.skip))
+    inside = labels > 0
+    seen = np.ones(len(labels), bool)
+    twins = skip[inside[skip[:, 0]] != inside[skip[:, 1]]].ravel()
+    seen[twins[~inside[twins]]] = False
+    chain, skip = (e[seen[e].all(1)] for e in (chain, skip))
+    n = seen.sum()
     if not n:
         return w
     square = {k: np.full_like(v, 1e-8) for k, v in w.items()}
-    chain, skip = (np.array(e, np.int64).reshape(-1, 2) for e in (graph.chain, graph.skip))
     hot = np.eye(N_LABELS)[labels]
     for _ in range(rounds):
         score = w["node"][graph.slots].sum(1) + w["bias"]
@@ -186,7 +203,7 @@ def fit(graph: Graph, labels: np.ndarray, rounds: int = 300, rate: float = 0.5,
             np.add.at(score, edges[:, 1], m[labels[edges[:, 0]]])
             np.add.at(score, edges[:, 0], m.T[labels[edges[:, 1]]])
         p = np.exp(score - score.max(1, keepdims=True))
-        miss = (hot - p / p.sum(1, keepdims=True)) / n
+        miss = seen[:, None] * (hot - p / p.sum(1, keepdims=True)) / n
         step = {"node": np.zeros_like(w["node"]), "bias": miss.sum(0)}
         for k in range(graph.slots.shape[1]):
             np.add.at(step["node"], graph.slots[:, k], miss)
@@ -246,12 +263,17 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], w: dic
     best = p[:, 1:].argmax(1) + 1
     take = (known == 0) & (p[np.arange(len(p)), best] >= SURE)
     joined = set(graph.chain)
-    # A word alone is no evidence: some same or similar word elsewhere in the text must bear the label too.
-    agreed = np.zeros(len(p), bool)
+    # A word alone is no evidence, nor are two that only resemble each other: a way over same or similar words of
+    # its label must lead to a base span.
     label = np.where(known > 0, known, np.where(take, best, 0))
-    for a, b in graph.skip:
-        agreed[a] |= label[a] == label[b]
-        agreed[b] |= label[a] == label[b]
+    ways = [(x, y) for x, y in graph.skip if label[x] and label[x] == label[y]]
+    agreed = known > 0
+    before = -1
+    while before != (before := int(agreed.sum())):
+        for x, y in ways:
+            agreed[y] |= agreed[x]
+        for x, y in reversed(ways):
+            agreed[x] |= agreed[y]
     take &= agreed
     last = -2
     for k in np.flatnonzero(take).tolist():
@@ -264,19 +286,54 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], w: dic
     return out
 
 
-def surroundings(text: str, most: int = SAMPLE_CANDIDATES, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Candidates with 40 characters on each side, in order: all, or those of the least hashes of word and place.
+def surroundings(text: str, most: int = SAMPLE_CANDIDATES, chars: int = SAMPLE_CHARS) -> list[tuple[int, int]]:
+    """Stretches (start, end) round candidates with up to 40 characters on each side, in order and apart from each other.
 
-    At most `most` of them, and of at most `chars` characters together: what doesn't fit is left out, not cut.
+    All candidates, or those of the least hashes of word and place: at most `most` of them, and of at most `chars`
+    characters together; what doesn't fit is left out, not cut. Stretches that meet are one, and none begins or ends
+    within a word, so that every node of the sample is a whole word and no word is there twice.
     """
-    found = [(zlib.crc32(f"{a}:{text[a:b]}".encode(errors="replace")), max(0, a - 40), b + 40) for a, b in candidates(text)]
+    found = [(zlib.crc32(f"{a}:{text[a:b]}".encode(errors="replace")), a, b) for a, b in candidates(text)]
     taken, left = [], chars
     for _, a, b in sorted(found):
-        size = min(b, len(text)) - a + 1
-        if len(taken) < most and size <= left:
-            taken.append((a, b))
-            left -= size
-    return [text[a:b] for a, b in sorted(taken)]
+        first, last = max(0, a - 40), min(b + 40, len(text))
+        if len(taken) < most and last - first + 3 <= left:
+            left -= last - first + 3
+            while 0 < first < a and not text[first - 1].isspace():
+                first += 1
+            while b < last < len(text) and not text[last].isspace():
+                last -= 1
+            taken.append((first, last))
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(taken):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
+
+
+#: Between stretches: no blank alone, as words on both sides of one would be neighbours.
+_APART = "\n|\n"
+
+
+def sample_of(text: str, most: int = SAMPLE_CANDIDATES, chars: int = SAMPLE_CHARS) -> tuple[str, list[tuple[str, int, int]]]:
+    """The stretches of a text as one text, and in its places the parts there of the whole text's base spans."""
+    kept = surroundings(text, most, chars)
+    if not kept:
+        return "", []
+    starts = np.array([a for a, _ in kept])
+    at = np.concatenate(([0], np.cumsum([b - a + len(_APART) for a, b in kept])))
+    spans = []
+    for kind, x, y in base_spans(text):
+        k = max(int(np.searchsorted(starts, x, side="right")) - 1, 0)
+        while k < len(kept) and kept[k][0] < y:
+            a, b = max(x, kept[k][0]), min(y, kept[k][1])
+            if a < b:
+                move = int(at[k]) - kept[k][0]
+                spans.append((kind, a + move, b + move))
+            k += 1
+    return _APART.join(text[a:b] for a, b in kept), spans
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES, sample_chars: int = SAMPLE_CHARS) -> dict[str, np.ndarray]:
@@ -289,13 +346,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_candidates: in
     def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             # only the surroundings of candidates reach the driver
-            kept = [surroundings(t, sample_candidates, sample_chars) for t in f["text"].fillna("")]
-            yield pd.DataFrame({"text": ["\n".join(k) for k in kept if k]})
-
-    found = bounded_sample(as_documents(docs), sample_docs).mapInPandas(take, "text string").toPandas()
-    texts = sorted(found["text"])
-    graph = Graph(texts)
-    return fit(graph, graph.labels([base_spans(t) for t in texts]))
+            kept = [sample_of(t, sample_candidates, sample_chars) for t in f["text"].fillna("")]
+            yield pd.DataFrame([(t, span_string(s)) for t, s in kept if t], columns=["text", "spans"])
+
+    found = bounded_sample(as_documents(docs), sample_docs).mapInPandas(take, "text string, spans string").toPandas()
+    rows = sorted(zip(found["text"], found["spans"], strict=True))
+    graph = Graph([t for t, _ in rows])
+    spans = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(",") if x)] for _, s in rows]
+    return fit(graph, graph.labels(spans))
 
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
