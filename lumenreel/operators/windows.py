@@ -71,41 +71,65 @@ def pick_keyframes(shots: DataFrame) -> DataFrame:
     return shots.select("video_id", "start", "end", F.explode(roles).alias("k")).select("video_id", "start", "end", "k.role", "k.frame_idx")
 
 
+def _units(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's vectors as rows of unit length, shorter ones filled up with zeros, and their lengths.
+
+    Null vectors have length 0; those with a null or non-finite part are of nan.
+    """
+    sizes = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    rows = np.zeros((len(sizes), max(int(sizes.max(initial=0)), 1)))
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    rows[~np.isfinite(rows).all(1)] = np.nan
+    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return rows / np.where(norm == 0, 1.0, norm)[:, None], sizes
+
+
 def segment_events(keyframes: DataFrame, centroid: bool = False, gap: float = 6.0, alike: float = 0.72, span: float = 45.0) -> DataFrame:
     """keyframes: video_id, keyframe_id, seconds, embedding. Runs of neighbouring keyframes that are one event.
 
     A keyframe extends the event while the time gap, the cosine to the one before (or to the event's mean so far) and
     the span from the event's start allow it. Returns video_id, event_no (from 0), first and
-    last keyframe, seconds, and n.
+    last keyframe, seconds, and n. A keyframe without time or vector, with null or non-finite parts of it, or with
+    another length than its neighbour, is like none. Rows come to the fold run by run in order, and only the running
+    event is held. Cosines to the row before are one product a batch; only the event's mean goes row by row.
     """
     w = Window.partitionBy("video_id").orderBy(F.asc_nulls_last("seconds"), "keyframe_id")
     apart = F.coalesce((F.col("seconds") - F.lag("seconds").over(w)) > gap, F.lit(True))
-    cut = keyframes.select("video_id", "keyframe_id", "seconds", "embedding", apart.cast("int").alias("apart"))
+    cut = keyframes.select("video_id", "keyframe_id", F.col("seconds").cast("double").alias("seconds"), "embedding", apart.cast("int").alias("apart"))
     # No event crosses a gap over the limit, so runs between such gaps are folded apart.
     runs = cut.select("video_id", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), "seconds", "keyframe_id", "embedding")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come run by run in order; only the running event is held."""
-        event: list | None = None
-        key = mean = before = None
+        event: list | None = None  # video, first, last keyframe, first, last second, rows
+        own: tuple | None = None  # video and run of the last row
+        last, last_size, mean = np.zeros(1), 0, np.zeros(1)
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, sizes = _units(batch.column("embedding"))
+            videos, runs_, ids, times = (batch.column(c).to_pylist() for c in ("video_id", "run", "keyframe_id", "seconds"))
+            before = np.zeros_like(x)
+            before[1:] = x[:-1]
+            k = min(len(last), x.shape[1])
+            before[0, :k] = last[:k]
+            same_size = (sizes == np.concatenate(([last_size], sizes[:-1]))) & (sizes > 0)
+            to_last = np.where(same_size, np.einsum("ij,ij->i", x, before), np.nan)
             done: list[list] = []
-            for row in batch.to_pylist():
-                x = np.asarray(row["embedding"], float)
-                x = x / (np.linalg.norm(x) or 1.0)
-                at, own = row["seconds"], (row["video_id"], row["run"])
-                near = False
-                if own == key:
-                    against = mean / (np.linalg.norm(mean) or 1.0) if centroid else before
-                    near = at - event[4] <= gap and float(against @ x) >= alike and at - event[3] <= span
+            for i, row in enumerate(zip(videos, runs_, strict=True)):
+                near = row == own and times[i] is not None and bool(same_size[i]) and times[i] - event[3] <= span
+                if near and centroid:
+                    near = float(mean @ x[i, : len(mean)]) >= alike * (np.sqrt(mean @ mean) or 1.0)
+                elif near:
+                    near = bool(to_last[i] >= alike)
                 if near:
-                    event[2], event[4], event[5] = row["keyframe_id"], at, event[5] + 1
-                    mean = mean + x
+                    event[2], event[4], event[5] = ids[i], times[i], event[5] + 1
+                    mean = mean + x[i, : len(mean)] if centroid else mean
                 else:
                     if event:
                         done.append(event)
-                    event, key, mean = [own[0], row["keyframe_id"], row["keyframe_id"], at, at, 1], own, x
-                before = x
+                    event, mean = [row[0], ids[i], ids[i], times[i], times[i], 1], x[i, : max(int(sizes[i]), 1)]
+                own = row
+            last, last_size = x[-1].copy(), int(sizes[-1])
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, e, strict=True)) for e in done], schema)
         if event:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, event, strict=True))], schema)

@@ -348,16 +348,35 @@ def w06_pick_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors in order of their id as keyframes two seconds apart."""
-    return v.table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("keyframe_id"), (F.col("vec_id") / 5.0).alias("seconds"), "embedding")
-
-
-@query()
+    """Vectors in order of their id, each the sum of a label's last four: neighbours overlap, as neighbouring frames do."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    e = v.table(spark, sf_dir, "embeddings").withColumn("x", F.transform("embedding", lambda x: x.cast("double")))
+    total = F.col("x")
+    for back in (1, 2, 3):
+        older = F.lag("x", back).over(w)
+        total = F.when(older.isNull(), total).otherwise(F.zip_with(total, older, lambda p, q: p + q))
+    return e.select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("keyframe_id"), (F.col("vec_id") / 5.0).alias("seconds"), total.alias("embedding"))
+
+
+def _events_sql(like: str, mean: str) -> str:
+    """The fold as a recursion over the keyframes of a video in order; m is what the next keyframe is compared with."""
+    return f"""WITH RECURSIVE e AS (SELECT label AS video_id, vec_id, CAST(embedding AS DOUBLE[]) AS x0, lag(CAST(embedding AS DOUBLE[])) OVER o AS x1,
+      lag(CAST(embedding AS DOUBLE[]), 2) OVER o AS x2, lag(CAST(embedding AS DOUBLE[]), 3) OVER o AS x3, row_number() OVER o AS i FROM embeddings WINDOW o AS (PARTITION BY label ORDER BY vec_id)),
+    s AS (SELECT video_id, vec_id, vec_id / 5.0 AS t, i, list_transform(range(1, len(x0) + 1), lambda k: x0[k] + coalesce(x1[k], 0) + coalesce(x2[k], 0) + coalesce(x3[k], 0)) AS z FROM e),
+    f AS MATERIALIZED (SELECT video_id, vec_id, CAST(t AS DOUBLE) AS t, i, list_transform(z, lambda c: c / sqrt(list_dot_product(z, z))) AS z FROM s),
+    r AS (SELECT video_id, i, vec_id, t, z AS m, t AS began, 0 AS event_no FROM f WHERE i = 1
+      UNION ALL
+      SELECT video_id, i, vec_id, t, CASE WHEN near THEN {mean} ELSE z END, CASE WHEN near THEN began ELSE t END, event_no + CASE WHEN near THEN 0 ELSE 1 END
+      FROM (SELECT f.video_id, f.i, f.vec_id, f.t, f.z, r.m, r.began, r.event_no, f.t - r.t <= 6 AND f.t - r.began <= 45 AND {like} >= 0.72 AS near FROM r JOIN f ON f.video_id = r.video_id AND f.i = r.i + 1))
+    SELECT CAST(video_id AS BIGINT) AS video_id, event_no, min(vec_id) AS first_keyframe, max(vec_id) AS last_keyframe, min(t) AS start_seconds, max(t) AS end_seconds, CAST(count(*) AS INTEGER) AS n FROM r GROUP BY video_id, event_no"""
+
+
+@query(_events_sql("list_dot_product(r.m, f.z)", "z"))
 def w07_segment_events_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.segment_events(_keyframes(spark, sf_dir))
 
 
-@query()
+@query(_events_sql("list_cosine_similarity(r.m, f.z)", "list_transform(range(1, len(z) + 1), lambda k: m[k] + z[k])"))
 def w08_segment_events_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.segment_events(_keyframes(spark, sf_dir), centroid=True)
 
