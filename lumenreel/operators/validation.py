@@ -59,13 +59,27 @@ def map_table_issues(maps: DataFrame, counts: DataFrame) -> DataFrame:
     return j.select("video_id", F.concat_ws(",", found).alias("issues"), F.when(F.size(found) == 0, "PASS").otherwise("FAIL").alias("status"))
 
 
-def asr_violations(segments: DataFrame) -> DataFrame:
-    """segments: video_id, segment_id, start_seconds, end_seconds, text."""
-    many = F.count(F.lit(1)).over(Window.partitionBy("video_id", "segment_id"))
-    return violations(
-        segments.withColumn("_many", many), ["video_id", "segment_id"],
-        {"duplicate_segment": F.col("_many") > 1, "empty_text": F.trim("text") == "", "bad_range": F.col("end_seconds") < F.col("start_seconds"), "negative_start": F.col("start_seconds") < 0},
-    )
+def check_transcripts(rows: DataFrame) -> DataFrame:
+    """rows: line, video_id, position, segment_id, segment_video_id, text, start_seconds, end_seconds; a record (line)
+    without segments is one row without position. Adds rule, the first that a row breaks; null if it is good.
+
+    Of records of one video the one of the least line counts. Of segments of one id, among records that count, the first
+    by line and position does, even if it breaks a later rule. A segment that names no video is its record's.
+    """
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    first_line = rows.where(~blank("video_id")).groupBy("video_id").agg(F.min("line").alias("_first_line"))
+    d = rows.join(first_line, "video_id", "left")
+    counts = ~blank("video_id") & (F.col("line") == F.col("_first_line"))
+    place = F.struct("line", "position")
+    first_place = d.where(counts & ~blank("segment_id")).groupBy("segment_id").agg(F.min(place).alias("_first_place"))
+    d = d.join(first_place, "segment_id", "left")
+    rules = {
+        "missing_video": blank("video_id"), "duplicate_video": ~counts, "": F.col("position").isNull(), "missing_segment": blank("segment_id"), "duplicate_segment": place != F.col("_first_place"),
+        "other_video": ~blank("segment_video_id") & (F.trim(F.col("segment_video_id").cast("string")) != F.trim(F.col("video_id").cast("string"))), "empty_text": blank("text"),
+        "no_time": F.col("start_seconds").isNull() | F.col("end_seconds").isNull(), "bad_range": (F.col("start_seconds") < 0) | (F.col("end_seconds") < F.col("start_seconds")),
+    }
+    rule = F.coalesce(*(F.when(broken, name) for name, broken in rules.items()))
+    return d.select(*rows.columns, F.nullif(rule, F.lit("")).alias("rule"))
 
 
 def submission_violations(rows: DataFrame) -> DataFrame:

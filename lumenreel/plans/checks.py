@@ -70,14 +70,29 @@ def v09_validate_map_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.map_table_issues(m, f.groupBy("video_id").agg(F.count(F.lit(1)).alias("frames")))
 
 
+_TURNS = """turns AS (SELECT conv_id AS line, CAST(conv_id % 97 AS VARCHAR) AS video_id, turn AS position,
+      CASE WHEN turn % 7 <> 6 THEN concat(conv_id // 2, ':', turn % 5) END AS segment_id,
+      CASE WHEN role = 'system' THEN 'x' WHEN turn % 2 = 1 THEN CAST(conv_id % 97 AS VARCHAR) END AS segment_video_id, CASE WHEN turn % 4 = 3 THEN ' ' ELSE text END AS text,
+      CASE WHEN length(text) % 5 > 0 THEN CAST(turn * 10 - length(text) % 3 AS DOUBLE) END AS start_seconds, CAST(turn * 10 + length(text) % 4 - 1 AS DOUBLE) AS end_seconds FROM conversations)"""
+
+
 @query(
-    f"""WITH {v.SEGMENTS}, s AS (SELECT *, count(*) OVER (PARTITION BY video_id, segment_id % 3) AS n FROM segments)
-    SELECT video_id, segment_id % 3 AS segment_id, unnest(list_filter([CASE WHEN n > 1 THEN 'duplicate_segment' END, CASE WHEN trim(text) = '' THEN 'empty_text' END, CASE WHEN role = 'system' THEN 'bad_range' END, CASE WHEN segment_id = 0 THEN 'negative_start' END], lambda x: x IS NOT NULL)) AS rule FROM s"""
+    f"""WITH {_TURNS}, l AS (SELECT *, min(line) OVER (PARTITION BY video_id) AS first_line FROM turns),
+    p AS (SELECT line, min(position) AS position, segment_id FROM l WHERE line = first_line AND segment_id IS NOT NULL GROUP BY line, segment_id),
+    q AS (SELECT segment_id, min(struct_pack(l := line, p := position)) AS first_place FROM p GROUP BY 1)
+    SELECT line, position, CASE WHEN line > first_line THEN 'duplicate_video' WHEN segment_id IS NULL THEN 'missing_segment'
+      WHEN struct_pack(l := line, p := position) <> first_place THEN 'duplicate_segment' WHEN segment_video_id = 'x' THEN 'other_video' WHEN trim(text) = '' THEN 'empty_text'
+      WHEN start_seconds IS NULL THEN 'no_time' WHEN start_seconds < 0 OR end_seconds < start_seconds THEN 'bad_range' END AS rule FROM l LEFT JOIN q USING (segment_id)"""
 )
 def v10_validate_asr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = v.segments(spark, sf_dir)
-    end = F.when(F.col("role") == "system", F.col("start_seconds") - 5).otherwise(F.col("end_seconds"))
-    return c.asr_violations(s.select("video_id", (F.col("segment_id") % 3).alias("segment_id"), (F.col("start_seconds") - 1).alias("start_seconds"), end.alias("end_seconds"), "text"))
+    """Conversations as records of 97 videos, with every fault; two records share segment ids."""
+    turn, n, video = F.col("turn"), F.length("text"), (F.col("conv_id") % 97).cast("string")
+    rows = v.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("line"), video.alias("video_id"), turn.alias("position"),
+        F.when(turn % 7 != 6, F.concat(F.floor(F.col("conv_id") / 2), F.lit(":"), turn % 5)).alias("segment_id"), F.when(F.col("role") == "system", "x").when(turn % 2 == 1, video).alias("segment_video_id"),
+        F.when(turn % 4 == 3, " ").otherwise(F.col("text")).alias("text"), F.when(n % 5 > 0, (turn * 10 - n % 3).cast("double")).alias("start_seconds"), (turn * 10 + n % 4 - 1).cast("double").alias("end_seconds"),
+    )
+    return c.check_transcripts(rows).select("line", "position", "rule")
 
 
 _SUB = """sub AS (SELECT 'q' || CAST(l_suppkey AS VARCHAR) AS query_name, CASE l_suppkey % 3 WHEN 0 THEN 'KIS' WHEN 1 THEN 'QA' ELSE 'TRAKE' END AS query_type, l_orderkey % 120 AS rank,

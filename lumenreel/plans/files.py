@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenreel.functions import queries as fq
 from lumenreel.functions.text import fold_text
 from lumenreel.operators import hooks
+from lumenreel.operators import joins as j
 from lumenreel.operators import ranking as r
 from lumenreel.plans import views as v
 from lumenreel.plans.common import register
@@ -20,6 +21,22 @@ SQL: dict[str, str] = {}
 query = register(QUERIES, SQL)
 
 
+@query(
+    """SELECT 'L' || (l_suppkey % 30) AS video_id, l_partkey AS start_frame, l_partkey + CAST(l_quantity AS BIGINT) AS end_frame, CASE WHEN l_linenumber <> 3 THEN l_partkey + 1 END AS frame_idx,
+    'f' || l_orderkey || '.jpg' AS image_name, CASE WHEN l_linenumber <> 4 THEN 25.0::DOUBLE END AS fps FROM lineitem"""
+)
+def s01_read_shot_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items written as a manifest and read back: a third of its rows names the video, a third its file, a third only the folder."""
+    path = shared_path(spark, "shots")
+    k, video = F.col("l_orderkey") % 3, F.concat(F.lit("L"), F.col("l_suppkey") % 30)
+    v.table(spark, sf_dir, "lineitem").select(
+        F.when(k == 0, video).alias("video_id"), F.when(k == 1, F.concat(F.lit("raw/"), video, F.lit(".mp4"))).alias("video_name"), F.col("l_partkey").alias("start_frame"),
+        (F.col("l_partkey") + F.col("l_quantity").cast("long")).cast("double").alias("shot_end_frame"), F.when(F.col("l_linenumber") == 3, "none").otherwise((F.col("l_partkey") + 1).cast("string")).alias("frame_idx"),
+        F.concat(F.lit("shots/"), video, F.lit("/f"), "l_orderkey", F.lit(".jpg")).alias("image_rel_path"), F.when(F.col("l_linenumber") != 4, 25.0).alias("fps"),
+    ).write.option("header", True).csv(path)
+    return s.read_shots(spark, path)
+
+
 @query(f"WITH {v.FRAMES} SELECT CAST(video_id AS VARCHAR) AS video_id, frame_idx, keyframe_id AS n FROM frames")
 def s02_read_map_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames written as one CSV for each video and read back."""
@@ -51,6 +68,24 @@ def s04_read_asr_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.transcript_segments(videos)
 
 
+@query(
+    """WITH e AS (SELECT label, vec_id, CASE WHEN label % 4 = 1 AND vec_id % 3 = 0 THEN embedding[1:63] WHEN label % 4 = 2 AND vec_id % 5 = 0 THEN NULL ELSE embedding END AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings),
+    m AS (SELECT label FROM e GROUP BY 1 HAVING min(coalesce(len(x), 0)) > 0 AND min(len(x)) = max(len(x)))
+    SELECT label AS video_id, i AS "index", vec_id AS keyframe_id, len(x) AS dims, CAST(x[1] AS DOUBLE) AS first FROM e JOIN m USING (label)"""
+)
+def s05_read_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written by video and read back; videos whose vectors make no matrix are rejected, the rest join their map."""
+    path = shared_path(spark, "vectors")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    e = v.table(spark, sf_dir, "embeddings").withColumn("n", place.cast("long"))
+    short = (F.col("label") % 4 == 1) & (F.col("vec_id") % 3 == 0)
+    x = F.when(short, F.slice("embedding", 1, 63)).when((F.col("label") % 4 == 2) & (F.col("vec_id") % 5 == 0), F.lit(None)).otherwise(F.col("embedding"))
+    e.select(F.col("label").alias("video_id"), (F.col("n") - 1).alias("index"), x.alias("embedding")).write.partitionBy("video_id").parquet(path)
+    good, _ = s.vector_matrices(spark.read.schema("index long, embedding array<float>, video_id int").parquet(path))
+    matched, _ = j.ordinal_to_frame(good, e.select(F.col("label").alias("video_id"), "n", F.col("vec_id").alias("keyframe_id")))
+    return matched.select("video_id", "index", "keyframe_id", F.size("embedding").cast("long").alias("dims"), F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
 @query(f"WITH {v.OBJECTS} SELECT object_key, size, CASE WHEN regexp_matches(object_key, '\\.[^./]+$') AND contains(object_key, '/') THEN regexp_extract(regexp_extract(lower(object_key), '[^/]*$'), '\\.([^.]+)$', 1) ELSE '' END AS extension, len(string_split(object_key, '/')) AS depth, regexp_extract(object_key, '^(.*)/[^/]*$', 1) AS parent FROM objects WHERE regexp_matches(lower(object_key), 'example\\.(com|net)') AND NOT regexp_matches(lower(object_key), '^blog')")
 def s06_list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = v.objects(spark, sf_dir).select("object_key", "size")
@@ -108,11 +143,47 @@ def s12_latest_successful_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.latest_successful_run(o.select((F.col("o_custkey") % 50).alias("batch"), F.col("o_orderpriority").alias("run"), name.alias("name"), F.col("o_orderkey").alias("updated")))
 
 
+@query(
+    """SELECT DISTINCT 'b' || (o_custkey % 200) || '/' || k || '.jsonl' AS path FROM (SELECT o_custkey, unnest(CASE o_orderkey % 5 WHEN 0 THEN ['a'] WHEN 1 THEN ['b'] WHEN 2 THEN ['c', 'd'] WHEN 3 THEN ['e', 'f'] ELSE [] END) AS k FROM orders)"""
+)
+def s13_resolve_artifact_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pointer documents of five forms; one form names no .jsonl file, and one isn't JSON."""
+    at = lambda k: F.concat(F.lit("b"), F.col("o_custkey") % 200, F.lit(f"/{k}.jsonl"))
+    form = F.col("o_orderkey") % 5
+    document = (
+        F.when(form == 0, F.to_json(F.struct(at("a").alias("annotations_uri"), F.lit("a.csv").alias("gcs_annotations"))))
+        .when(form == 1, F.to_json(F.struct(F.struct(at("b").alias("gcs_annotations")).alias("outputs"), F.lit(3).alias("artifacts"))))
+        .when(form == 2, F.to_json(F.struct(F.array(at("c"), F.concat(F.lit(" "), at("d"), F.lit(" ")), F.lit("x.json")).alias("artifacts"))))
+        .when(form == 3, F.to_json(F.struct(F.array(F.struct(at("e").alias("uri")), F.struct(at("f").alias("uri"))).alias("import_artifacts"), F.lit("none").alias("outputs"))))
+        .otherwise(at("g"))
+    )
+    return s.artifact_paths(v.table(spark, sf_dir, "orders").select(document.alias("value")))
+
+
 @query(f"WITH {_SUB} SELECT query_name, rank, video_code || ',' || array_to_string(frames, ',') || CASE WHEN query_type = 'QA' THEN ',' || coalesce(answer, '') ELSE '' END AS line FROM sub")
 def s14_write_submission_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.submission_lines(submissions(spark, sf_dir))
 
 
+@query(
+    """WITH c AS (SELECT c_custkey, c_custkey % 3 AS k, list_sort(list(o_orderkey)) AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
+    t AS (SELECT *, list_filter(o, lambda x: x IS NOT NULL) AS t FROM c)
+    SELECT 'q' || CASE k WHEN 0 THEN 'KIS' WHEN 1 THEN 'qa' ELSE 'trake' END || '_' || c_custkey AS query_id, CASE k WHEN 0 THEN 'KIS' WHEN 1 THEN 'QA' ELSE 'TRAKE' END AS kind,
+    CAST(i AS INTEGER) AS target, CASE WHEN i IS NOT NULL THEN 'L' || (t[i] % 30) || '_V' END AS video, CASE WHEN i IS NOT NULL THEN t[i] END AS frame
+    FROM (SELECT *, unnest(CASE WHEN len(t) > 0 THEN range(1, len(t) + 1) ELSE [NULL] END) AS i FROM t)"""
+)
+def s16_read_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as queries whose orders are the targets, one a line; the file is read back. Customers without orders have none."""
+    path = shared_path(spark, "truth")
+    k = F.col("c_custkey") % 3
+    name = F.concat(F.lit("q"), F.when(k == 0, "KIS").when(k == 1, "qa").otherwise("trake"), F.lit("_"), "c_custkey")
+    lines = F.transform(F.sort_array("o"), lambda o: F.concat(F.lit("l"), o % 30, F.lit("_v, "), o))
+    orders = v.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list("o_orderkey").alias("o"))
+    asked = v.table(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
+    asked.select(name.alias("Query_ID"), F.array_join(lines, "\n").alias("Answer")).write.option("header", True).option("escape", '"').csv(path)
+    return s.read_ground_truth(spark, path)
+
+
 def written_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as submission rows of twelve queries, by turns of each kind; answers are numbers, quoted words, lines or blank."""
     k = F.col("s_suppkey")

@@ -20,13 +20,19 @@ def _first_of(df: DataFrame, names: list[str], kind: str) -> Column:
 
 
 def read_shots(spark: SparkSession, path: str) -> DataFrame:
-    """CSV shot manifests with header; alternative column names, a byte-order mark and bad numbers are tolerated."""
+    """CSV shot manifests with header; alternative column names, a byte-order mark and bad numbers are tolerated.
+
+    A row that names no video takes it from the video's file name, else from the folder of its image.
+    """
     raw = spark.read.option("header", True).csv(path)
     raw = raw.toDF(*(c.replace(_BOM, "").strip() for c in raw.columns))
     whole = lambda names: _first_of(raw, names, "double").cast("long")
+    parts = F.split(_first_of(raw, ["image_path", "image_rel_path", "image_name", "image_storage_key", "image_uri"], "string"), "/")
+    name = F.regexp_replace(F.element_at(F.split(_first_of(raw, ["video_name"], "string"), "/"), -1), r"(?<=.)\.[^.]*$", "")
+    video = F.coalesce(_first_of(raw, ["video_id", "video"], "string"), name, F.get(parts, F.size(parts) - 2))
     return raw.select(
-        _first_of(raw, ["video_id", "video"], "string").alias("video_id"), whole(["shot_start_frame", "start_frame"]).alias("start_frame"), whole(["shot_end_frame", "end_frame"]).alias("end_frame"),
-        whole(["frame_idx", "frame"]).alias("frame_idx"), F.element_at(F.split(_first_of(raw, ["image_rel_path", "image_path"], "string"), "/"), -1).alias("image_name"), _first_of(raw, ["fps"], "double").alias("fps"),
+        video.alias("video_id"), whole(["shot_start_frame", "start_frame"]).alias("start_frame"), whole(["shot_end_frame", "end_frame"]).alias("end_frame"),
+        whole(["frame_idx", "frame"]).alias("frame_idx"), F.element_at(parts, -1).alias("image_name"), _first_of(raw, ["fps"], "double").alias("fps"),
     )
 
 
@@ -74,6 +80,21 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(parse, "video_id string, index long, embedding array<float>")
 
 
+def vector_matrices(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vectors: video_id, index, embedding. The rows of videos whose vectors make a matrix, and the other videos with a reason.
+
+    A matrix has no missing vector, one length above zero, and each index from 0 to one less than its rows once.
+    """
+    size = F.coalesce(F.size("embedding"), F.lit(0))
+    shape = vectors.groupBy("video_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(size).alias("least"), F.max(size).alias("most"), F.countDistinct("index").alias("places"), F.min("index").alias("first"), F.max("index").alias("last")
+    )
+    places = (F.col("places") != F.col("rows")) | (F.col("first") != 0) | (F.col("last") != F.col("rows") - 1)
+    reason = F.when(F.col("least") < 1, "vector missing").when(F.col("least") != F.col("most"), "lengths differ").when(F.coalesce(places, F.lit(True)), "index gaps")
+    judged = shape.select("video_id", "rows", reason.alias("reason"))
+    return vectors.join(judged.where("reason is null").select("video_id"), "video_id", "left_semi"), judged.where("reason is not null")
+
+
 def list_objects(spark: SparkSession, path: str, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """Names, sizes and times of all files below path; contents aren't read. Filters are patterns on the lower-case key."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("object_key"), F.col("length").alias("size"), F.col("modificationTime").alias("updated"))
@@ -133,13 +154,29 @@ def latest_successful_run(objects: DataFrame, data_name: str = "data.csv") -> Da
     return runs.where("done = 1 and data = 1").groupBy("batch").agg(F.max_by("run", F.struct("updated", "run")).alias("run"))
 
 
+#: Fields of a pointer document that name annotation files: fixed values of its format.
+_POINTER_FIELDS = ("annotations_uri", "recommended_import_annotations_uri", "gcs_annotations")
+_POINTER_LISTS = ("artifacts", "import_artifacts")
+_ITEM_FIELDS = ("uri", "annotations_uri", "gcs_annotations")
+
+
 def artifact_paths(pointers: DataFrame) -> DataFrame:
-    """pointers: value, a JSON document that names parts under one of several fields. Distinct paths of .jsonl files."""
-    doc = F.from_json("value", "path string, uri string, parts array<string>, artifacts array<struct<path:string,uri:string>>")
-    d = pointers.select(doc.alias("d"))
-    more = F.coalesce(F.transform("d.artifacts", lambda a: F.coalesce(a["path"], a["uri"])), F.array().cast("array<string>"))
-    every = F.concat(F.array("d.path", "d.uri"), F.coalesce("d.parts", F.array().cast("array<string>")), more)
-    return d.select(F.explode(every).alias("path")).where("path like '%.jsonl'").distinct()
+    """pointers: value, a JSON document that names parts under one of several fields, in `outputs`, or in lists of texts
+    or objects. Distinct paths of .jsonl files.
+
+    Nested values are read as text first, so that one of another kind than expected hides nothing beside it. Values
+    that are no JSON object name nothing.
+    """
+    names = (*_POINTER_FIELDS, "outputs", *_POINTER_LISTS)
+    doc = pointers.select(F.from_json("value", ", ".join(f"{n} string" for n in names)).alias("d"))
+    nested = F.from_json("d.outputs", "gcs_annotations string")["gcs_annotations"]
+    found = F.array(*(F.col(f"d.{n}") for n in _POINTER_FIELDS), nested)
+    for name in _POINTER_LISTS:
+        items = F.when(F.col(f"d.{name}").startswith("["), F.from_json(f"d.{name}", "array<string>"))
+        objects = F.transform(items, lambda x: F.when(x.startswith("{"), F.from_json(x, ", ".join(f"{n} string" for n in _ITEM_FIELDS))))
+        own = F.flatten(F.transform(objects, lambda o: F.array(*(o[n] for n in _ITEM_FIELDS))))
+        found = F.concat(found, *(F.coalesce(c, F.array().cast("array<string>")) for c in (items, own)))
+    return doc.select(F.explode(F.transform(found, lambda x: F.trim(x))).alias("path")).where(F.col("path").endswith(".jsonl") & ~F.col("path").startswith("{")).distinct()
 
 
 def _csv_cell(c: Column) -> Column:
@@ -207,13 +244,23 @@ def read_submissions(spark: SparkSession, path: str, kinds: DataFrame | None = N
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with answers over several lines: query_id, kind, and one row for each video,frame pair of an answer."""
+    """CSV with answers over several lines: query_id, kind, target (from 1), video and frame of each target.
+
+    The query is in `query_id` or `original query id`. Its targets are the video,frame pairs of `answer`, or the one of
+    `gt video id` and `gt frame id`; without any it is one row with nulls. The kind is `task type`, else what the id
+    says. A file without these columns is an error.
+    """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     raw = raw.toDF(*(c.replace(_BOM, "").strip().lower() for c in raw.columns))
-    pairs = F.regexp_extract_all("answer", F.lit(r"([A-Za-z0-9_]+)\s*,\s*\d+"), F.lit(1))
-    frames = F.regexp_extract_all("answer", F.lit(r"[A-Za-z0-9_]+\s*,\s*(\d+)"), F.lit(1))
-    kind = F.upper(F.regexp_extract(F.lower("query_id"), r"(kis|qa|trake)", 1))
-    return raw.select("query_id", kind.alias("kind"), F.posexplode(F.arrays_zip(pairs.alias("video"), frames.alias("frame"))).alias("i", "t")).select("query_id", "kind", (F.col("i") + 1).alias("target"), F.col("t.video").alias("video"), F.col("t.frame").cast("long").alias("frame"))
+    one = {"gt video id", "gt frame id"} <= set(raw.columns)
+    if not {"query_id", "original query id"} & set(raw.columns) or not (one or "answer" in raw.columns):
+        raise ValueError(f"no query or no targets among the columns {raw.columns}")
+    query = _first_of(raw, ["query_id", "original query id"], "string")
+    answer = F.concat_ws(",", "gt video id", "gt frame id") if one else F.col("answer")
+    pair = lambda k: F.regexp_extract_all(answer, F.lit(r"([A-Za-z0-9_]+)\s*,\s*(\d+)"), F.lit(k))
+    kind = F.upper(F.coalesce(_first_of(raw, ["task type"], "string"), F.regexp_extract(F.lower(query), r"(kis|qa|trake)", 1)))
+    each = raw.select(query.alias("query_id"), kind.alias("kind"), F.posexplode_outer(F.arrays_zip(pair(1).alias("video"), pair(2).alias("frame"))).alias("i", "t"))
+    return each.select("query_id", "kind", (F.col("i") + 1).alias("target"), F.upper("t.video").alias("video"), F.col("t.frame").cast("long").alias("frame"))
 
 
 def publish(current: DataFrame, existing: DataFrame, key: str) -> DataFrame:
