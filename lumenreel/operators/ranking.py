@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenreel.functions.text import tokenize
+from lumenreel.sources.scratch import shared_path
 
 #: Query vectors that one task multiplies with its rows at a time.
 QUERY_BLOCK = 1_024
@@ -36,17 +37,31 @@ def cosine_blocks(vectors: DataFrame, queries: DataFrame, keep: Callable, schema
     a block of each, without the vectors, and the cosines (one row a query), and returns the columns of schema. Null
     and zero vectors take no part, and only vectors of one length meet; no block has more than about QUERY_BLOCK
     queries or VECTOR_BLOCK vectors, however many have one label.
+
+    No row waits for all others of its length: a row is copied for each block of the other side and goes straight to
+    the pair of blocks it is part of, so the keys of the shuffle are pairs of blocks. With R blocks of rows and Q of
+    queries that sends R * Q blocks of each, as a product must; only counts of blocks are joined by length.
     """
     key = [*(same or []), "_dim"]
-    sides = []
+    sides, counts = [], []
     for df, name, vector, size, own in ((vectors, "vec_id", "embedding", VECTOR_BLOCK, "_rows"), (queries, "query_id", "query", QUERY_BLOCK, "_asked")):
         one = df.select(name, vector, "label").where(F.exists(vector, lambda x: x != 0)).withColumn("_dim", F.size(vector))
-        blocks = one.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
-        dealt = one.join(blocks, key).withColumn(f"{own}_block", F.pmod(F.xxhash64(name), F.col("_n")))
-        sides.append(dealt.groupBy(*key, f"{own}_block").agg(F.collect_list(F.struct(F.col(name).alias("id"), F.col(vector).alias("x"), "label")).alias(own)))
-    pairs = sides[0].join(sides[1], key)
-    parts = max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pairs.repartition(parts, *key, "_rows_block", "_asked_block").select("_rows", "_asked")
+        counts.append(one.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).alias(f"_n{own}")))
+        sides.append((one, name, vector, own))
+    # One row a length (and value of `same`): how many blocks each side has there; none where a side has no row. Counted
+    # once and stored; sent to the rows if they are few, else joined by hash, where Spark splits hot keys at run time.
+    path = shared_path(vectors.sparkSession, "blocks")
+    counts[0].join(counts[1], key).write.parquet(path)
+    numbers = _sent(vectors.sparkSession.read.parquet(path))
+    pairs = [*key, "_rows_block", "_asked_block"]
+    gathered = []
+    for one, name, vector, own in sides:
+        other = "_asked" if own == "_rows" else "_rows"
+        dealt = one.join(numbers, key).withColumn(f"{own}_block", F.pmod(F.xxhash64(name), F.col(f"_n{own}")))
+        copied = dealt.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_n{other}") - 1)))
+        entry = F.struct(F.col(name).alias("id"), F.col(vector).alias("x"), "label")
+        gathered.append(copied.groupBy(*pairs).agg(F.collect_list(entry).alias(own)))
+    dealt = gathered[0].join(gathered[1], pairs).select("_rows", "_asked")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,6 +117,26 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def filter_by_code(names: DataFrame, codes: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """names: video; codes: code. Names equal to a code; a code equal to none finds the names that contain it, in any case.
+
+    The codes left for the second step are counted: up to `most` are sent to the names. More meet them by trigrams: a
+    name holds every trigram of a code it contains, so the two share the code's first one; codes of fewer than three
+    characters, of which there are few, go by their whole text.
+    """
+    codes, names = codes.select("code").where("code is not null").distinct(), names.select("video").where("video is not null").distinct()
+    exact = codes.join(names, F.col("code") == F.col("video"))
+    rest = codes.join(exact.select("code"), "code", "left_anti")
+    within = F.lower("video").contains(F.lower("code"))
+    if rest.count() <= most:
+        return exact.unionByName(names.join(F.broadcast(rest), within).select("code", "video"))
+    low = F.lower("video")
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))
+    every = F.flatten(F.array(*(F.when(F.length(low) >= n, parts(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3))))
+    keyed = names.select("video", F.explode(F.array_distinct(F.concat(every, F.array(F.lit(""))))).alias("_part"))
+    return exact.unionByName(rest.withColumn("_part", F.substring(F.lower("code"), 1, 3)).join(keyed, "_part").where(within).select("code", "video"))
+
+
 def overlap_scores(docs: DataFrame, queries: DataFrame, doc_keys: list[str]) -> DataFrame:
     """Shared token counts over both lengths (L2): query_id, doc_keys and score; pairs that share no token are left out.
 

@@ -384,9 +384,7 @@ def p18_filter_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = v.table(spark, sf_dir, "part")
     names = p.select(F.col("p_name").alias("video")).union(p.select("p_brand")).distinct()
     codes = spark.createDataFrame([(c,) for c in ("Brand#1", "ring", "Brand#17", "nothing", "blue bolt")], "code string")
-    exact = codes.join(names, codes["code"] == names["video"])
-    rest = F.broadcast(codes.join(exact.select("code"), "code", "left_anti"))
-    return exact.unionByName(names.join(rest, F.lower("video").contains(F.lower("code"))).select("code", "video"))
+    return r.filter_by_code(names, codes)
 
 
 @query(f"WITH {v.FRAMES} SELECT video_id, list(DISTINCT lower(event_type) ORDER BY lower(event_type)) AS objects FROM frames GROUP BY 1")
