@@ -46,9 +46,9 @@ def align_interval(segments: DataFrame, frames: DataFrame, pad_ms: int = 1_000,
     segment = ["video_id", "segment_id"]
     nearest = Window.partitionBy(*segment).orderBy(F.abs(F.col("timestamp_ms") - F.col("middle")), "frame_idx")
     chosen = inside.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= most)
-    bare = s.join(inside.select(*segment).distinct(), segment, "left_anti").join(frames, "video_id")
-    key = F.struct(F.abs(F.col("timestamp_ms") - F.col("middle")).alias("d"), "frame_idx")
-    lone = bare.groupBy(*segment).agg(F.min_by("keyframe_id", key).alias("keyframe_id"), F.min_by("frame_idx", key).alias("frame_idx"))
+    bare = s.join(inside.select(*segment).distinct(), segment, "left_anti")
+    lone = around(bare.select(F.col("segment_id").alias("request_id"), "video_id", F.col("middle").alias("at")), frames, bucket_ms)
+    lone = lone.select("video_id", F.col("request_id").alias("segment_id"), "nearest.keyframe_id", "nearest.frame_idx")
     columns = [*segment, "keyframe_id", "frame_idx"]
     return chosen.select(*columns, F.lit(True).alias("covered")).unionByName(lone.select(*columns, F.lit(False).alias("covered")))
 
@@ -77,17 +77,60 @@ def frame_context(anchors: DataFrame, frames: DataFrame, around: int) -> DataFra
     return near.join(placed, ["video_id", "position"]).select("anchor_id", "video_id", "keyframe_id", "frame_idx", (F.col("position") - F.col("at")).alias("step"))
 
 
-def seek_frame(requests: DataFrame, frames: DataFrame) -> DataFrame:
+def around(requests: DataFrame, frames: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+    """requests: request_id, video_id, at (time in ms); frames: video_id, keyframe_id, frame_idx, timestamp_ms.
+
+    Adds nearest (distance, frame_idx, keyframe_id; ties: lower index), next_id and previous_id (strictly later and
+    earlier). Requests without time, or whose video has no frame with a time, are left out.
+
+    No request meets the frames of its video: both are put in order of time within a video's time buckets, and what
+    lies beyond a bucket's edge is its neighbours' last or first frame, so a long video is many keys.
+    """
+    bucket = F.floor(F.col("t") / bucket_ms)
+    entry = F.struct("frame_idx", "keyframe_id")
+    f = frames.where("timestamp_ms is not null").groupBy("video_id", F.col("timestamp_ms").cast("double").alias("t")).agg(F.min(entry).alias("low"), F.max(entry).alias("high"))
+    f = f.withColumn("bucket", bucket).withColumn("p", F.struct("t", "low", "high"))
+    within = Window.partitionBy("video_id", "bucket")
+    f = f.withColumn("s", F.struct("p", F.lag("p").over(within.orderBy("t")).alias("before")))
+    r = requests.where("at is not null").withColumn("t", F.col("at").cast("double")).select("video_id", "t", bucket.alias("bucket"), F.struct("request_id", "at").alias("r"))
+    rows = f.select("video_id", "t", "bucket", "s").unionByName(r, allowMissingColumns=True)
+    # At one time a request comes after the frame in rising order, and before it in falling order.
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.col("r").isNotNull()
+    rising, falling = so_far(within.orderBy("t", asked)), so_far(within.orderBy(F.desc("t"), ~asked))
+    placed = rows.withColumns({"upto": F.last("s", ignorenulls=True).over(rising), "later": F.last("s.p", ignorenulls=True).over(falling)}).where(asked)
+    ends = rows.groupBy("video_id", "bucket").agg(F.min("s.p").alias("first"), F.max("s.p").alias("last"))  # one row a bucket
+    by_bucket = Window.partitionBy("video_id")
+    beside = ends.select(
+        "video_id", "bucket", F.last("last", ignorenulls=True).over(so_far(by_bucket.orderBy("bucket"))).alias("left"),
+        F.last("first", ignorenulls=True).over(so_far(by_bucket.orderBy(F.desc("bucket")))).alias("right"),
+    )
+    d = placed.join(beside, ["video_id", "bucket"])
+    same = F.coalesce(F.col("upto.p.t") == F.col("t"), F.lit(False))
+    d = d.select(
+        "video_id", "t", "r", F.when(same, F.col("upto.p")).alias("same"), F.coalesce(F.when(same, F.col("upto.before")).otherwise(F.col("upto.p")), "left").alias("earlier"),
+        F.coalesce("later", "right").alias("later"),
+    )
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("t")).alias("distance"), f"{c}.low.frame_idx", f"{c}.low.keyframe_id"))
+    nearest = F.array_min(F.array_compact(F.array(near("same"), near("earlier"), near("later"))))
+    return d.select("r.request_id", "video_id", "r.at", nearest.alias("nearest"), F.col("later.low.keyframe_id").alias("next_id"), F.col("earlier.high.keyframe_id").alias("previous_id")).where("nearest is not null")
+
+
+def seek_frame(requests: DataFrame, frames: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
     """requests: request_id, video_id, timestamp_ms. The nearest frame (ties: lower index), the next and the one before."""
-    p = requests.withColumnRenamed("timestamp_ms", "at").join(frames, "video_id")
-    d = F.struct(F.abs(F.col("timestamp_ms") - F.col("at")).alias("d"), "frame_idx")
-    later, earlier = F.col("timestamp_ms") > F.col("at"), F.col("timestamp_ms") < F.col("at")
-    key = F.struct("timestamp_ms", "frame_idx")
-    return p.groupBy("request_id").agg(
-        F.min_by("keyframe_id", d).alias("nearest_id"),
-        F.min_by(F.when(later, F.col("keyframe_id")), F.when(later, key)).alias("next_id"),
-        F.max_by(F.when(earlier, F.col("keyframe_id")), F.when(earlier, key)).alias("previous_id"),
-    )
+    found = around(requests.withColumnRenamed("timestamp_ms", "at"), frames, bucket_ms)
+    return found.select("request_id", F.col("nearest.keyframe_id").alias("nearest_id"), "next_id", "previous_id")
+
+
+def nearest_between(gaps: DataFrame, frames: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+    """gaps: request_id, video_id, a, b. The frame strictly between both times that is nearest to their middle, if any.
+
+    The nearest of all frames is between them, or none is.
+    """
+    half = (F.col("b") - F.col("a")) / 2
+    asked = gaps.select(F.struct("request_id", half.alias("half")).alias("request_id"), "video_id", ((F.col("a") + F.col("b")) / 2).alias("at"))
+    found = around(asked, frames, bucket_ms).where(F.col("nearest.distance") < F.col("request_id.half"))
+    return found.select("request_id.request_id", "video_id", "nearest.keyframe_id", "nearest.frame_idx")
 
 
 def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

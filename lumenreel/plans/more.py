@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import queries as fq
 from lumenreel.functions.text import tokenize
+from lumenreel.operators import joins as j
 from lumenreel.operators import expansion
 from lumenreel.operators import hooks
 from lumenreel.operators import ranking as r
@@ -87,11 +88,11 @@ def q12_video_first_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j11_nearest_to_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Between the last frame of the first event and the first of the third: the frame nearest to the middle, unscored."""
-    c, f = v.candidates(spark, sf_dir), v.frames(spark, sf_dir).select("video_id", F.col("keyframe_id"), "frame_idx", F.col("timestamp_ms").alias("t"))
+    c, f = v.candidates(spark, sf_dir), v.frames(spark, sf_dir).select("video_id", "keyframe_id", "frame_idx", "timestamp_ms")
     key = ["query_id", "video_id"]
     gaps = c.where("event_index = 1").groupBy(*key).agg(F.max("timestamp_ms").alias("a")).join(c.where("event_index = 3").groupBy(*key).agg(F.min("timestamp_ms").alias("b")), key).where("a < b")
-    inside = gaps.join(f, "video_id").where("t > a and t < b")
-    return inside.groupBy(*key).agg(F.min_by("keyframe_id", F.struct(F.abs(F.col("t") - (F.col("a") + F.col("b")) / 2).alias("d"), "frame_idx")).alias("keyframe_id"))
+    found = j.nearest_between(gaps.select(F.struct(*key).alias("request_id"), "video_id", "a", "b"), f)
+    return found.select("request_id.query_id", "video_id", "keyframe_id")
 
 
 @query("WITH p AS (SELECT o_orderpriority AS stage, count(*) AS rows, count(DISTINCT o_custkey % 40) AS shards, count_if(o_orderstatus = 'F')::BIGINT AS segments FROM orders GROUP BY 1) SELECT stage, rows, shards, shards = 40 AND (stage <> '5-LOW' OR segments > 0) AS ok FROM p")
