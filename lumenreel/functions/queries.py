@@ -22,7 +22,7 @@ LEXICAL_SIGNS = ("noi", "hoi", "ten", "cau tho", "tieu de", "cong thuc")
 YEAR = r"\b(?:19|20)\d{2}\b"
 
 
-def _any_of(terms: tuple[str, ...]) -> str:
+def any_of(terms: tuple[str, ...]) -> str:
     return r"\b(?:" + "|".join(terms) + r")\b"
 
 
@@ -30,7 +30,7 @@ def text_evidence(query: Column, folded: Column) -> Column:
     """How much a query asks for words: evidence terms, a quotation, a year, and several words with a lexical sign."""
     several = folded.rlike(r"\b[a-z]{2,}(?:\s+[a-z]{2,})+\b") & folded.rlike("|".join(LEXICAL_SIGNS))
     flags = [F.coalesce(query, F.lit("")).rlike("[\"'“”]"), folded.rlike(YEAR), several]
-    return (F.regexp_count(folded, F.lit(_any_of(EVIDENCE_TERMS))) + sum((f.cast("int") for f in flags[1:]), flags[0].cast("int"))).cast("int")
+    return (F.regexp_count(folded, F.lit(any_of(EVIDENCE_TERMS))) + sum((f.cast("int") for f in flags[1:]), flags[0].cast("int"))).cast("int")
 
 
 def strategy(query: Column, folded: Column, kind: Column) -> Column:
@@ -39,7 +39,7 @@ def strategy(query: Column, folded: Column, kind: Column) -> Column:
     w = lambda v, t: F.struct(F.lit(v).alias("visual"), F.lit(t).alias("text"))
     s = lambda a, c, o: F.struct(F.lit(a).alias("asr"), F.lit(c).alias("caption"), F.lit(o).alias("ocr"))
     weights = F.when((kind == "TRAKE") & (n < 2), w(0.78, 0.22)).when(n >= 2, w(0.28, 0.72)).when(n == 1, w(0.45, 0.55)).otherwise(w(0.67, 0.33))
-    sources = F.when(folded.rlike(_any_of(SPEECH_TERMS)), s(0.7, 0.2, 0.1)).when(folded.rlike(_any_of(DISPLAY_TERMS)), s(0.1, 0.2, 0.7)).otherwise(s(0.2, 0.8, 0.0))
+    sources = F.when(folded.rlike(any_of(SPEECH_TERMS)), s(0.7, 0.2, 0.1)).when(folded.rlike(any_of(DISPLAY_TERMS)), s(0.1, 0.2, 0.7)).otherwise(s(0.2, 0.8, 0.0))
     return F.struct(n.alias("evidence"), weights.alias("weights"), sources.alias("sources"))
 
 
@@ -57,7 +57,7 @@ def gate_ocr(sources: Column, folded: Column) -> Column:
     plain = build(F.lit(0.2), F.lit(0.8), F.lit(0.0))
     scaled = F.when(a + c > 0, build(F.round(a / (a + c), 6), F.round(c / (a + c), 6), F.lit(0.0))).otherwise(plain)
     same = build(sources["asr"], sources["caption"], sources["ocr"])
-    return F.when(folded.rlike(_any_of(DISPLAY_TERMS)), same).when(folded.rlike(_any_of(SPEECH_TERMS)), scaled).otherwise(plain)
+    return F.when(folded.rlike(any_of(DISPLAY_TERMS)), same).when(folded.rlike(any_of(SPEECH_TERMS)), scaled).otherwise(plain)
 
 
 def event_importance(events: DataFrame) -> DataFrame:

@@ -67,7 +67,9 @@ def dedupe_variants(values: Column, most: int) -> Column:
 def query_cues(text: Column) -> Column:
     """Quoted spans of up to 80 characters, then codes of capitals and digits; each once."""
     quoted = F.transform(F.regexp_extract_all(text, F.lit("[\"'“”]([^\"'“”]{1,80})[\"'“”]"), F.lit(1)), lambda c: F.trim(c))
-    codes = F.regexp_extract_all(text, F.lit(r"\b([A-Z0-9][A-Z0-9._:/-]+)\b"), F.lit(1))
+    # Java's own word boundary takes letters beyond ASCII for words in some releases only.
+    word = r"[\p{L}\p{N}_]"
+    codes = F.regexp_extract_all(text, F.lit(rf"(?<!{word})([A-Z0-9][A-Z0-9._:/-]+)(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"), F.lit(1))
     return F.array_distinct(F.filter(F.concat(quoted, codes), lambda c: c != ""))
 
 

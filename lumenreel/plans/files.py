@@ -333,12 +333,21 @@ def p11_infer_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", p.alias("p")).select("doc_id", "p.evidence", F.col("p.weights.visual").alias("visual"))
 
 
-@query("SELECT doc_id, CASE lang WHEN 'fr' THEN 0.5 WHEN 'de' THEN 0.0 ELSE 0.0 END::DOUBLE AS ocr, round(CASE lang WHEN 'fr' THEN 0.2 WHEN 'de' THEN 0.2 / 0.5 ELSE 0.2 END::DOUBLE, 6) AS asr FROM documents")
+_FOLDED = "trim(regexp_replace(replace(strip_accents(lower(coalesce(text, ''))), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH q AS (SELECT doc_id, {_FOLDED} || CASE lang WHEN 'fr' THEN ' the title on a sign' WHEN 'de' THEN ' their speech' ELSE ' a red car' END AS q FROM documents),
+    g AS (SELECT doc_id, regexp_matches(q, '{fq.any_of(fq.DISPLAY_TERMS)}') AS shown, regexp_matches(q, '{fq.any_of(fq.SPEECH_TERMS)}') AS spoken FROM q)
+    SELECT doc_id, CASE WHEN shown THEN 0.5 ELSE 0 END::DOUBLE AS ocr, CASE WHEN shown THEN 0.2 WHEN spoken THEN 0.4 ELSE 0.2 END::DOUBLE AS asr FROM g"""
+)
 def p12_gate_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.when(F.col("lang") == "fr", "the title on a sign").when(F.col("lang") == "de", "their speech").otherwise("a red car")
+    """Whole texts, with words for what is shown or said at the end of some."""
+    more = F.when(F.col("lang") == "fr", " the title on a sign").when(F.col("lang") == "de", " their speech").otherwise(" a red car")
+    q = F.concat(fold_text("text"), more)
     w = F.struct(F.lit(0.2).alias("asr"), F.lit(0.3).alias("caption"), F.lit(0.5).alias("ocr"))
-    g = fq.gate_ocr(w, q)
-    return v.table(spark, sf_dir, "documents").select("doc_id", g["ocr"].alias("ocr"), F.round(g["asr"], 6).alias("asr"))
+    g = fq.gate_ocr(w, F.col("q"))
+    return v.table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", g["ocr"].alias("ocr"), F.round(g["asr"], 6).alias("asr"))
 
 
 @query("SELECT c_custkey, round(CASE WHEN t > 0 THEN greatest(a, 0) / t END, 6) AS a, round(CASE WHEN t > 0 THEN greatest(b, 0) / t END, 6) AS b FROM (SELECT *, greatest(a, 0) + greatest(b, 0) AS t FROM (SELECT c_custkey, c_acctbal AS a, c_custkey % 5 - 2.0 AS b FROM customer))")

@@ -380,7 +380,11 @@ def p08_dedupe_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("conv_id", (F.col("place") + 1).alias("place"), "variant")
 
 
-@query()
+@query(
+    r"""WITH c AS (SELECT doc_id, list_transform(regexp_extract_all(text, '["''“”]([^"''“”]{1,80})["''“”]', 1), lambda x: trim(x)) || regexp_extract_all(t, '\b([A-Z0-9][A-Z0-9._:/-]+)\b', 1) AS c
+      FROM (SELECT *, regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', 'a', 'g') AS t FROM documents))
+    SELECT doc_id, list_filter(c, lambda x, i: x <> '' AND list_position(c, x) = i) AS cues FROM c"""
+)
 def p09_query_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "documents").select("doc_id", ft.query_cues(F.col("text")).alias("cues"))
 
