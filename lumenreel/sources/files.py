@@ -144,8 +144,13 @@ def shards(manifest: DataFrame, size: int) -> DataFrame:
     return manifest.withColumns({"shard_index": F.floor(i / size), "local_index": i % size})
 
 
-def write_shards(manifest: DataFrame, size: int, path: str) -> None:
-    shards(manifest, size).write.partitionBy("shard_index").json(path)
+def write_shards(manifest: DataFrame, size: int, path: str, together: int = 100) -> None:
+    """Folders of `together` shards each (shard_group), one file in each, whose rows name their shard and lie in order.
+
+    A group's rows meet in one task before they are written, so files grow with the rows, not with tasks times shards.
+    """
+    rows = shards(manifest, size).withColumn("shard_group", F.floor(F.col("shard_index") / together))
+    rows.repartition("shard_group").sortWithinPartitions("shard_group", "shard_index", "local_index").write.partitionBy("shard_group").json(path)
 
 
 def latest_successful_run(objects: DataFrame, data_name: str = "data.csv") -> DataFrame:
