@@ -341,7 +341,7 @@ def p22_normalize_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t21_metadata_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of all views of a frame's text, a quarter more where the view names the video."""
-    s = lexical(spark, sf_dir).join(v.text_queries(spark, sf_dir), "query_id").join(v.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    s = r.overlap_scores(v.table(spark, sf_dir, "documents"), v.text_queries(spark, sf_dir), ["doc_id", "source"]).join(v.text_queries(spark, sf_dir), "query_id")
     score = F.least(F.lit(1.0), F.col("score") + F.when(F.col("query_text").contains(F.col("source")), 0.25).otherwise(0.0))
     return s.groupBy("doc_id").agg(F.round(F.max(score), 6).alias("metadata_score"))
 

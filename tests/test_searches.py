@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenreel.operators import ranking as r
 from lumenreel.operators import windows as w
@@ -254,3 +255,23 @@ def test_events_of_a_long_video(spark):
         found = w.segment_events(frames, centroid)
         assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
         assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_scores_leave_a_task_once(spark):
+    """A document meets all queries where it is read: no shuffle of pairs, whatever the slices, and long lists by token agree."""
+    docs = spark.createDataFrame([(i, f"alpha w{i % 7} w{i % 11} beta beta" if i % 5 else None) for i in range(300)], "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(i, f"beta beta beta w{i} alpha") for i in range(9)], "query_id long, query_text string")
+    boosts = spark.createDataFrame([("a", 2.0), ("b", 1.0), ("c", 0.0)], "field string, boost double")
+    fields = docs.withColumn("field", F.element_at(F.array(*map(F.lit, "abc")), (F.col("doc_id") % 3 + 1).cast("int")))
+    near = r.overlap_scores(docs, asked, ["doc_id"])
+    assert "Exchange hashpartitioning(query_id" not in near._jdf.queryExecution().toString()
+
+    def both():
+        pairs = {(x["query_id"], x["doc_id"]): round(x["score"], 9) for x in r.overlap_scores(docs, asked, ["doc_id"]).collect()}
+        best = {(x["query_id"], x["doc_id"]): (round(x["score"], 9), x["rank"]) for x in r.best_fields(fields, asked, boosts, 5).collect()}
+        return pairs, best
+
+    whole = both()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(r, "BROADCAST_ROWS", 0)
+        assert both() == whole and len(whole[0]) == 9 * 240
