@@ -135,8 +135,9 @@ def sign_flip_test(diffs: DataFrame, flips: int = 20_000, seed: int = 2) -> Data
 def recall_funnel(stages: DataFrame, truth: DataFrame) -> DataFrame:
     """stages: stage, query_id, frame; truth: query_id, frame. How many queries still have a right frame after each stage."""
     total = truth.select("query_id").distinct().agg(F.count(F.lit(1)).alias("queries"))
-    hit = stages.join(truth, ["query_id", "frame"], "left_semi").groupBy("stage").agg(F.countDistinct("query_id").alias("found"))
-    return stages.select("stage").distinct().join(hit, "stage", "left").select("stage", F.coalesce("found", F.lit(0).cast("long")).alias("found")).join(F.broadcast(total))
+    right = truth.select("query_id", "frame").distinct().withColumn("_right", F.lit(True))
+    found = stages.join(right, ["query_id", "frame"], "left").groupBy("stage").agg(F.countDistinct(F.when(F.col("_right"), F.col("query_id"))).alias("found"))
+    return found.join(F.broadcast(total))
 
 
 def diversity(results: DataFrame, cuts: tuple[int, ...] = (20, 50, 100)) -> DataFrame:

@@ -305,9 +305,10 @@ def e13_sign_flip_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT stage, count(DISTINCT CASE WHEN tr.frame IS NOT NULL THEN st.query_id END) AS found, (SELECT count(DISTINCT query_id) FROM tr) AS queries FROM st LEFT JOIN tr ON tr.query_id = st.query_id AND tr.frame = st.frame GROUP BY 1"""
 )
 def e14_candidate_recall_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, t = two_lists(spark, sf_dir)
-    stage = lambda n, d: d.select(F.lit(n).alias("stage"), "query_id", F.col("frame_id").alias("frame"))
-    stages = stage("semantic", s).unionByName(stage("text", t)).unionByName(stage("union", s)).unionByName(stage("union", t)).unionByName(stage("top", s.where("rank <= 3")))
+    f = r.fuse_outer(*two_lists(spark, sf_dir))
+    first, second = F.col("semantic_rank"), F.col("text_rank")
+    named = F.array_compact(F.array(F.when(first.isNotNull(), "semantic"), F.when(second.isNotNull(), "text"), F.lit("union"), F.when(first <= 3, "top")))
+    stages = f.select(F.explode(named).alias("stage"), "query_id", F.col("frame_id").alias("frame"))
     truth = r.phrase_bonus(v.table(spark, sf_dir, "documents"), v.text_queries(spark, sf_dir)).select("query_id", F.col("doc_id").alias("frame"))
     return e.recall_funnel(stages, truth)
 
