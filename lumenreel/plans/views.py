@@ -16,10 +16,24 @@ from pyspark.sql import functions as F
 ORIGIN = "2024-01-01 00:00:00"
 
 
+#: Rows of a part, about, where rows are dealt by a key.
+PART_ROWS = 500_000
+#: Bytes of an Arrow batch, or one row if that is larger: bounds what Python workers hold, however long texts are.
+BATCH_BYTES = str(4 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over as many parts as their number asks for, so that parts don't grow with the table; as they are
+    where the session's number of parts is enough."""
+    parts = -(-rows.count() // PART_ROWS)
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     ms = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(ORIGIN).cast("timestamp"))) / 1000)

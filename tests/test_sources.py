@@ -9,6 +9,7 @@ from lumenreel.functions import queries as fq
 from lumenreel.functions import text as ft
 from lumenreel.operators import evaluation, hooks
 from lumenreel.plans import registry
+from lumenreel.plans import views
 from lumenreel.sources import files as s
 from lumenreel.streaming import ingest
 
@@ -180,3 +181,29 @@ def test_scores_of_answers_read_back(spark, tmp_path):
     answers = got.select(F.col("query_name").alias("query_id"), "rank", F.col("video_code").alias("video"), F.col("frame_indices").alias("frames"), "answer")
     truth = spark.createDataFrame([("q", "QA", "V1", [(4, 6)], 'yes, "SIR"')], "query_id string, kind string, video string, ranges array<struct<start:long,end:long>>, answer string")
     assert [r.r for r in evaluation.r_scores(answers, truth).orderBy("rank").collect()] == [0.0, 1.0]
+
+
+def test_large_tables_are_dealt_over_more_parts(spark, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
+    assert views.dealt(rows, "k").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    monkeypatch.setattr(views, "PART_ROWS", 50)
+    more = views.dealt(rows, "k")
+    assert more.rdd.getNumPartitions() == 20 and more.count() == 1000
+    for name in ("w03_boundaries_to_shots", "p16_temporal_edges"):
+        found = []
+        for most in (10**9, 500):
+            monkeypatch.setattr(views, "PART_ROWS", most)
+            found.append(sorted(map(tuple, registry.queries()[name](spark, "/root/testdata/sf0.001").collect()), key=repr))
+        assert found[0] == found[1]
+
+
+def test_python_batches_are_bounded_by_bytes(spark):
+    """Long texts come to Python some at a time, not ten thousand rows at once."""
+    views.table(spark, "/root/testdata/sf0.001", "documents")
+
+    @F.pandas_udf("long")
+    def held(texts):
+        return texts.map(lambda t: total) if (total := int(texts.str.len().sum())) else texts.str.len()
+
+    long = spark.range(400, numPartitions=1).select(F.repeat(F.lit("x"), 50_000).alias("t"))
+    assert long.select(held("t").alias("n")).agg(F.max("n")).first()[0] <= 5_000_000
