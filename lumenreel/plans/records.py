@@ -305,7 +305,7 @@ _SHOTS = """b AS (SELECT l_orderkey AS video_id, least(greatest(l_partkey, 0), 9
 
 
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = v.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_partkey").alias("boundary"))
+    li = v.dealt(v.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_partkey").alias("boundary")), "video_id")
     return w.boundaries_to_shots(li, li.select("video_id", F.lit(1000).alias("n_frames")).distinct())
 
 
