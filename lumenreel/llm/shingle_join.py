@@ -465,7 +465,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     stars = stored(_bounded(star_pairs(reps)).distinct(), "stars")
     links = stored(verify(stars, docs, size), "star-links")
     links = links.unionByName(stored(verify(stored(closer_pairs(_placed(reps, links)), "closer"), docs, size), "closer-links"))
-    more = verify(stored(missed_pairs(_placed(reps, links)), "missed"), docs, size)
+    # Stored, as a task that verifies and contracts links in one would hold two Python workers.
+    more = stored(verify(stored(missed_pairs(_placed(reps, links)), "missed"), docs, size), "missed-links")
     joined = components(links.unionByName(more))
     whole = classes.join(joined, F.col("id") == F.col("rep"), "left").select(*name, F.coalesce("component", "rep").alias("component_id"))
     alone = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
