@@ -152,9 +152,13 @@ def a03_infer_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.infer_fps(f).select("video_id", F.round("fps", 6).alias("fps"))
 
 
+#: Frames of a part that become annotations: each is four facts, sorted in the same task.
+ANNOTATED_ROWS = 100_000
+
+
 def annotation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A video's frames as annotations of one keyframe; every fourth has a blank caption."""
-    f = v.frames(spark, sf_dir)
+    f = v.frames(spark, sf_dir, ANNOTATED_ROWS)
     return f.select(
         F.col("video_id").alias("keyframe_id"), F.col("frame_idx").alias("row_id"), F.when(F.col("frame_idx") % 4 == 0, " ").otherwise(F.col("event_type")).alias("caption"),
         F.array("event_type").alias("labels"), F.create_map("event_type", F.col("frame_idx") % 5).alias("counts"),

@@ -27,15 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Rows dealt by key over as many parts as their number asks for, so that parts don't grow with the table; as they are
     where the session's number of parts is enough."""
-    parts = -(-rows.count() // PART_ROWS)
+    parts = -(-rows.count() // part_rows)
     return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, part_rows: int | None = None) -> DataFrame:
+    """With part_rows, whole videos in parts of about so many rows."""
     e = table(spark, sf_dir, "events")
+    if part_rows:
+        e = dealt(e, "user_id", part_rows=part_rows)
     ms = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(ORIGIN).cast("timestamp"))) / 1000)
     return e.select(
         F.col("user_id").alias("video_id"), F.col("event_id").alias("keyframe_id"),

@@ -287,9 +287,16 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, order: str, insert_o
     return j.select(key, *values, state.alias("state"))
 
 
+#: Names of sources that are sent to all tasks; more are joined by a shuffle.
+SOURCES = 100_000
+
+
 def replace_by_source(target: DataFrame, updates: DataFrame, column: str) -> DataFrame:
-    """All rows of the sources that the updates have are replaced."""
-    return target.join(updates.select(column).distinct(), column, "left_anti").unionByName(updates.select(target.columns))
+    """All rows of the sources that the updates have are replaced. Few sources go to the target's rows where these are
+    read, as a source that holds a share of all rows would else meet in one task."""
+    given = updates.select(column).distinct()
+    given = F.broadcast(given) if given.limit(SOURCES + 1).count() <= SOURCES else given
+    return target.join(given, column, "left_anti").unionByName(updates.select(target.columns))
 
 
 def text_records(frames: DataFrame, segments: DataFrame) -> DataFrame:
