@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: What counts as true in a text (fixed values).
 TRUE = ("1", "true", "t", "yes", "y", "on")
+#: Rows of a part, about, where a table's rows are dealt by a key.
+PART_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -89,6 +91,15 @@ def key_map(source: DataFrame, target: DataFrame, table: Table) -> DataFrame:
     return found.join(taken, "old", "left").select("old", F.coalesce("match", F.when(F.col("taken"), moved).otherwise(F.col("old"))).alias("new"))
 
 
+def _dealt(rows: DataFrame, parts: int, column: str) -> DataFrame:
+    """Rows dealt by a column over so many parts, or as they are where the session's number of parts is enough."""
+    return rows.repartition(parts, column) if parts > _usual(rows) else rows
+
+
+def _usual(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 @dataclass
 class Synced:
     """tables: each with `state` (kept, updated, inserted). rejected: table_name, row_key and reason. counts: one row a table."""
@@ -103,8 +114,10 @@ def sync_tables(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame]
 
     Columns that the target lacks are dropped. Foreign keys follow their parents' new keys; rows without key, rows whose
     parent is neither copied nor in the target, and rows without a free key are rejected, and so are their children.
-    Running it again on what it gives changes nothing but states.
+    Running it again on what it gives changes nothing but states. A table's rows are counted first and dealt over as many
+    parts as their number asks for, so that tasks don't grow with the table.
     """
+    parts: dict[str, int] = {}
     out: dict[str, DataFrame] = {}
     maps: dict[str, DataFrame] = {}
     rejects, counts = [], []
@@ -115,7 +128,9 @@ def sync_tables(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame]
         if prefixes and table.prefix:
             rows = rows.where(F.upper(F.substring(table.prefix, 1, len(prefixes[0]))).isin(*prefixes))
         counted = [("source_rows", rows)]
-        rows = last_of_key(normalized(rows.select(*columns, *([table.order] if table.order and table.order not in columns else [])), table), key, table.order)
+        parts[name] = -(-(rows.count() + have.count()) // PART_ROWS)
+        rows = normalized(rows.select(*columns, *([table.order] if table.order and table.order not in columns else [])), table)
+        rows = last_of_key(_dealt(rows, parts[name], key), key, table.order)
         reason = F.when(F.col(key).isNull(), "no_key")
         for column, parent in table.parents.items():
             if parent not in out:
@@ -124,7 +139,8 @@ def sync_tables(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame]
             if known is None:
                 known = out[parent].select(F.col(tables[parent].key).alias("old"), F.col(tables[parent].key).alias("new"))
             known = known.select(F.col("old").alias(column), F.col("new").alias(f"_{column}"))
-            rows = rows.join(known, column, "left")
+            # A small parent is sent to all tasks or has few keys, so its children stay where they are.
+            rows = (_dealt(rows, parts[name], column) if parts[parent] > _usual(rows) else rows).join(known, column, "left")
             reason = F.coalesce(reason, F.when(F.col(column).isNotNull() & F.col(f"_{column}").isNull(), F.concat(F.lit("no_parent:"), F.lit(column))))
         remapped = [c for c, p in table.parents.items() if p in out]
         rows = rows.withColumn("_reason", reason)
@@ -138,7 +154,7 @@ def sync_tables(source: Mapping[str, DataFrame], target: Mapping[str, DataFrame]
         rejected = rows.where("_reason is not null").select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.col("_reason").alias("reason"))
         good = rows.where("_reason is null").select(F.col("_key").alias(key), *(F.col(f"_{c}" if c in remapped else c).alias(c) for c in columns if c != key))
         kept = F.col("t._there").isNotNull() & (F.lit(insert_only) | F.col("u._given").isNull())
-        both = have.withColumn("_there", F.lit(1)).alias("t").join(last_of_key(good, key, None).withColumn("_given", F.lit(1)).alias("u"), key, "full")
+        both = _dealt(have, parts[name], key).withColumn("_there", F.lit(1)).alias("t").join(last_of_key(_dealt(good, parts[name], key), key, None).withColumn("_given", F.lit(1)).alias("u"), key, "full")
         state = F.when(F.col("t._there").isNull(), "inserted").when(kept, "kept").otherwise("updated")
         out[name] = both.select(key, *(F.when(kept, F.col(f"t.{c}")).otherwise(F.col(f"u.{c}")).alias(c) for c in columns if c != key), state.alias("state"))
         rejects.append(rejected)
