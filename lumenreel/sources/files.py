@@ -300,11 +300,14 @@ def replace_by_source(target: DataFrame, updates: DataFrame, column: str) -> Dat
 
 
 def text_records(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """frames: keyframe_id, video_id, texts (array); segments: segment_id, video_id, text. One table of texts that aren't blank."""
-    joined = F.concat_ws(" ", F.filter(F.transform("texts", lambda t: F.trim(t)), lambda t: t != ""))
-    f = frames.select(F.concat(F.lit("frame:"), "keyframe_id").alias("id"), F.col("video_id").cast("string").alias("video_id"), F.lit("frame").alias("doc_type"), joined.alias("text"))
+    """frames: keyframe_id, video_id, and texts (array) or text; segments: segment_id, video_id, text. Of texts, those that
+    aren't blank are joined, and a frame without any has no record; a text stands as it is, blank or null. Blank segments have none."""
+    if "texts" in frames.columns:
+        joined = F.concat_ws(" ", F.filter(F.transform("texts", lambda t: F.trim(t)), lambda t: t != ""))
+        frames = frames.withColumn("text", joined).where("text <> ''")
+    f = frames.select(F.concat(F.lit("frame:"), "keyframe_id").alias("id"), F.col("video_id").cast("string").alias("video_id"), F.lit("frame").alias("doc_type"), "text")
     s = segments.select(F.concat(F.lit("segment:"), "video_id", F.lit(":"), "segment_id").alias("id"), F.col("video_id").cast("string").alias("video_id"), F.lit("transcript").alias("doc_type"), F.trim("text").alias("text"))
-    return f.unionByName(s).where("text <> ''")
+    return f.unionByName(s.where("text <> ''"))
 
 
 def persist_results(results: DataFrame, path: str) -> None:
