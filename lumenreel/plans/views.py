@@ -27,10 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, *keys: str, part_rows: int = PART_ROWS) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str, part_rows: int | None = None) -> DataFrame:
     """Rows dealt by key over as many parts as their number asks for, so that parts don't grow with the table; as they are
     where the session's number of parts is enough."""
-    parts = -(-rows.count() // part_rows)
+    parts = -(-rows.count() // (part_rows or PART_ROWS))
     return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
